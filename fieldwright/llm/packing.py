@@ -13,8 +13,8 @@
    class plus its rank in the part) thus tells its sequence without any search.
 4. Sequences are finished in blocks of consecutive numbers, a few hundred a task: the last
    sequences of a block are taken apart and cut to fill the room that the rounding of
-   lengths to classes has left in the others; what remains becomes sequences of
-   power-of-two lengths, which need no padding.
+   lengths to classes has left in the others.  A sequence so lacks less than ``GRAIN``
+   ids, but for one of each block.
 
 Defined cases: a null or empty text is the end id alone; equal rows are packed one by one;
 a null doc_id stays null; an empty table gives no pieces; other columns are not read.
@@ -37,7 +37,7 @@ CAPACITY, UNIT = 4096, 32
 #: Ids between stored checksums; cuts are made at these places only.
 GRAIN = 16
 #: Sequences finished together in one task's memory.
-BLOCK = 256
+BLOCK = 512
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, kind int, part int, rank long, crcs binary"
 _PIECES = pa.schema(
@@ -247,7 +247,7 @@ def finished(rows: list[tuple], block: int, capacity: int) -> list[tuple]:
     room = sum(capacity - n for n, _ in kept)
     spare: list[tuple] = []
     have, cut = 0, 0
-    while cut < len(kept) and have < room - (capacity - kept[cut][0]):
+    while cut < len(kept) and have < room:
         room -= capacity - kept[cut][0]
         have += kept[cut][0]
         spare += kept[cut][1]
@@ -261,7 +261,7 @@ def finished(rows: list[tuple], block: int, capacity: int) -> list[tuple]:
         crc = np.frombuffer(crcs, "<u4")
         at = lambda i: 0 if i == 0 else int(crc[-(-i // GRAIN) - 1])
         value = crc_between(at(first), at(end), 4 * (end - first)) if first else at(end)
-        out.append((doc_id, start + first, end - first, value, doc_tokens, block * 4 * BLOCK + number, offset))
+        out.append((doc_id, start + first, end - first, value, doc_tokens, block * 2 * BLOCK + number, offset))
 
     def fill(offset: int, limit: int) -> int:
         """Lay spare pieces from offset on, cutting the last where it does not fit."""
@@ -291,12 +291,7 @@ def finished(rows: list[tuple], block: int, capacity: int) -> list[tuple]:
         fill(offset, capacity)
         number += 1
     while pool:
-        left = sum(p[3] - first for p, first in pool)
-        size = min(capacity, 1 << (left.bit_length() - 1))
-        if left < GRAIN * 2:
-            size = capacity
-        if not fill(0, size):
-            raise AssertionError("a spare piece found no place")
+        fill(0, capacity)
         number += 1
     return out
 
