@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
+from . import decisions, reshaping, ranking, joining, streams
+
+
+def _modules():
+    return (reshaping, joining, ranking, decisions, streams)
+
 
 def queries() -> dict:
-    return {}
+    found: dict = {}
+    for module in _modules():
+        found |= {name: query for name, (query, _) in module.QUERIES.items()}
+    return found
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    found: dict = {}
+    for module in _modules():
+        found |= {name: sql for name, (_, sql) in module.QUERIES.items() if sql}
+    return found
