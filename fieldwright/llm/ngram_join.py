@@ -41,6 +41,8 @@ TILE = 512
 #: Documents (about) from which frequent shingles are learnt, and how many are kept; they
 #: only order shingles and change no result.
 SAMPLE, FREQUENT = 2000, 65_536
+#: Size of the bit table that may be broadcast (2 MB), and an eighth of it the most ids it stands for.
+BITS = 1 << 24
 
 _SALT = np.uint64(0x5851F42D4C957F2D)
 
@@ -85,7 +87,7 @@ def _prefix(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarra
     return tokens[order[:keep]]
 
 
-_SKETCH = "doc_id long, n long, class long, prefix array<long>"
+_SKETCH = "doc_id long, n long, class long, prefix array<long>, point array<int>"
 
 
 def _sketcher(size: int, percent: int, frequent):
@@ -104,8 +106,9 @@ def _sketcher(size: int, percent: int, frequent):
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([class_of(s) for s in sets], pa.int64()),
                         pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)),
+                        pa.array([point_of(s) for s in sets], pa.list_(pa.int32())),
                     ],
-                    names=["doc_id", "n", "class", "prefix"],
+                    names=["doc_id", "n", "class", "prefix", "point"],
                 )
 
     return run
@@ -120,23 +123,46 @@ def _token_lister(size: int):
     return run
 
 
-def _set_lister(size: int):
+def _set_lister(size: int, wanted):
+    """Sets of the documents whose id is in a bit table (of all, without one)."""
+
     def run(batches):
         for batch in batches:
+            if wanted is not None:
+                batch = batch.filter(pa.array(_in_bits(wanted.value, batch.column("slot").to_numpy())))
             for _, values in steps(batch.column("text")):
                 sets = shingle_sets(values, size)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([class_of(s) for s in sets], pa.int64()),
-                        pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
-                        pa.array([point_of(s) for s in sets], pa.list_(pa.int32())),
-                    ],
-                    names=["class", "tokens", "point"],
+                    [pa.array([class_of(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["class", "tokens"]
                 )
 
     return run
 
 
+def _in_bits(table: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    return (table[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 == 1
+
+
+def _sets_for(pairs: DataFrame, classes: DataFrame, rows: DataFrame, size: int) -> DataFrame:
+    """Shingle sets of the classes in some pairs, from one document each.
+
+    Up to ``BITS`` / 8 classes their ids are sent as a bit table of ``BITS`` bits, and the texts
+    are scanned where they are (a few more sets than asked for do no harm); beyond that the
+    texts are joined with the ids."""
+    spark = rows.sparkSession
+    ids = pairs.select(F.col("u").alias("class")).union(pairs.select("v")).distinct().join(classes, "class").select("doc_id").distinct()
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(BITS))
+    if ids.count() <= BITS // 8:
+        spots = ids.select(slot.alias("s")).selectExpr("cast(shiftright(s, 3) as int) as byte", "shiftleft(1, cast(s % 8 as int)) as bit")
+        parts = spots.groupBy("byte").agg(F.bit_or("bit").alias("bits"))
+        table = np.zeros(BITS // 8, np.uint8)
+        got = parts.toArrow()  # at most BITS / 8 rows of two numbers
+        table[got.column("byte").to_numpy()] = got.column("bits").to_numpy().astype(np.uint8)
+        shipped = spark.sparkContext.broadcast(table)
+        return staged(rows.select("text", slot.alias("slot")).mapInArrow(_set_lister(size, shipped), "class long, tokens array<long>"), "sets")
+    return staged(rows.join(ids, "doc_id", "left_semi").select("text").mapInArrow(_set_lister(size, None), "class long, tokens array<long>"), "sets")
+
+
 class RTree:
     """A packed R-tree over count vectors, searched by the overlap bound."""
 
@@ -201,6 +227,15 @@ def _tile_searcher(percent: int):
     return run
 
 
+def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose summed coordinate minima allow the Jaccard."""
+    a = points.select(F.col("class").alias("u"), F.col("point").alias("pa"))
+    b = points.select(F.col("class").alias("v"), F.col("point").alias("pb"))
+    total = lambda c: F.aggregate(c, F.lit(0), lambda acc, x: acc + x)
+    bound = total(F.zip_with("pa", "pb", lambda x, y: F.least(x, y)))
+    return pairs.join(a, "u").join(b, "v").where((100 + percent) * bound >= percent * (total("pa") + total("pb"))).select("u", "v")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     a = sets.select(F.col("class").alias("u"), F.col("tokens").alias("ta"))
     b = sets.select(F.col("class").alias("v"), F.col("tokens").alias("tb"))
@@ -229,13 +264,15 @@ def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_col: s
     release_shuffles(spark)
     members = staged(filed.join(shared, "token").select("token", "u", "class").distinct(), "members")
     release_shuffles(spark)
-    wanted = members.select("class").distinct().join(classes, "class").select("doc_id").distinct()
-    sets = rows.join(wanted, "doc_id", "left_semi").mapInArrow(_set_lister(size), "class long, tokens array<long>, point array<int>")
-    sets = staged(sets.dropDuplicates(["class"]), "sets")
+    firsts = sketches.where("n > 0").join(classes, ["class", "doc_id"], "left_semi").select("class", "point")
+    points = staged(firsts.dropDuplicates(["class"]), "points")
     release_shuffles(spark)
 
     star = members.where("u != class").select("u", F.col("class").alias("v")).distinct()
-    links = staged(_verified(star, sets, percent), "star-links")
+    star = staged(_bounded(star, points, percent), "star-pairs")
+    release_shuffles(spark)
+    links = staged(_verified(star, _sets_for(star, classes, rows, size), percent), "star-links")
+    release_shuffles(spark)
     roots = components(links)
     release_shuffles(spark)
     rooted = members.join(roots, members["class"] == roots["node"], "left").select("token", "class", F.coalesce("root", "class").alias("root"))
@@ -253,17 +290,21 @@ def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_col: s
         ),
     )
     laid = rooted.join(open_blocks, "token").withColumn("tile", tile).withColumn("spot", F.explode(spots))
-    laid = laid.join(sets.select("class", "point"), "class").select("token", "spot.i", "spot.j", "spot.side", "class", "root", "point")
+    laid = laid.join(points, "class").select("token", "spot.i", "spot.j", "spot.side", "class", "root", "point")
     pairs = laid.groupBy("token", "i", "j").applyInArrow(_tile_searcher(percent), "u long, v long").distinct()
-    more = staged(_verified(staged(pairs, "pairs"), sets, percent), "tree-links")
+    pairs = staged(pairs, "tree-pairs")
     release_shuffles(spark)
-    final = components(links.union(more)) if not more.isEmpty() else roots
+    final = roots
+    if not pairs.isEmpty():
+        more = staged(_verified(pairs, _sets_for(pairs, classes, rows, size), percent), "tree-links")
+        final = components(links.union(more))
+        release_shuffles(spark)
     lowest = final.join(classes, final["node"] == classes["class"]).groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of_class = staged(final.join(lowest, "root").select(F.col("node").alias("class"), "component_id"), "components")
     alone = classes.select("class", F.col("doc_id").alias("alone"))
     out = sketches.select("doc_id", "n", "class").join(alone, "class", "left").join(of_class, "class", "left")
     own = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component_id", "alone")).otherwise(F.col("doc_id"))
-    for used in (members, rooted, sets):
+    for used in (members, rooted, shared):
         drop_staged(used)
     return out.select("doc_id", F.col("n").alias("n_shingles"), "class", own.alias("component_id"))
 
