@@ -46,6 +46,7 @@ _NEVER = frozenset("nav aside footer form button menu dialog head fieldset".spli
 _NEVER_NAMED = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent notice notices alert popup modal newsletter subscribe sidebar side menu nav navbar navigation navigate breadcrumb breadcrumbs header footer comment comments commentlist disqus reply replies respond share sharing social related recommended widget search login masthead pagination pager complementary contentinfo toolbar".split()
 )
+_GENERIC = frozenset("div section a td dd dt".split())
 _CLOSES_P = _BLOCKS - {"body", "html"}
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
@@ -115,6 +116,8 @@ def labels_of(page: str) -> Counter:
     counts: Counter = Counter()
     for kind, value, main, out in tokens_of(page):
         inside = main and not out
+        if out and (kind == "t" or value[0] not in _GENERIC):
+            continue  # passed over by name anyway; only unnamed boxes like these are learnt from
         if kind == "t":
             counts["<" + value, inside] += 1
         else:

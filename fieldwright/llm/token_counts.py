@@ -13,6 +13,7 @@ encoded whole; repeated rows are counted row by row; other columns are not read.
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -72,8 +73,8 @@ class Counter:
         self._merged(list({t: None for own in split for t in own if t not in whole and t not in merges}))
         counts = [sum(1 if t in whole else merges[t] for t in own) for own in split]
         self.counts = np.concatenate([self.counts, np.array(counts, np.int64)])
-        if len(merges) > self.pieces.most:
-            self.merges = {}
+        while len(merges) > 2 * self.pieces.most:
+            merges.popitem()  # the latest are the rarest
 
     def count(self, values: pa.Array) -> np.ndarray:
         texts = values.to_pylist()
@@ -94,7 +95,7 @@ class Counter:
         if plain:
             sizes = np.fromiter(map(len, split), np.int64, len(split))
             number = self.pieces.codes.__getitem__
-            codes = np.fromiter((c for parts in split for c in map(number, parts)), np.int64, int(sizes.sum()))
+            codes = np.fromiter(map(number, chain.from_iterable(split)), np.int64, int(sizes.sum()))
             if len(self.pieces.codes) > self.pieces.known:
                 self._learn()
             total = np.concatenate([[0], np.cumsum(self.counts[codes])])

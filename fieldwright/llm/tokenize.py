@@ -9,14 +9,17 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 
+from .words import LOWER
+
 #: Fixed value: the id appended to each document.
 END = 2
 #: Entries of a worker's tables; what is met later is encoded again each time.
-MOST_PIECES, MOST_WORDS = 400_000, 400_000
+MOST_PIECES, MOST_WORDS = 600_000, 700_000
 
 
 def path_of(name: str) -> str:
@@ -77,39 +80,54 @@ class WordEncoder:
 
     def __init__(self, path: str, most_pieces: int = MOST_PIECES, most_words: int = MOST_WORDS):
         self.library = library(path)
-        self.pieces, self.words, self.most_words = _Pieces(most_pieces), {}, most_words
+        self.pieces, self.words = _Pieces(most_pieces), _Pieces(most_words)
         self.ids, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.word_ids, self.word_ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def _parts(self, key: bytes) -> list[str] | tuple[str, ...]:
+        """Strings that the library may encode one by one in place of the piece."""
+        text = key.decode("utf-8")
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return (text,)
+        low = text.lower()
+        if low.isalpha():
+            return (low,)
+        if low[-1] in ",." and low[:-1].isalpha():
+            return (low[:-1], low[-1])
+        if self._PLAIN.fullmatch(text) and "<|" not in text:
+            return self._PARTS.findall(low)
+        return (text,)
+
+    def _learn_words(self) -> None:
+        new = self.words.fresh()
+        flat, sizes = [], np.zeros(len(new), np.int64)
+        for lo in range(0, len(new), 20_000):
+            got = [e.ids for e in self.library.encode_batch_fast(new[lo : lo + 20_000], add_special_tokens=False)]
+            sizes[lo : lo + len(got)] = list(map(len, got))
+            flat.append(np.fromiter(chain.from_iterable(got), np.uint32))
+        self.word_ids = np.concatenate([self.word_ids, *flat])
+        self.word_ends = np.concatenate([self.word_ends, self.word_ends[-1] + np.cumsum(sizes)])
 
     def _learn(self) -> None:
-        keys = [k.decode("utf-8") for k in self.pieces.fresh()]
-        parts, new = [], {}
-        for key in keys:
-            if self._PLAIN.fullmatch(key) and "<|" not in key:
-                own = self._PARTS.findall(key.lower())
-                # a part that lower-casing or a contraction could split otherwise goes whole to the library
-                parts.append(own)
-                new.update((p, None) for p in own if p not in self.words)
-            else:
-                parts.append([key])
-                new.update((p, None) for p in (key,) if p not in self.words)
-        missing = list(new)
-        for lo in range(0, len(missing), 20_000):
-            some = missing[lo : lo + 20_000]
-            for text, code in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False)):
-                self.words[text] = code.ids
-        got = [[i for p in own for i in self.words[p]] for own in parts]
-        flat = np.fromiter((i for g in got for i in g), np.uint32)
-        ends = self.ends[-1] + np.cumsum(np.fromiter(map(len, got), np.int64, len(got)))
-        self.ids, self.ends = np.concatenate([self.ids, flat]), np.concatenate([self.ends, ends])
-        if len(self.words) > self.most_words:
-            self.words = {}
+        parts = list(map(self._parts, self.pieces.fresh()))
+        counts = np.fromiter(map(len, parts), np.int64, len(parts))
+        codes = np.fromiter(map(self.words.codes.__getitem__, chain.from_iterable(parts)), np.int64, int(counts.sum()))
+        if len(self.words.codes) > self.words.known:
+            self._learn_words()
+        ids, ends = _laid(codes, self.word_ids, self.word_ends)
+        self.ids = np.concatenate([self.ids, ids])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + ends[np.cumsum(counts)]])
+        self.word_ids, self.word_ends = _cut(self.words.trim(), self.word_ids, self.word_ends)
 
     def encode(self, values: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (UTF-8) end to end, and the offsets of each; ``end`` is appended to each text."""
-        split = [v.split() for v in values.to_pylist()]
+        data, offs = _opened(values)
+        split = [data[a:b].split() for a, b in zip(offs, offs[1:])]
         counts = np.fromiter(map(len, split), np.int64, len(split))
         number = self.pieces.codes.__getitem__
-        codes = np.fromiter((c for parts in split for c in map(number, parts)), np.int64, int(counts.sum()))
+        codes = np.fromiter(map(number, chain.from_iterable(split)), np.int64, int(counts.sum()))
         if len(self.pieces.codes) > self.pieces.known:
             self._learn()
         first = self.ends[codes]
@@ -122,8 +140,48 @@ class WordEncoder:
         out = np.full(int(offsets[-1]), end or 0, np.uint32)
         run = np.arange(int(after[-1])) - np.repeat(after[:-1], sizes)
         out[np.repeat(at, sizes) + run] = self.ids[np.repeat(first, sizes) + run]
-        kept = self.pieces.trim()
-        if kept + 1 < len(self.ends):
-            self.ends = self.ends[: kept + 1]
-            self.ids = self.ids[: self.ends[-1]]
+        self.ids, self.ends = _cut(self.pieces.trim(), self.ids, self.ends)
         return out, offsets
+
+
+_SYMBOL = np.array([0x21 <= b <= 0x7E and not chr(b).isalnum() for b in range(256)])
+
+
+def _opened(values: pa.Array) -> tuple[bytes, list[int]]:
+    """The texts end to end, in lower case, with a space between a letter and a symbol behind it;
+    pre-tokens stay the same and pieces repeat more often.  Returns the texts' offsets too.
+
+    A pre-token of letters always ends before a symbol.  Slices with the beginning of a
+    special string stay as they are: there case and closeness tell."""
+    offs = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1]
+    whole = values.buffers()[2]
+    data = bytes(memoryview(whole)[int(offs[0]) : int(offs[-1])]) if whole is not None else b""
+    offs = offs - offs[0]
+    if b"<|" in data or len(data) < 3:
+        return data, offs.tolist()
+    raw = np.frombuffer(data.translate(LOWER), np.uint8)
+    mark = _SYMBOL[raw]
+    mark[:2] = False
+    at = np.flatnonzero(mark)
+    before, lead = raw[at - 1], raw[at - 2]
+    letter = (before >= 0x61) & (before <= 0x7A)
+    letter |= (lead == 0xC3) & (before >= 0x80) & (before <= 0xBF) & (before != 0x97) & (before != 0xB7)
+    mark[at[~letter]] = False
+    mark[offs[offs < len(raw)]] = False  # a text's first character stays its own
+    moved = np.cumsum(mark)
+    out = np.full(len(raw) + int(moved[-1]), 0x20, np.uint8)
+    out[np.arange(len(raw)) + moved] = raw
+    return out.tobytes(), (offs + np.concatenate([[0], moved])[offs]).tolist()
+
+
+def _laid(codes: np.ndarray, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of entries end to end, and where each ends (from 0)."""
+    first = ends[codes]
+    sizes = ends[codes + 1] - first
+    after = np.concatenate([[0], np.cumsum(sizes)])
+    return ids[np.repeat(first - after[:-1], sizes) + np.arange(int(after[-1]))], after
+
+
+def _cut(kept: int, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first entries of a table."""
+    return ids[: ends[kept]], ends[: kept + 1]

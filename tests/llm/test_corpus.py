@@ -1,0 +1,416 @@
+"""Corpus operators against brute force on small fixtures, with the awkward rows in them."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from fieldwright.llm import bitpack, decontaminate, html_text, language, line_dedup, ngram_join, packing, pii, quality, token_counts
+from fieldwright.llm.components import components
+from fieldwright.llm.tokenize import path_of
+
+DOC = "doc_id long, text string, lang string, source string, n_chars long, class string, token string, n_words int"
+WORD = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
+
+
+def phrase(seed: int, n: int) -> str:
+    rng = np.random.default_rng(seed)
+    return " ".join(WORD[k] + str(j % 7) for k, j in zip(rng.integers(0, len(WORD), n), rng.integers(0, 50, n)))
+
+
+BASE = phrase(1, 120)
+NEAR = BASE.replace(BASE.split()[60], "changed", 1)
+BENCH = [(1, phrase(9, 30)), (2, "tiny item"), (3, None), (4, ""), (1, phrase(9, 30)), (5, phrase(9, 12))]
+
+
+def texts():
+    lines = [phrase(k, 12) for k in range(20, 26)]
+    edited = lines[0].split()
+    edited[4] = "other"
+    shorter = lines[1].split()
+    del shorter[3]
+    return [
+        (0, BASE),
+        (1, NEAR),
+        (2, BASE),
+        (3, None),
+        (4, ""),
+        (5, "  \n\t "),
+        (6, "one two"),
+        (7, "one two"),
+        (8, phrase(2, 40) + " " + phrase(9, 30) + " " + phrase(3, 5)),
+        (9, "x tiny item y"),
+        (10, "\n".join(lines)),
+        (11, "\n".join([lines[2], " ".join(edited), " ".join(shorter), "short line", "", "  " + lines[3]])),
+        (12, "\n".join(["short line", "short  line", "fresh words here"])),
+        (13, phrase(5, 12000)),
+        (14, "Mail a.b@c.d.org or x@y.z_q@e.fr; 10.0.0.256 1.2.3.4.5.6.7.8; card 4539 1488 0343 6467 and 4539148803436468; +49 (30) 123-4567 \x01\x02 é +1 22"),
+        (15, "IBAN DE89 3704 0044 0532 0130 00 bank; phone 555-123-4567"),
+        (16, " ".join(["same words again and again in this line"] * 30)),
+        (17, "<|endoftext|> İstanbul ﬁ  ½ don't x "),
+        (17, "a second row of this id"),
+        (None, BASE),
+        (18, "12345 !!! 678"),
+    ]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, "en", "src", 1, "c", "t", 7) for i, t in texts()]
+    return spark.createDataFrame(rows, DOC).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOC)
+
+
+def lower(t):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+
+
+def alnum(t):
+    return re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lower(t))
+
+
+def spaced(t):
+    return re.findall("[^\x20\x09-\x0d]+", t or "")
+
+
+def test_decontamination(spark, docs, empty):
+    bench = spark.createDataFrame(BENCH, "item_id long, text string")
+    windows = defaultdict(set)
+    for i, t in BENCH:
+        w = alnum(t)
+        n = min(10, len(w))
+        for k in range(len(w) - n + 1 if n else 0):
+            windows[tuple(w[k : k + n])].add(i)
+    for block in (decontaminate.BLOCK_BYTES, 64):  # one block, and several
+        marked, name = decontaminate.mark(docs, bench, block_bytes=block)
+        assert marked.columns[:-1] == docs.columns
+        for row in marked.collect():
+            w, hit, ids = alnum(row.text), set(), set()
+            for n in {len(k) for k in windows}:
+                for k in range(len(w) - n + 1):
+                    if found := windows.get(tuple(w[k : k + n])):
+                        hit |= set(range(k, k + n))
+                        ids |= found
+            got = row[name]
+            assert got.n_words == len(w)
+            assert {p for a, b in got.hit_spans for p in range(a, b)} == hit
+            assert got.item_ids == sorted(ids)
+    kept = {r.doc_id for r in decontaminate.clean(docs, bench).collect()}
+    assert not kept & {8, 9} and {0, 3, 4, 10} <= kept
+    assert decontaminate.clean(empty, bench).count() == 0
+    assert decontaminate.clean(docs, bench.limit(0)).count() == docs.count()
+    assert decontaminate.digest([]) == hashlib.sha256(b"").hexdigest()
+
+
+def test_bit_packing_round_trip():
+    rng = np.random.default_rng(3)
+    for n_ids in (2, 3, 300, 49408, 65537, 1 << 20):
+        width = bitpack.width_for(n_ids)
+        ids = rng.integers(0, n_ids, 1001).astype("<u4")
+        data = bitpack.pack(ids, width)
+        assert len(data) == -(-1001 * width // 8)
+        assert (bitpack.unpack(data, width)[:1001] == ids).all()
+        assert (bitpack.unpack(data, width, 333, 700) == ids[333:700]).all()
+        assert not len(bitpack.unpack(data, width, 5, 5))
+
+
+def encoded():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path_of("word_bpe_49k.json"))
+    return [(i, np.array(e.ids + [2], "<u4")) for (i, _), e in zip(texts(), t.encode_batch([t or "" for _, t in texts()], add_special_tokens=False))]
+
+
+def test_token_store(docs, empty):
+    want = Counter((i, len(a), zlib.crc32(a.tobytes())) for i, a in encoded())
+    rows = bitpack.read(bitpack.write(docs, block_ids=500), with_ids=True).collect()
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in rows) == want
+    rows.sort(key=lambda r: r.start)
+    ends = np.cumsum([0] + [r.n_tokens for r in rows])
+    assert [r.start for r in rows] == ends[:-1].tolist()
+    order = [-1 if r.doc_id is None else r.doc_id for r in rows]
+    assert order == sorted(order)
+    assert all(zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in rows)
+    assert bitpack.read(bitpack.write(empty)).count() == 0
+
+
+def test_packing(docs, empty):
+    rows = packing.pack(docs).collect()
+    total = sum(len(a) for _, a in encoded())
+    assert sum(r.length for r in rows) == total
+    by_doc = defaultdict(list)
+    for i, a in encoded():
+        by_doc[i, len(a)].append(a)
+    for r in rows:
+        assert any(zlib.crc32(a[r.start : r.start + r.length].tobytes()) == r.ids_crc32 for a in by_doc[r.doc_id, r.doc_tokens])
+    sequences = defaultdict(list)
+    for r in rows:
+        sequences[r.sequence_id].append((r.offset, r.length))
+    for pieces in sequences.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at <= 4096
+    assert len(sequences) == -(-total // 4096) or len(sequences) <= -(-total // 4080)
+    assert packing.pack(empty).count() == 0
+
+
+def test_cutting_stock_places_every_piece():
+    rng = np.random.default_rng(0)
+    for n in (0, 1, 50, 5000):
+        demand = np.bincount(rng.integers(0, 128, n), minlength=128)
+        patterns = packing.whole_patterns(demand, 128)
+        assert (sum((p * k for p, k in patterns), np.zeros(128, int)) == demand).all()
+        assert all((p * np.arange(1, 129)).sum() <= 128 for p, _ in patterns)
+    pattern, value = packing.priced_pattern(np.array([0.1, 0.25, 0.3]), 5)
+    assert value == pytest.approx(0.6) and (pattern * [1, 2, 3]).sum() <= 5
+
+
+def test_finished_blocks_fill_their_sequences():
+    crcs = lambda n: packing.prefix_crcs(np.arange(n, dtype="<u4")).tobytes()
+    rows = [(k, k, 0, n, n, crcs(n)) for k, n in enumerate([4000, 3000, 2500, 700, 50, 1])]
+    out = packing.finished(rows, 0, 4096)
+    filled = Counter()
+    for doc, start, length, crc, _, sequence, offset in out:
+        assert crc == zlib.crc32(np.arange(start, start + length, dtype="<u4").tobytes())
+        filled[sequence] += length
+    assert sum(filled.values()) == 10251 and len(filled) == 3
+
+
+def test_quality(docs, empty):
+    got = defaultdict(list)
+    for r in quality.assess(docs).collect():
+        got[r.doc_id].append(r)
+    for i, t in texts():
+        w, seen, dup = spaced(t), set(), 0
+        for line in (t or "").split("\n"):
+            if spaced(line):
+                dup += line in seen
+                seen.add(line)
+        c = Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))
+        cover = {p for k in range(len(w) - 7) if c[tuple(w[k : k + 8])] > 1 for p in range(k, k + 8)}
+        want = (len(w), sum(map(len, w)), len(re.findall("[#*$%&|<>]", t or "")), dup, len(cover))
+        assert any((r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want for r in got[i]), i
+    assert quality.assess(empty).count() == 0
+
+
+def test_quality_removes_frequent_lines(spark):
+    rows = [(k, "common line of a host\n" * 3, "h") for k in range(30)] + [(k, phrase(k, 60) + "\nCommon  line of a host", "h") for k in range(30, 33)] + [(40, phrase(77, 30), None)]
+    df = spark.createDataFrame([(i, t + (" " + phrase(500 + i, 40) if False else ""), s) for i, t, s in rows], "doc_id long, text string, source string")
+    out = {r.doc_id: r for r in quality.assess(df, most_docs=20).collect()}
+    assert out[0].n_removed_words == 0  # the first keeps its lines
+    assert out[5].n_removed_words == 15 and not out[5].kept
+    assert out[31].n_removed_words == 5 and out[31].kept and out[40].kept
+
+
+def test_token_counts(docs, empty):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path_of("byte_bpe_50k.json"))
+    want = Counter((i, len((x or "").encode()), len(e.ids), len(e.ids) > 1024) for (i, x), e in zip(texts(), t.encode_batch([x or "" for _, x in texts()], add_special_tokens=False)))
+    assert Counter(map(tuple, token_counts.token_counts(docs).collect())) == want
+    assert token_counts.token_counts(empty).count() == 0
+
+
+def test_whole_tokens_are_proved():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path_of("byte_bpe_50k.json"))
+    whole = token_counts.whole_tokens(path_of("byte_bpe_50k.json"))
+    assert len(whole) > 40_000 and all(len(t.encode(w, add_special_tokens=False).ids) == 1 for w in list(whole)[:500])
+
+
+def brute_components(rows):
+    sets = []
+    for i, t in rows:
+        w = spaced(lower(t))
+        sets.append(frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else []))
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if rows[a][0] is None or rows[b][0] is None or not sets[a] or not sets[b]:
+                continue
+            both = len(sets[a] & sets[b])
+            if 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = find(rows[a][0]), find(rows[b][0])
+                root[max(x, y)] = min(x, y)
+    return [(i, len(s), None if i is None else find(i)) for (i, _), s in zip(rows, sets)]
+
+
+def test_ngram_join(docs, empty):
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.join(docs).collect())
+    assert got == Counter(brute_components(texts()))
+    assert ngram_join.join(empty).count() == 0
+    kept = ngram_join.keep_one(docs)
+    assert kept.columns == docs.columns
+    ids = [r.doc_id for r in kept.collect()]
+    assert 0 in ids and 1 not in ids and 2 not in ids and 3 in ids and None in ids
+
+
+def test_ngram_join_chains_and_hidden_links(spark):
+    """Copies that drift: the first is linked only through others, in blocks of one passage."""
+    words = phrase(11, 200).split()
+    rows = []
+    for k in range(60):
+        if k % 3 == 0:
+            words[(k * 7) % 200] = f"drift{k}"
+        rows.append(((k * 37) % 61, " ".join(words)))
+    rows += [(100 + k, phrase(1000 + k, 20) + " " + " ".join(words[:60])) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.join(df).collect()}
+    assert got == set(brute_components(rows))
+
+
+def test_rtree_loses_no_point():
+    rng = np.random.default_rng(2)
+    points = rng.poisson(3, (400, 64))
+    points[200:] = np.maximum(points[:200] + rng.integers(-1, 2, (200, 64)) * (rng.random((200, 64)) < 0.1), 0)
+    tree = ngram_join.RTree(points)
+    for q in points[::7]:
+        bound = np.minimum(points, q).sum(axis=1)
+        want = np.flatnonzero(180 * bound >= 80 * (q.sum() + points.sum(axis=1)))
+        assert sorted(tree.near(q, 80).tolist()) == want.tolist()
+
+
+def test_components(spark):
+    links = [(1, 2), (2, 3), (3, 1), (10, 11), (12, 11), (5, 5), (2, 1)] + [(k, k + 1) for k in range(100, 140)]
+    got = {tuple(r) for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
+    assert got == {(n, 1) for n in (1, 2, 3)} | {(n, 10) for n in (10, 11, 12)} | {(n, 100) for n in range(100, 141)}
+
+
+def near(a, b):
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) <= 1
+    if abs(len(a) - len(b)) != 1:
+        return False
+    a, b = sorted((a, b), key=len)
+    i = 0
+    while i < len(a) and a[i] == b[i]:
+        i += 1
+    return a[i:] == b[i + 1 :]
+
+
+def test_line_dedup(docs, empty):
+    out, gone = line_dedup.dedup(docs)
+    got = Counter((r.doc_id, r.text, r[gone]) for r in out.collect())
+    lines = []
+    for i, t in sorted({(-1 if i is None else i, t) for i, t in texts() if t}, key=lambda x: x[0]):
+        for no, line in enumerate(t.split("\n")):
+            w = re.sub("[ \t\x0b\x0c\r]+", " ", line).strip(" ").split(" ")
+            if w != [""]:
+                lines.append((i, t, no, w))
+    drop = defaultdict(set)
+    # equal rows are one document; the two rows of id 17 share no line, so their order does not matter
+    for k, (i, t, no, w) in enumerate(lines):
+        firsts = [x[3] for x in lines[:k]]
+        if w in firsts:
+            continue
+        same = [x for x in lines if x[3] == w]
+        gone_all = len(w) >= 8 and any(len(x) >= 8 and near(w, x) for x in firsts)
+        for x in same if gone_all else same[1:]:
+            drop[x[0], x[1]].add(x[2])
+    for (i, t), n in Counter(texts()).items():
+        nos = drop[-1 if i is None else i, t]
+        text = t if not nos else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in nos)
+        assert got[i, text, len(nos)] == n, (i, text)
+    assert line_dedup.dedup(empty)[0].count() == 0
+    stage = line_dedup.dedup_stage(docs)
+    assert stage.columns == docs.columns
+
+
+def test_pii(docs, empty):
+    def luhn(s):
+        total = 0
+        for k, c in enumerate(reversed(s)):
+            x = int(c) * (1 + k % 2)
+            total += x - 9 * (x > 9)
+        return total % 10 == 0
+
+    patterns = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+        "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+        "card": r"[0-9]([ \-]?[0-9])+",
+        "phone": r"\+[0-9][ ().0-9-]+[0-9]",
+    }
+    want = Counter()
+    for i, t in texts():
+        found = []
+        for kind, p in patterns.items():
+            for m in re.finditer(p, t or ""):
+                d = re.sub("[^0-9]", "", m[0])
+                good = {"email": True, "ip": kind == "ip" and all(int(x) <= 255 for x in m[0].split(".")), "card": 13 <= len(d) <= 19 and luhn(d), "phone": 9 <= len(d) <= 15}[kind]
+                if good:
+                    found.append(f"{kind}:{m.start()}:{m.end()}")
+        want[i, ",".join(found)] += 1
+    found = pii.find(docs)
+    assert Counter(map(tuple, found.select("doc_id", pii.spans_text(pii.BASE)).collect())) == want
+    extra = {r.doc_id: r for r in found.collect()}
+    assert [s.text for s in extra[15].iban] == ["DE89 3704 0044 0532 0130 00"] and len(extra[15].local_phone) == 1
+    assert pii.find(empty).count() == 0
+
+
+def test_language(spark, empty):
+    train = {"en": "the cat and the dog of the house with that", "de": "der hund und die katze von dem haus mit nicht", "fr": "le chien et la maison avec les enfants dans une", "es": "el perro y la casa con los hijos de una"}
+    rng = np.random.default_rng(0)
+    rows = []
+    for k in range(160):
+        lang = list(train)[k % 4]
+        words = train[lang].split()
+        rows.append((k, " ".join(rng.choice(words, 25)).upper() if k % 5 == 0 else " ".join(rng.choice(words, 25)), lang))
+    rows += [(900, None, "en"), (901, "", "fr"), (902, "123 !!", None), (903, "the dog", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found, name = language.identify(df, language.train(df))
+    out = {r.doc_id: r for r in found.collect()}
+    assert all(out[k][name].lang_pred == rows[k][2] for k in range(160))
+    assert all(out[k][name] == ("und", 0.0) for k in (900, 901, 902)) and 0 <= out[903][name].score <= 1
+    held = [k for k in range(160) if zlib.crc32(str(k).encode()) % 4 == 2]
+    assert {r.doc_id for r in df.where(language.is_held_out()).collect()} >= set(held)
+    assert language.keep_identified(df).columns == df.columns
+    nothing, name = language.identify(df, language.train(empty))
+    assert {r[name].lang_pred for r in nothing.collect()} == {"und"}
+
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
+<header><h1>Site name</h1></header><nav><ul><li><a href="/a">home</a></li></ul></nav><div class="ad">buy this now today</div>
+%s<footer>&copy; someone &middot; small print here</footer></body></html>"""
+ARTICLE = '<article><h1>Head  line</h1><p><b>First &amp; second<br>third.<p>Next\n one <form><input> send</form></p><div class="comments"><p>nice post</p></div><ul><li>item</li></ul></article>'
+
+
+def test_html_extraction(spark):
+    pages = [(k, "u", PAGE % ARTICLE) for k in range(5)] + [(6, None, None), (7, "u", ""), (8, "u", "just words, no markup"), (9, "u", "<p>unclosed <b>tags"), (10, "u", "<nav>menu</nav>")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    out = {r.page_id: r for r in html_text.extract(df).collect()}
+    assert out[0].text == "Head line\n\nFirst & second third.\n\nNext one\n\nitem"
+    assert out[6].text == out[7].text == out[10].text == ""
+    assert out[8].text == "just words, no markup" and out[9].text == "unclosed tags"
+    assert all(r.n_chars == len(r.text) for r in out.values())
+    assert html_text.extract(df.limit(0)).count() == 0
+
+
+def test_pipeline_stages(spark, docs, tmp_path):
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(BENCH, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    names = [n for n, _ in corpus_pipeline.STAGES]
+    assert len(names) == 5
+    df = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        df = stage(spark, df, str(tmp_path))
+        assert df.columns == docs.columns, name
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    kept = {r.doc_id for r in out}
+    assert 8 not in kept and 9 not in kept and 3 not in kept and 18 not in kept and 0 in kept and 13 in kept
