@@ -26,7 +26,7 @@ def _board(t):
     return _scored(t).join(t.part.select(F.col("p_partkey").alias("player"), F.substring("p_brand", 1, 7).alias("position")), "player")
 
 
-@query("q_scoring_map", _SCORED)
+@query("q_scoring_map", _SCORED, decimals=("points",))
 def scoring_map(t):
     return _scored(t)
 
@@ -34,7 +34,7 @@ def scoring_map(t):
 _RANKED = f"SELECT player, substr(p_brand, 1, 7) AS position, points, row_number() OVER (PARTITION BY substr(p_brand, 1, 7) ORDER BY points DESC, player) AS place FROM ({_SCORED}) JOIN part ON p_partkey = player"
 
 
-@query("q_vorp", f"WITH r AS ({_RANKED}), b AS (SELECT position, points AS baseline FROM r WHERE place = 30) SELECT player, position, place, points, points - baseline AS value FROM r JOIN b USING (position)")
+@query("q_vorp", f"WITH r AS ({_RANKED}), b AS (SELECT position, points AS baseline FROM r WHERE place = 30) SELECT player, position, place, points, points - baseline AS value FROM r JOIN b USING (position)", decimals=("points", "value"))
 def vorp(t):
     return valuation.over_baseline(_board(t), "position", "points", "player", F.lit(30)).select("player", "position", F.col("place").cast("long").alias("place"), "points", F.col("value"))
 
@@ -42,6 +42,7 @@ def vorp(t):
 @query(
     "q_rank_baseline",
     f"WITH r AS ({_RANKED}), n AS (SELECT DISTINCT position, CASE WHEN position IN ('Brand#1', 'Brand#2') THEN 12 * 2 ELSE 12 END AS k FROM r) SELECT r.position, r.points AS baseline FROM r JOIN n ON n.position = r.position AND n.k = r.place",
+    decimals=("baseline",),
 )
 def rank_baseline(t):
     starters = F.when(F.col("position").isin("Brand#1", "Brand#2"), 2).otherwise(1)
@@ -171,6 +172,7 @@ def rival_needs(t):
 @query(
     "q_consensus_bucket",
     "SELECT CASE WHEN l_discount * 10 >= 0.8e0 THEN 'strong' WHEN l_discount * 10 >= 0.5e0 THEN 'split' ELSE 'weak' END AS bucket, l_linestatus, count(*) AS n, round(avg(CASE WHEN l_returnflag = 'R' THEN 1.0e0 ELSE 0.0e0 END), 6) AS hit_rate, sum(CAST(l_tax AS DECIMAL(10,6))) AS cost FROM lineitem GROUP BY ALL",
+    decimals=("cost",),
 )
 def consensus_bucket(t):
     from ..operators.debates import value_report

@@ -143,6 +143,7 @@ def team_names(t):
 @query(
     "q_crosswalk_join",
     "SELECT o_orderpriority, sum(CAST(l_quantity AS DECIMAL(18,2))) AS qty FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE c_acctbal >= 0 GROUP BY ALL",
+    decimals=("qty",),
 )
 def crosswalk_join(t):
     usable = t.customer.where("c_acctbal >= 0")

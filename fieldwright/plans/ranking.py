@@ -40,6 +40,7 @@ def keep_first(t):
 @query(
     "q_points_allowed",
     "SELECT s_nationkey, p_type, sum(CAST(l_extendedprice AS DECIMAL(18,4))) AS points FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey GROUP BY ALL",
+    decimals=("points",),
 )
 def points_allowed(t):
     rows = t.lineitem.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(t.part, F.col("l_partkey") == F.col("p_partkey"))
@@ -142,6 +143,7 @@ def schedule_luck(t):
 @query(
     "q_standings",
     f"WITH w AS ({_REV}), s AS (SELECT team, count(*) FILTER (WHERE pts > 2000000) AS wins, sum(pts) AS pts FROM w GROUP BY team) SELECT team, wins, pts, rank() OVER (ORDER BY wins DESC, pts DESC) AS place FROM s",
+    decimals=("pts",),
 )
 def standings(t):
     from ..operators.season import standings as of

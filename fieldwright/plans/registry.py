@@ -25,9 +25,16 @@ class Tables:
 def registrar(found: dict):
     """A decorator that files a query of Tables under a name with its SQL."""
 
-    def query(name: str, sql: str | None = None):
+    def query(name: str, sql: str | None = None, decimals: tuple[str, ...] = ()):
+        """decimals: exact sums that are returned as doubles, on both sides."""
+
         def wrap(f):
-            found[name] = (lambda spark, sf_dir: f(Tables(spark, sf_dir)), sql)
+            def run(spark, sf_dir):
+                out = f(Tables(spark, sf_dir))
+                return out.withColumns({c: out[c].cast("double") for c in decimals})
+
+            cast = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in decimals)
+            found[name] = (run, f"SELECT * REPLACE ({cast}) FROM ({sql})" if sql and decimals else sql)
             return f
 
         return wrap
