@@ -13,8 +13,10 @@ near copies), hence two passes, exact together:
 
 1. in each block every class is verified against the block's first class; the links found
    join most of a near-copy group at once;
-2. blocks whose classes are still in different components are searched with R-trees, large
-   blocks in tiles of at most ``TILE`` classes a side; surviving pairs are verified.
+2. the other members of blocks that still touch different components are searched with
+   R-trees, large blocks in tiles of about ``TILE`` classes a side.  A pair is found once for
+   each shingle that both prefixes share, and this count bounds the overlap once more; what
+   survives is verified on the whole sets.
 
 Pairs inside one component are never looked at again, and no link that would join two
 components is missed, so the components are those of all links.
@@ -38,6 +40,8 @@ from .words import NOT_SPACE, Words, mixed
 SHINGLE, PERCENT = 5, 80
 GROUPS = 64
 TILE = 512
+#: Rows of tiles that one call of the searcher holds, about.
+GROUP_ROWS = 20_000
 #: Documents (about) from which frequent shingles are learnt, and how many are kept; they
 #: only order shingles and change no result.
 SAMPLE, FREQUENT = 2000, 65_536
@@ -207,22 +211,46 @@ class RTree:
         return nodes[(100 + percent) * bound >= percent * (n + self.sizes[nodes])]
 
 
+#: A block of at most so many classes is compared directly, without a tree.
+SMALL = 48
+
+
+def _candidates(points: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int):
+    """Pairs (index, indexes) of two sides whose bound allows the Jaccard."""
+    if len(left) * len(right) <= SMALL * SMALL:
+        bound = np.minimum(points[left][:, None, :], points[right][None, :, :]).sum(axis=2)
+        sizes = points.sum(axis=1)
+        near = (100 + percent) * bound >= percent * (sizes[left][:, None] + sizes[right][None, :])
+        for k, i in enumerate(left):
+            yield i, right[near[k]]
+        return
+    tree = RTree(points[right])
+    for i in left:
+        yield i, right[tree.near(points[i], percent)]
+
+
 def _tile_searcher(percent: int):
+    """Each group holds whole tiles of many blocks; a pair is returned once for each block."""
+
     def run(table):
-        names = np.array(table.column("class").to_numpy())
-        roots = np.array(table.column("root").to_numpy())
-        points = np.array(table.column("point").to_pylist(), np.int64)
-        mine = np.array(table.column("side").to_numpy())
+        tile = np.array(table.column("tile_id").to_numpy())
+        names, roots, sides = (np.array(table.column(c).to_numpy()) for c in ("class", "root", "side"))
+        flat = table.column("point").combine_chunks().flatten().to_numpy()
+        points = flat.reshape(len(names), -1).astype(np.int64) if len(names) else np.zeros((0, 1), np.int64)
+        order = np.argsort(tile, kind="stable")
+        cuts = np.flatnonzero(np.diff(tile[order])) + 1
         out_u, out_v = [], []
-        left, right = np.flatnonzero(mine != 1), np.flatnonzero(mine != 0)
-        if len(left) and len(right):
-            tree = RTree(points[right])
-            for i in left:
-                hit = right[tree.near(points[i], percent)]
-                hit = hit[(roots[hit] != roots[i]) & ((mine[hit] != 2) | (names[hit] > names[i]))]
-                out_u += [int(names[i])] * len(hit)
-                out_v += names[hit].tolist()
-        return pa.table({"u": pa.array(out_u, pa.int64()), "v": pa.array(out_v, pa.int64())})
+        for rows in np.split(order, cuts):
+            left, right = rows[sides[rows] != 1], rows[sides[rows] != 0]
+            if not len(left) or not len(right) or (roots[rows] == roots[rows[0]]).all():
+                continue
+            for i, hit in _candidates(points, left, right, percent):
+                hit = hit[(roots[hit] != roots[i]) & ((sides[hit] != 2) | (names[hit] > names[i]))]
+                if len(hit):
+                    out_u.append(np.minimum(names[i], names[hit]))
+                    out_v.append(np.maximum(names[i], names[hit]))
+        none = [np.zeros(0, np.int64)]
+        return pa.table({"u": pa.array(np.concatenate(out_u or none)), "v": pa.array(np.concatenate(out_v or none))})
 
     return run
 
@@ -264,7 +292,7 @@ def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_col: s
     release_shuffles(spark)
     members = staged(filed.join(shared, "token").select("token", "u", "class").distinct(), "members")
     release_shuffles(spark)
-    firsts = sketches.where("n > 0").join(classes, ["class", "doc_id"], "left_semi").select("class", "point")
+    firsts = sketches.where("n > 0").join(classes, ["class", "doc_id"], "left_semi").select("class", "n", "point")
     points = staged(firsts.dropDuplicates(["class"]), "points")
     release_shuffles(spark)
 
@@ -275,7 +303,9 @@ def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_col: s
     release_shuffles(spark)
     roots = components(links)
     release_shuffles(spark)
-    rooted = members.join(roots, members["class"] == roots["node"], "left").select("token", "class", F.coalesce("root", "class").alias("root"))
+    # pairs with a block's first class are settled; what is left are its other members
+    others = members.where("u != class")
+    rooted = others.join(roots, others["class"] == roots["node"], "left").select("token", "class", F.coalesce("root", "class").alias("root"))
     rooted = staged(rooted, "rooted")
     open_blocks = rooted.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("m"))
     open_blocks = open_blocks.where("a != b").select("token", F.ceil(F.col("m") / TILE).cast("long").alias("tiles"))
@@ -290,8 +320,18 @@ def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_col: s
         ),
     )
     laid = rooted.join(open_blocks, "token").withColumn("tile", tile).withColumn("spot", F.explode(spots))
-    laid = laid.join(points, "class").select("token", "spot.i", "spot.j", "spot.side", "class", "root", "point")
-    pairs = laid.groupBy("token", "i", "j").applyInArrow(_tile_searcher(percent), "u long, v long").distinct()
+    laid = laid.select(F.xxhash64("token", "spot.i", "spot.j").alias("tile_id"), "spot.side", "class", "root")
+    laid = staged(laid, "tiles")
+    groups = laid.count() // GROUP_ROWS + 1
+    laid = laid.join(points.select("class", "point"), "class").withColumn("work", F.pmod("tile_id", F.lit(groups)))
+    found = laid.groupBy("work").applyInArrow(_tile_searcher(percent), "u long, v long")
+    # classes meet in one block for each shingle that both prefixes hold; beyond the shorter-reaching
+    # prefix at most its own rest can be shared as well
+    met = found.groupBy("u", "v").agg(F.count(F.lit(1)).alias("met"))
+    size_of = lambda side: points.select(F.col("class").alias(side), F.col("n").alias(f"n{side}"))
+    rest = lambda n: F.ceil(F.col(n) * percent / 100) - 1
+    most = F.col("met") + F.greatest(rest("nu"), rest("nv"))
+    pairs = met.join(size_of("u"), "u").join(size_of("v"), "v").where((100 + percent) * most >= percent * (F.col("nu") + F.col("nv"))).select("u", "v")
     pairs = staged(pairs, "tree-pairs")
     release_shuffles(spark)
     final = roots
