@@ -189,8 +189,10 @@ def trade_packages(t):
 
 @query("q_vona")
 def vona(t):
-    board = _board(t).select("player", "position", F.col("points").cast("double").alias("points"), F.row_number().over(Window.orderBy(F.desc("points"), "player")).alias("adp"))
-    return valuation.next_available(board.where("adp <= 240"), sims=400, picks=20)
+    # a draft board is the best 240: found by bounded heaps, numbered afterwards
+    top = _board(t).orderBy(F.desc("points"), "player").limit(240)
+    board = top.select("player", "position", F.col("points").cast("double").alias("points"), F.row_number().over(Window.orderBy(F.desc("points"), "player")).alias("adp"))
+    return valuation.next_available(board, sims=400, picks=20)
 
 
 @query("q_season_mc")
