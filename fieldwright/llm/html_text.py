@@ -1,10 +1,13 @@
 """Main text of web pages as the maximum-scoring run of their tokens.
 
 A page is read as a row of words and tags.  Each gets a weight learnt from labelled pages
-(log odds of lying in the main text): words by the block element around them, tags by
-name and never positive.  The run of tokens with the largest sum, found in one
+(log odds of lying in the main text): words by the block element around them or the
+name of their box, whichever weighs less; tags by name and never positive.  The run of tokens with the largest sum, found in one
 scan, is the content; what never belongs to an article (menus, forms, notices, comments,
-...) is passed over inside it.
+...) is passed over inside it.  A box is passed over by its element, or by a whole class
+name, id or role; one word of a compound ("has-sidebar") has a learnt weight only.  Ids of
+headings, and of sections in the main part, are anchors and say nothing.  Where every
+article (or every main) of a page lies in such boxes, those boxes are not passed over.
 
 Labelled pages are those whose markup names its main part (an ``article`` or ``main``
 element); about ``labelled`` of them, chosen by a hash of the id, are counted.
@@ -37,7 +40,7 @@ _TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>",
     re.S | re.I,
 )
-_NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_NAMES = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -46,45 +49,54 @@ _NEVER = frozenset("nav aside footer form button menu dialog head fieldset".spli
 _NEVER_NAMED = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent notice notices alert popup modal newsletter subscribe sidebar side menu nav navbar navigation navigate breadcrumb breadcrumbs header footer comment comments commentlist disqus reply replies respond share sharing social related recommended widget search login masthead pagination pager complementary contentinfo toolbar".split()
 )
+_WITH_ID = frozenset("div section ul ol table td".split())
 _GENERIC = frozenset("div section a td dd dt".split())
 _CLOSES_P = _BLOCKS - {"body", "html"}
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
 
-def _named_out(attributes: str) -> bool:
-    for groups in _NAMES.findall(attributes):
-        words = _SPLIT.split("".join(groups).lower())
-        if any(w in _NEVER_NAMED for w in words):
-            return True
-    return False
+def _judged(name: str, attributes: str, main: bool) -> tuple[bool, frozenset]:
+    """Whether a box is passed over by a whole name, and the listed words in its names."""
+    whole, words = False, set()
+    for kind, *groups in _NAMES.findall(attributes):
+        if kind.lower() == "id" and (name not in _WITH_ID or (name == "section" and main)):
+            continue
+        for one in "".join(groups).lower().split():
+            whole = whole or (one in _NEVER_NAMED and not (one == "header" and main))
+            words.update(w for w in _SPLIT.split(one) if w in _NEVER_NAMED)
+    return whole, frozenset(words)
 
 
 def tokens_of(page: str):
     """(kind, value, main, out): kind 't' for a tag (its name), 'w' for text (with the block
-    element around it); main: inside article or main; out: inside what is never content."""
-    stack: list[tuple[str, bool, bool]] = []  # name, main, out
+    element around it and the listed words of its boxes' names); main: inside article or main;
+    out: inside what is never content."""
+    stack: list[tuple[str, int]] = []  # name, box
+    boxes: list[tuple[int, bool, frozenset]] = [(0, False, frozenset())]  # parent, main, words
+    cut, parts, found = [False], [], []
     at = 0
 
-    def state() -> tuple[str, bool, bool]:
-        around = next((n for n, _, _ in reversed(stack) if n in _BLOCKS or n == "a"), "body")
-        return around, *(stack[-1][1:] if stack else (False, False))
+    def here() -> int:
+        return stack[-1][1] if stack else 0
+
+    def around() -> str:
+        return next((n for n, _ in reversed(stack) if n in _BLOCKS or n == "a"), "body")
 
     for m in _TOKEN.finditer(page):
         if m.start() > at:
-            around, main, out = state()
-            yield "w", (around, page[at : m.start()]), main, out
+            found.append(("w", (around(), page[at : m.start()]), here()))
         at = m.end()
         name = (m[3] or "").lower()
         if not name:
             continue
         if m[2]:
-            if any(n == name for n, _, _ in stack):
-                _, main, out = state()
+            if any(n == name for n, _ in stack):
+                box = here()
                 while stack:
                     closed = stack.pop()[0]
                     if closed == name:
                         break
-                yield "t", "/" + name, main, out
+                found.append(("t", "/" + name, box))
             continue
         if name in _CLOSES_P:
             for k in range(len(stack) - 1, -1, -1):  # a block begins: an open paragraph ends
@@ -100,15 +112,40 @@ def tokens_of(page: str):
                     break
                 if stack[k][0] in ("ul", "ol", "table", "dl"):
                     break
-        main, out = stack[-1][1:] if stack else (False, False)
-        never = name in _NEVER or (name == "header" and not main) or (name not in ("html", "body", "article", "main") and _named_out(m[4]))
-        inner = (main or name in ("article", "main"), out or never)
-        yield "t", name, *inner
+        parent = here()
+        _, main, words = boxes[parent]
+        never = name in _NEVER or (name == "header" and not main)
+        if name in ("article", "main"):
+            parts.append((name, len(boxes)))
+            main, words = True, frozenset()
+        elif name not in ("html", "body") and m[4]:
+            whole, own = _judged(name, m[4], main)
+            never, words = never or whole, words | own
+        box = len(boxes)
+        boxes.append((parent, main, words))
+        cut.append(never)
+        found.append(("t", name, box))
         if name not in _VOID and not m[4].rstrip().endswith("/"):
-            stack.append((name, *inner))
+            stack.append((name, box))
     if at < len(page):
-        around, main, out = state()
-        yield "w", (around, page[at:]), main, out
+        found.append(("w", (around(), page[at:]), here()))
+    out = _passed_over(boxes, cut)
+    for kind in ("article", "main"):
+        held = [box for name, box in parts if name == kind]
+        if held and all(out[box] for box in held):
+            for box in held:  # boxes around the only ones of the page hold its main part
+                while box:
+                    cut[box], box = False, boxes[box][0]
+            out = _passed_over(boxes, cut)
+    for kind, value, box in found:
+        yield kind, value if kind == "t" else (*value, boxes[box][2]), boxes[box][1], out[box]
+
+
+def _passed_over(boxes: list[tuple[int, bool, frozenset]], cut: list[bool]) -> list[bool]:
+    out: list[bool] = []
+    for (parent, _, _), never in zip(boxes, cut):
+        out.append(never or (bool(out) and out[parent]))
+    return out
 
 
 def labels_of(page: str) -> Counter:
@@ -121,17 +158,21 @@ def labels_of(page: str) -> Counter:
         if kind == "t":
             counts["<" + value, inside] += 1
         else:
-            counts["w " + value[0], inside] += len(value[1].split())
+            n = len(value[1].split())
+            counts["w " + value[0], inside] += n
+            for word in value[2]:
+                counts["n " + word, inside] += n
     return counts
 
 
 def weights_of(counts: dict[tuple[str, bool], int]) -> dict[str, float]:
-    """Log odds by feature, smoothed; a word of an unseen element counts a little in favour."""
+    """Log odds by feature, smoothed; a word of an unseen element counts a little in favour.  Names
+    of boxes only count against."""
     out = {}
     for feature in {f for f, _ in counts}:
         odds = math.log((counts.get((feature, True), 0) + 0.5) / (counts.get((feature, False), 0) + 0.5))
         odds = max(-3.0, min(3.0, odds))
-        out[feature] = odds if feature[0] == "w" else min(-0.05, 0.25 * odds)
+        out[feature] = odds if feature[0] in "wn" else min(-0.05, 0.25 * odds)
     return out
 
 
@@ -145,7 +186,9 @@ def text_of(page: str | None, weights: dict[str, float]) -> str:
             sequence.append((0.0 if out else weights.get("<" + value, -0.1), value, None))
         elif not out:
             n = len(value[1].split())
-            sequence.append((n * weights.get("w " + value[0], 0.5), None, value[1]))
+            weight = weights.get("w " + value[0], 0.5)
+            against = [w for word in value[2] if (w := weights.get("n " + word, 0.0)) < 0]
+            sequence.append((n * min(weight, *against) if against else n * weight, None, value[1]))
     best, total, begin, span = 0.0, 0.0, 0, (0, 0)
     for k, (weight, _, _) in enumerate(sequence):
         if total <= 0:

@@ -402,6 +402,35 @@ def test_html_extraction(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def test_html_names_do_not_cut_content(spark):
+    """Compound names, anchors and boxes around the only article keep their text."""
+    inner = "<h1>Head line</h1><p>first words of the text</p>"
+    whole = "Head line\n\nfirst words of the text"
+    article = f"<article>{inner}</article>"
+    bodies = [
+        f'<div class="layout has-sidebar">{article}</div>',
+        f'<div id="page" class="header-fixed">{article}</div>',
+        f'<div class="no-comments">{article}</div>',
+        f'<div class="sidebar">{article}</div>',
+        f'<form class="search"><main>{inner}</main></form>',
+        f'<main><div class="banner">{article}</div></main>',
+        f'<div class="has-sidebar">{inner}</div>',
+        f'<article data-role="menu"><div data-id="ad">{inner}</div></article>',
+    ]
+    anchors = f'<article>{inner}<h2 id="side-effects">Side</h2><h2 id="navigation">Routes</h2><section id="search-options"><p>more</p></section><section id="search"><p>last</p></section></article>'
+    pages = [(k, "u", PAGE % b) for k, b in enumerate(bodies)] + [(20, "u", PAGE % anchors)]
+    # what is cut stays cut: copies of articles in boxes beside a free one
+    pages.append((21, "u", PAGE % (article + '<div class="comments"><article><p>a comment</p></article></div>')))
+    pages += [(30 + k, "u", PAGE % (article + '<div class="site-notice"><p>some words that are never of the text</p></div>')) for k in range(5)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    out = {r.page_id: r.text for r in html_text.extract(df).collect()}
+    for k in (*range(len(bodies)), 21, 30):
+        assert out[k] == whole, (k, out[k])
+    assert out[20] == whole + "\n\nSide\n\nRoutes\n\nmore\n\nlast"
+    name = html_text.labels_of(pages[-1][2])
+    assert name["n notice", False] == 8 and html_text.weights_of(name)["n notice"] < 0
+
+
 def test_pipeline_stages(spark, docs, tmp_path):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame(BENCH, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
