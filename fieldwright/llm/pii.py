@@ -4,7 +4,12 @@ A regular expression proposes spans of each kind; validators confirm them (Luhn
 mod-97 for bank account numbers, ranges for addresses, lengths for phones).  The kinds of
 ``BASE`` are decided by pattern and validator alone.  Further kinds have a score: what
 their validator is worth, and more where a context word stands in the ``NEAR`` characters
-before or after; they are reported from ``LEAST_SCORE`` on and never overlap a base span.
+before or after; they are reported from ``LEAST_SCORE`` on and never overlap a base span,
+but for account numbers, whose check is the stronger one.
+
+An account number is tried at every place where one can begin, so no other text takes part of
+it: with the fixed length of its country, else (codes without one here) with the longest end
+at a word's end that mod-97 confirms.
 
 Spans are code-point offsets, end exclusive.  They come from marking each match inside the
 text and summing the lengths of the parts between the marks, so they need no Python; only
@@ -35,7 +40,9 @@ _SPANS = "array<struct<start:int,end:int,text:string>>"
 @dataclass(frozen=True)
 class Kind:
     """pattern: Java expression; test: cheap expression over the text that a match implies;
-    valid: check of one match; worth: score of a confirmed match; near: words that add to it."""
+    valid: check of one match; worth: score of a confirmed match; near: words that add to it;
+    spans: confirmed spans of a text, in place of the search for the pattern; sure: whether a
+    confirmed match stands beside a base span."""
 
     name: str
     pattern: str
@@ -43,6 +50,8 @@ class Kind:
     valid: object
     worth: float = 1.0
     near: tuple[str, ...] = field(default=())
+    spans: object = None
+    sure: bool = False
 
 
 def digits_of(text: Column) -> Column:
@@ -78,6 +87,41 @@ def mod97(account: Column) -> Column:
     return (F.length(plain) >= 15) & (F.length(plain) <= 34) & (value == 1)
 
 
+#: Length of account numbers by country (ISO 13616).
+_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU",
+}
+_OF_COUNTRY = "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, c in _LENGTHS.items())
+_LISTED = "|".join(_LENGTHS.values()).replace(" ", "|")
+_ACCOUNT = r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11}"
+
+
+def _accounts(text: Column) -> Column:
+    """Confirmed account numbers in order, none over another: the text is cut at each place where
+    one can begin."""
+    parts = F.split(F.regexp_replace(text, f"(?={_ACCOUNT})", "\x01"), "\x01")
+    empty = F.struct(F.length(F.get(parts, F.lit(0))).alias("at"), F.array().cast(_SPANS).alias("found"))
+
+    def step(acc: Column, part: Column) -> Column:
+        ahead = F.substring(text, acc["at"] + 1, F.lit(68))  # 34 signs, spaces between, and the next one
+        fixed = F.regexp_extract(ahead, rf"^(?:{_OF_COUNTRY})\b", 0)
+        free = F.regexp_extract(ahead, rf"^(?!{_LISTED})[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]){{11,30}}", 0)
+        ends = F.filter(
+            F.sequence(F.greatest(F.length(free), F.lit(15)), F.lit(15), F.lit(-1)),
+            lambda n: F.substring(ahead, n, F.lit(2)).rlike(r"^[A-Z0-9](?:\W|$)") & mod97(F.substring(ahead, F.lit(1), n)),
+        )
+        n = F.when(fixed != "", F.when(mod97(fixed), F.length(fixed))).when(free != "", F.get(ends, F.lit(0)))
+        after = F.coalesce(F.try_element_at(acc["found"]["end"], F.lit(-1)), F.lit(0))
+        span = F.struct(acc["at"].alias("start"), (acc["at"] + n).alias("end"), F.substring(ahead, F.lit(1), n).alias("text"))
+        more = F.when(n.isNotNull() & (acc["at"] >= after), F.array(span)).otherwise(F.array().cast(_SPANS))
+        return F.struct((acc["at"] + F.length(part)).alias("at"), F.concat(acc["found"], more).alias("found"))
+
+    return F.aggregate(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), empty, step)["found"]
+
+
 def _between(low: int, high: int):
     return lambda text: F.length(digits_of(text)).between(low, high)
 
@@ -106,7 +150,16 @@ BASE = (
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", r"text rlike '\\+[0-9]'", _between(9, 15)),
 )
 FURTHER = (
-    Kind("iban", r"\b[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]){11,30}+\b", r"text rlike '[A-Z]{2}[0-9]{2}'", mod97, 0.7, ("iban", "account", "konto", "compte", "cuenta", "bank")),
+    Kind(
+        "iban",
+        _ACCOUNT,
+        r"text rlike '[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11}'",
+        mod97,
+        0.7,
+        ("iban", "account", "konto", "compte", "cuenta", "bank"),
+        _accounts,
+        True,
+    ),
     Kind(
         "ssn",
         r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])",
@@ -147,12 +200,12 @@ def _scored(text: Column, kind: Kind, span: Column) -> Column:
 
 
 def _valid(kind: Kind) -> Column:
-    return F.filter(kind.name, lambda span: kind.valid(span["text"]))
+    return F.col(kind.name) if kind.spans else F.filter(kind.name, lambda span: kind.valid(span["text"]))
 
 
 def _reported(kind: Kind, least_score: float) -> Column:
     free = lambda s: ~F.exists("taken", lambda t: (t["start"] < s["end"]) & (s["start"] < t["end"]))
-    return F.filter(kind.name, lambda span: free(span) & (_scored(F.col("text"), kind, span) >= least_score))
+    return F.filter(kind.name, lambda span: (F.lit(kind.sure) | free(span)) & (_scored(F.col("text"), kind, span) >= least_score))
 
 
 def find(docs: DataFrame, least_score: float = LEAST_SCORE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -161,7 +214,7 @@ def find(docs: DataFrame, least_score: float = LEAST_SCORE, id_col: str = "doc_i
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
     none = F.array().cast(_SPANS)
     for kind in (*BASE, *FURTHER):
-        rows = rows.withColumn(kind.name, F.when(F.expr(kind.test), _matches(F.col("text"), kind)).otherwise(none))
+        rows = rows.withColumn(kind.name, F.when(F.expr(kind.test), kind.spans(F.col("text")) if kind.spans else _matches(F.col("text"), kind)).otherwise(none))
     rows = rows.select("doc_id", "text", *[_valid(k).alias(k.name) for k in (*BASE, *FURTHER)])
     taken = F.concat(*[F.col(k.name) for k in BASE])
     rows = rows.withColumn("taken", taken)

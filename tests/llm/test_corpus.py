@@ -364,6 +364,28 @@ def test_pii(docs, empty):
     assert pii.find(empty).count() == 0
 
 
+def test_account_numbers_before_other_text(spark):
+    de, plain, gb, no, ao, mt = "DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "GB29 NWBK 6016 1331 9268 19", "NO3986011117949", "AO19000400000001234567891", "MT84 MALT 0110 0001 2345 MTLC AST0 01S"
+    cases = [
+        (f"IBAN {de} Please", [de]),
+        (f"{plain} BIC COBADEFFXXX", [plain]),
+        (f"{de} 12 May", [de]),
+        (f"é {de} {gb} {mt}", [de, gb, mt]),
+        (f"RF18 5390 0754 7034 {de} A", ["RF18 5390 0754 7034", de]),  # a payment reference is confirmed by the same rule
+        (f"SE13 3456 {de} END", [de]),
+        (f"Konto {ao} BIC", [ao]),
+        (f"Konto {no} Oslo", [no]),  # its digits pass as a card
+        (f"{de}0 {plain}X x{plain} {de[:-1]}1 Please", []),
+        ("NO ACCOUNT AB12 HERE 3456 OF ANY KIND", []),
+    ]
+    rows = [(k, t) for k, (t, _) in enumerate(cases)]
+    out = {r.doc_id: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, (text, want) in enumerate(cases):
+        assert [s.text for s in out[k].iban] == want, (text, out[k].iban)
+        assert all(text[s.start : s.end] == s.text for s in out[k].iban)
+    assert len(out[7].card) == 1
+
+
 def test_language(spark, empty):
     train = {"en": "the cat and the dog of the house with that", "de": "der hund und die katze von dem haus mit nicht", "fr": "le chien et la maison avec les enfants dans une", "es": "el perro y la casa con los hijos de una"}
     rng = np.random.default_rng(0)
