@@ -98,6 +98,53 @@ def test_lineups_use_each_slot_exactly():
     assert valuation.assign(players[:2], {"QB": 1, "WR": 1}, {}) == []
 
 
+BOARD = "player long, position string, points double"
+
+
+def test_best_lineups_of_large_rosters(spark):
+    """Pruned rosters give what all players give, ties included."""
+    ship(spark)
+    rng = np.random.default_rng(5)
+    rows = [(k, "ABC"[k % 3], float(rng.integers(0, 40))) for k in range(150)]
+    slots, flex = {"A": 1, "B": 1, "FLEX": 1}, {"FLEX": ["B", "C"]}
+    df = spark.createDataFrame(rows, BOARD).withColumn("team", F.col("player") % 2)
+    got = {(r.team, r.place): r.points for r in valuation.best_lineups(df, "team", slots, flex, 4).collect()}
+    for team in (0, 1):
+        want = valuation.assign([r for r in rows if r[0] % 2 == team], slots, flex, 4)
+        assert [got[team, k + 1] for k in range(4)] == [v for v, _ in want]
+
+
+def test_add_drop_takes_every_free_player(spark):
+    """More free players than the former 200, against the assignment of every add and drop."""
+    ship(spark)
+    rng = np.random.default_rng(3)
+    slots = {"A": 2, "B": 1}
+    own = [(t, 10 * t + k, "AAABBC"[k], float(rng.integers(-3, 30))) for t in (1, 2) for k in range(6)] + [(3, 31, "A", 4.0), (3, 32, "B", 5.0), (3, 33, "C", 1.0)]
+    free = [(100 + k, "ABCD"[int(k > 200) * (k % 4)], float(rng.integers(-3, 40)) + 60 * (k < 200)) for k in range(260)]
+    got = {(r["team"], r["add"]): (r["drop"], r["gain"]) for r in valuation.add_drop(spark.createDataFrame(own, "team long, " + BOARD), spark.createDataFrame(free, BOARD), slots).collect()}
+    assert len(got) == 3 * len(free)
+    for team in (1, 2, 3):
+        mine = [p[1:] for p in own if p[0] == team]
+        value = lambda who: next((v for v, _ in valuation.assign(who, slots, {})), 0.0)
+        for add in free:
+            gain, drop = max(((value([p for p in mine if p != d] + [add]) - value(mine), d[0]) for d in mine), key=lambda x: (x[0], -x[1]))
+            assert got[team, add[0]] == (drop, round(gain, 6)), (team, add)
+
+
+def test_queries_leave_no_player_out(spark):
+    import __spark_entry__ as entry
+
+    sf = "/root/testdata/sf0.001"
+    scored = {r[0] for r in spark.read.parquet(f"{sf}/lineitem.parquet").select("l_partkey").distinct().collect()}
+    found = entry.queries()
+    added = {r.add for r in found["q_add_drop"](spark, sf).collect()}
+    assert added == {p for p in scored if p % 50}
+    suppliers = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_suppkey").distinct().count()
+    assert found["q_copula"](spark, sf).count() == suppliers
+    lines = {r.team: r.points for r in found["q_lineup_topn"](spark, sf).where("place = 1").collect()}
+    assert len(lines) == 3
+
+
 def test_tiers_find_separated_groups():
     x = np.concatenate([np.full(10, 100.0) + np.arange(10) * 0.1, np.full(10, 50.0) + np.arange(10) * 0.1, np.full(10, 10.0) + np.arange(10) * 0.1])
     t = valuation.mixture_tiers(x)
