@@ -236,8 +236,8 @@ def add_drop(t):
 def identity_ladder(t):
     from ..operators.identity import resolve_many
 
-    players = t.part.where("p_partkey % 5 = 0").select(F.col("p_partkey").cast("string").alias("player_id"), F.concat(F.lit("00-"), F.col("p_partkey").cast("string")).alias("gsis_id"), F.col("p_name").alias("name"), F.lit("WR").alias("position"), F.col("p_brand").alias("team"))
-    inputs = t.part.where("p_partkey % 5 = 0 or p_partkey % 17 = 0").select(
+    players = t.part.select(F.col("p_partkey").cast("string").alias("player_id"), F.concat(F.lit("00-"), F.col("p_partkey").cast("string")).alias("gsis_id"), F.col("p_name").alias("name"), F.lit("WR").alias("position"), F.col("p_brand").alias("team"))
+    inputs = t.part.select(
         F.lit("feed").alias("source"), F.concat(F.lit("x"), F.col("p_partkey").cast("string")).alias("external_id"), F.concat(F.col("p_name"), F.lit(" Jr")).alias("raw_name"), F.lit("WR").alias("raw_position"),
         F.when(F.col("p_partkey") % 2 == 0, F.col("p_brand")).alias("raw_team"), F.when(F.col("p_partkey") % 15 == 0, F.concat(F.lit("00-"), F.col("p_partkey").cast("string"))).alias("gsis_id"),
     )

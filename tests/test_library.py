@@ -131,6 +131,31 @@ def test_add_drop_takes_every_free_player(spark):
             assert got[team, add[0]] == (drop, round(gain, 6)), (team, add)
 
 
+def test_close_names_of_any_first_letter_and_length(spark):
+    ship(spark)
+    players = spark.createDataFrame(
+        [("p1", None, "Matthew Stafford", "QB", "LAR"), ("p2", None, "Christian Fulton", "RB", "KC"), ("p3", None, "Kristian Fultom", "RB", "KC"), ("p5", None, "Tom Old", "TE", "NE"), ("p6", None, "Tom Old", "TE", "NE")],
+        "player_id string, gsis_id string, name string, position string, team string",
+    )
+    inputs = [("s", "1", "Atthew Stafford", "QB", None, None), ("s", "2", "Kristian Fulton", "RB", None, None), ("s", "3", "Tom Old", "TE", "NE", None)]
+    df = spark.createDataFrame(inputs, "source string, external_id string, raw_name string, raw_position string, raw_team string, gsis_id string")
+    held = spark.createDataFrame([("s", "9", "p5", "manual", 1.0, True)], identity.MAPPINGS)
+    out = {r.external_id: r for r in identity.resolve_many(df, players, held).collect()}
+    assert (out["1"].player_id, out["1"].method) == ("p1", "fuzzy")
+    assert out["2"].player_id == "p3"  # 0.97 against 0.94
+    assert out["3"].method != "exact_name"  # the mapped namesake counts
+    # the bound loses no close pair
+    rng = np.random.default_rng(1)
+    some = ["".join(rng.choice(list("abcde"), rng.integers(1, 9))) for _ in range(150)] + ["josh", "joshua", "geoffrey swaim", "jeoffrey swaim"]
+    pairs = spark.createDataFrame([(a, b, names.jaro_winkler_of(a, b)) for a in some for b in some], "a string, b string, sim double")
+    assert pairs.where(F.col("sim") >= 0.92).where(~identity.may_be_close(F.col("a"), F.col("b"))).isEmpty()
+    # birth date and college
+    more = players.withColumn("birth_date", F.lit("1988-02-07")).withColumn("college", F.lit("Georgia"))
+    for birth, college, reason in (("1990-01-01", None, "fuzzy_eliminated"), (None, "Ohio State", "fuzzy_eliminated"), ("1988-02-07", "georgia bulldogs", "pending")):
+        row = df.where("external_id = 1").withColumn("birth_date", F.lit(birth)).withColumn("college", F.lit(college))
+        assert identity.resolve_many(row, more, None).head().reason == reason
+
+
 def test_queries_leave_no_player_out(spark):
     import __spark_entry__ as entry
 
