@@ -55,9 +55,9 @@ def holes(df: DataFrame, team: str, slot: str, value: str) -> DataFrame:
 
 def monte_carlo(teams: DataFrame, sims: int, chunk: int, weeks: int, playoffs: int) -> DataFrame:
     """Playoff, bye and title chances over seeded seasons; a chunk of seasons is a row of work and
-    counts are summed, so the numbers do not depend on partitions.  teams: a league (bounded)."""
+    counts are summed, so the numbers do not depend on partitions.  teams: all of a league."""
     spark = teams.sparkSession
-    league = spark.sparkContext.broadcast(teams.orderBy("team").limit(64).toPandas())
+    league = spark.sparkContext.broadcast(teams.orderBy("team").toPandas())
 
     def season(rng, mean, sd):
         n = len(mean)

@@ -183,22 +183,20 @@ def consensus_bucket(t):
 
 @query("q_trade_packages")
 def trade_packages(t):
-    rows = _board(t).where("points > 8").select("player", (F.col("player") % 12).alias("team"), "position", F.col("points").cast("double").alias("value"))
+    rows = _board(t).select("player", (F.col("player") % 12).alias("team"), "position", F.col("points").cast("double").alias("value"))
     return valuation.fair_trades(rows, 0.02)
 
 
 @query("q_vona")
 def vona(t):
-    # a draft board is the best 240: found by bounded heaps, numbered afterwards
-    top = _board(t).orderBy(F.desc("points"), "player").limit(240)
-    board = top.select("player", "position", F.col("points").cast("double").alias("points"), F.row_number().over(Window.orderBy(F.desc("points"), "player")).alias("adp"))
+    board = _board(t).select("player", "position", F.col("points").cast("double").alias("points"), F.row_number().over(Window.orderBy(F.desc("points"), "player")).alias("adp"))
     return valuation.next_available(board, sims=400, picks=20)
 
 
 @query("q_season_mc")
 def season_mc(t):
     teams = weekly(t).groupBy("team").agg(F.avg(F.col("pts").cast("double")).alias("mean"), F.stddev_samp(F.col("pts").cast("double")).alias("sd"))
-    return season.monte_carlo(teams.where("team < 12"), sims=2000, chunk=250, weeks=14, playoffs=6)
+    return season.monte_carlo(teams, sims=2000, chunk=250, weeks=14, playoffs=6)
 
 
 @query("q_copula")

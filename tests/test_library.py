@@ -131,6 +131,16 @@ def test_add_drop_takes_every_free_player(spark):
             assert got[team, add[0]] == (drop, round(gain, 6)), (team, add)
 
 
+def test_boards_and_leagues_are_whole(spark):
+    ship(spark)
+    many = spark.range(1100).select(F.col("id").alias("player"), F.when(F.col("id") < 1050, "A").otherwise("B").alias("position"), (1100 - F.col("id")).cast("double").alias("points"), (F.col("id") + 1).alias("adp"))
+    assert valuation.tiers(many.where("id < 500"), "position", "player", "points").count() == 500
+    late = valuation.next_available(many, sims=2, picks=5).where("player = 1050").head()
+    assert late.vona == 0.0  # the best of a position that starts beyond the first 1000
+    teams = spark.range(66).select(F.col("id").alias("team"), F.lit(100.0).alias("mean"), F.lit(10.0).alias("sd"))
+    assert season.monte_carlo(teams, 4, 2, 3, 4).count() == 66
+
+
 def test_close_names_of_any_first_letter_and_length(spark):
     ship(spark)
     players = spark.createDataFrame(
