@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import ship, staged, steps, text_rows
-from .tokenize import END, WordEncoder, path_of
+from .tokenize import END, ENCODE_BYTES, path_of, word_encoder
 
 #: Ids after which a block is closed; a longer document is a block of its own.
 BLOCK_IDS = 1 << 16
@@ -63,7 +63,7 @@ def unpack(data: bytes, width: int, first: int = 0, end: int | None = None) -> n
 
 def _writer(vocabulary: str, width: int, block_ids: int):
     def run(batches):
-        encoder, shard, block, first = WordEncoder(vocabulary), TaskContext.get().partitionId(), 0, 0
+        encoder, shard, block, first = word_encoder(vocabulary), TaskContext.get().partitionId(), 0, 0
         doc_ids, ends, held, size = [], [], [], 0
 
         def closed():
@@ -72,7 +72,7 @@ def _writer(vocabulary: str, width: int, block_ids: int):
 
         for batch in batches:
             ids_of = batch.column("doc_id").to_pylist()
-            for at, values in steps(batch.column("text")):
+            for at, values in steps(batch.column("text"), ENCODE_BYTES):
                 ids, offsets = encoder.encode(values, END)
                 for k in range(len(values)):
                     own = ids[offsets[k] : offsets[k + 1]]

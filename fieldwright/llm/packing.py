@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import ship, staged, steps, text_rows
-from .tokenize import END, WordEncoder, path_of
+from .tokenize import END, ENCODE_BYTES, path_of, word_encoder
 
 CAPACITY, UNIT = 4096, 32
 #: Ids between stored checksums; cuts are made at these places only.
@@ -101,10 +101,10 @@ def prefix_crcs(ids: np.ndarray) -> np.ndarray:
 
 def _cutter(vocabulary: str, capacity: int, unit: int):
     def run(batches):
-        encoder, part, ranks = WordEncoder(vocabulary), TaskContext.get().partitionId(), {}
+        encoder, part, ranks = word_encoder(vocabulary), TaskContext.get().partitionId(), {}
         for batch in batches:
             ids_of = batch.column("doc_id").to_pylist()
-            for at, values in steps(batch.column("text")):
+            for at, values in steps(batch.column("text"), ENCODE_BYTES):
                 ids, offsets = encoder.encode(values, END)
                 rows = []
                 for k in range(len(values)):

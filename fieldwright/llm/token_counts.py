@@ -2,18 +2,20 @@
 
 Offline, every vocabulary string is encoded alone; those that come back as one token are
 the whole tokens.  A pre-token among them counts one without any merging; only the others
-are merged, by the library.  Texts are first cut where a space follows something else,
-which is a pre-token border, and the sums of these pieces are kept in a bounded table.
+are merged, by the library.  Texts are first cut where a pre-token ends whatever follows:
+before white space that follows something else, before a space that something else
+follows, and after a lone line end.  Arrow numbers the distinct pieces and a bounded table
+keeps their counts.
 
 Defined cases: a null text is empty (0 bytes, 0 tokens); special strings in a text are
-special tokens, as the library has it; texts with white space beyond the plain kind are
-encoded whole; repeated rows are counted row by row; other columns are not read.
+special tokens, as the library has it, and part the text; only pieces with white space
+beyond ASCII's are encoded whole; repeated rows are counted row by row; other columns are
+not read.
 """
 
 from __future__ import annotations
 
 import re
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,17 +23,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .shared import ship, steps, text_rows
-from .tokenize import MOST_PIECES, _Pieces, library, path_of
+from .tokenize import ENCODE_BYTES, MOST_PIECES, PieceTable, distinct, encoded, library, opened, path_of
 
 LIMIT = 1024
 
 #: Fixed value: the vocabulary's pre-token pattern.
 PRE_TOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-# White space before a space, or white space beyond ASCII's: then a space need not begin a pre-token.
-_UNUSUAL = re.compile(
-    rb"[ \t\n\r\x0b\x0c\x1c-\x1f] |[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80"
-)
+#: White space beyond ASCII's, and control characters that only some hold to be white space.
+_UNUSUAL = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_SPACE = np.array([b == 0x20 or 0x09 <= b <= 0x0D for b in range(256)])
+#: Bytes that may belong to white space of the unusual kind.
+_MAYBE = np.array([0x1C <= b <= 0x1F or 0x80 <= b <= 0xAF or b in (0xC2, 0xE1, 0xE2, 0xE3) for b in range(256)])
 
 
 def whole_tokens(path: str) -> frozenset[str]:
@@ -47,71 +50,106 @@ def whole_tokens(path: str) -> frozenset[str]:
     return frozenset(found)
 
 
+def cuts(data: bytes, offs: np.ndarray) -> np.ndarray:
+    """Where pieces begin whose counts add up to those of the texts."""
+    raw = np.frombuffer(data, np.uint8)
+    space = _SPACE[raw]
+    solid = ~space & ~_MAYBE[raw]
+    begin = np.zeros(len(raw), bool)
+    begin[1:] = space[1:] & solid[:-1]
+    # a space before something solid; lead bytes of the unusual kind hide behind the next byte
+    begin[:-1] |= (raw[:-1] == 0x20) & solid[1:]
+    if len(raw) > 2:
+        lone = (raw[1:-1] != 0x20) & space[1:-1] & solid[:-2] & solid[2:]
+        begin[2:] |= lone
+    begin[offs[offs < len(raw)]] = True
+    return np.flatnonzero(begin)
+
+
 class Counter:
     """Counts tokens of whole texts; ``whole`` holds the proved whole tokens."""
 
+    TOGETHER = 64
+
     def __init__(self, path: str, whole: frozenset[str], most: int = MOST_PIECES):
         import regex
 
         self.library, self.whole = library(path), whole
-        self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        specials = [re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(specials).encode()) if specials else None
         self.pre_tokens = regex.compile(PRE_TOKEN).findall
-        self.pieces, self.counts = _Pieces(most), np.zeros(0, np.int64)
-        self.merges: dict[str, int] = {}
-
-    def _merged(self, tokens: list[str]) -> None:
-        """Count by merging, for pre-tokens that are no whole token."""
-        for lo in range(0, len(tokens), 20_000):
-            some = tokens[lo : lo + 20_000]
-            for token, got in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False)):
-                self.merges[token] = len(got.ids)
-
-    def _learn(self) -> None:
-        keys = [k.decode("utf-8") for k in self.pieces.fresh()]
-        split = [[k] if any(s in k for s in self.specials) else self.pre_tokens(k) for k in keys]
-        whole, merges = self.whole, self.merges
-        self._merged(list({t: None for own in split for t in own if t not in whole and t not in merges}))
-        counts = [sum(1 if t in whole else merges[t] for t in own) for own in split]
+        names = self.library.get_vocab()
+        self.begins_word = np.zeros(max(names.values()) + 1, bool)
+        self.begins_word[[i for name, i in names.items() if name.startswith("\u0120")]] = True
+        self.table, self.counts = PieceTable(most), np.zeros(0, np.int64)
+
+    def _merged(self, tokens: list[str]) -> dict[str, int]:
+        """Count by merging, for pre-tokens that are no whole token.  Those with a space in front
+        are merged many to a string and told apart by it."""
+        spaced = [t for t in tokens if t[0] == " " and not t.isspace()]
+        ids, _ = encoded(self.library, ["".join(spaced[k : k + self.TOGETHER]) for k in range(0, len(spaced), self.TOGETHER)])
+        begins = np.flatnonzero(self.begins_word[ids])
+        out = {}
+        if len(begins) == len(spaced):
+            out = dict(zip(spaced, np.diff(begins, append=len(ids)).tolist()))
+        rest = [t for t in tokens if t not in out]
+        return out | dict(zip(rest, encoded(self.library, rest)[1].tolist()))
+
+    def _learn(self, new: list[bytes]) -> None:
+        keys = [k.decode("utf-8") for k in new]
+        odd = [k for k in keys if _UNUSUAL.search(k)]
+        split = [None if _UNUSUAL.search(k) else self.pre_tokens(k) for k in keys] if odd else list(map(self.pre_tokens, keys))
+        whole = self.whole
+        merged = self._merged(list({t: None for own in split if own for t in own if t not in whole}))
+        others = dict(zip(odd, encoded(self.library, odd)[1].tolist()))
+        counts = [others[k] if own is None else sum(1 if t in whole else merged[t] for t in own) for k, own in zip(keys, split)]
         self.counts = np.concatenate([self.counts, np.array(counts, np.int64)])
-        while len(merges) > 2 * self.pieces.most:
-            merges.popitem()  # the latest are the rarest
 
     def count(self, values: pa.Array) -> np.ndarray:
-        texts = values.to_pylist()
-        out = np.zeros(len(texts), np.int64)
-        plain, split, odd = [], [], []
-        for k, text in enumerate(texts):
-            if not text:
-                continue
-            if _UNUSUAL.search(text):
-                odd.append(k)
-                continue
-            first, *rest = text.split(b" ")
-            plain.append(k)
-            split.append([*([first] if first else []), *[b" " + x for x in rest]])
-        if odd:
-            got = self.library.encode_batch_fast([texts[k].decode("utf-8") for k in odd], add_special_tokens=False)
-            out[odd] = [len(x.ids) for x in got]
-        if plain:
-            sizes = np.fromiter(map(len, split), np.int64, len(split))
-            number = self.pieces.codes.__getitem__
-            codes = np.fromiter(map(number, chain.from_iterable(split)), np.int64, int(sizes.sum()))
-            if len(self.pieces.codes) > self.pieces.known:
-                self._learn()
-            total = np.concatenate([[0], np.cumsum(self.counts[codes])])
-            ends = np.cumsum(sizes)
-            out[plain] = total[ends] - total[ends - sizes]
-            self.counts = self.counts[: self.pieces.trim()]
-        return out
+        data, offs = opened(values)
+        text_at, extra = offs, np.zeros(len(values), np.int64)
+        if self.special and (found := [m.span() for m in self.special.finditer(data)]):
+            # each special string is one token and parts its text; none reaches over two texts
+            spans = np.array(found, np.int64)
+            own = np.searchsorted(offs, spans[:, 0], "right") - 1
+            inside = spans[:, 1] <= offs[own + 1]
+            spans, own = spans[inside], own[inside]
+            extra = np.bincount(own, minlength=len(values))
+            offs = np.unique(np.concatenate([offs, spans.ravel()]))
+        else:
+            spans = np.zeros((0, 2), np.int64)
+        starts = cuts(data, offs)
+        if not len(starts):
+            return extra
+        numbers, keys = distinct(data, starts)
+        codes, new = self.table.number(keys, np.bincount(numbers, minlength=len(keys)))
+        if new:
+            self._learn(new)
+        own = self.counts[codes[numbers]]
+        at = np.searchsorted(starts, spans[:, 0])
+        own[at] = 0  # special strings are counted above
+        total = np.concatenate([[0], np.cumsum(own)])[np.searchsorted(starts, text_at)]
+        if (kept := self.table.forget(new)) is not None:
+            self.counts = self.counts[kept]
+        return total[1:] - total[:-1] + extra
+
+
+_counters: dict[str, Counter] = {}
+
+
+def _counter(path: str, whole: frozenset[str]) -> Counter:
+    """This process's counter: its table serves all tasks that a worker runs."""
+    if path not in _counters:
+        _counters[path] = Counter(path, whole)
+    return _counters[path]
 
 
 def _mapper(path: str, whole, limit: int):
     def run(batches):
-        counter = None
         for batch in batches:
-            counter = counter or Counter(path, whole.value)
+            counter = _counter(path, whole.value)
             sizes, counts = [], []
-            for _, values in steps(batch.column("text")):
+            for _, values in steps(batch.column("text"), ENCODE_BYTES):
                 sizes.append(pc.binary_length(values).to_numpy(zero_copy_only=False))
                 counts.append(counter.count(values))
             n_bytes = np.concatenate(sizes).astype(np.int64) if sizes else np.zeros(0, np.int64)

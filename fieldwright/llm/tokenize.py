@@ -1,25 +1,31 @@
 """Encoding and counting with public tokenizers, a piece of text at a time.
 
 Both vocabularies split a text into pre-tokens that never span a run of white space, so
-the pieces between white space can be encoded alone.  Pieces repeat: each worker keeps a
-bounded table of those it has met and asks the library only for new ones.
+the pieces between white space can be encoded alone.  Pieces repeat: Arrow numbers the
+distinct ones of a slice of texts, a worker keeps the ids of those it has met in a bounded
+table, and the library is asked for new ones only.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from functools import cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 
-from .words import LOWER
+from .words import LOWER, NOT_SPACE
 
 #: Fixed value: the id appended to each document.
 END = 2
-#: Entries of a worker's tables; what is met later is encoded again each time.
-MOST_PIECES, MOST_WORDS = 600_000, 700_000
+#: Entries of a worker's table; beyond that the less used half is forgotten.
+MOST_PIECES = 700_000
+#: Bytes of a piece that may be kept; a longer one is encoded again each time.
+LONG_PIECE = 64
+#: Bytes of text encoded by one vectorised step.
+ENCODE_BYTES = 8 << 20
 
 
 def path_of(name: str) -> str:
@@ -36,35 +42,64 @@ def library(path: str):
     return Tokenizer.from_file(path)
 
 
-class _Codes(dict):
-    """Numbers keys as they are met."""
-
-    def __missing__(self, key):
-        self[key] = code = len(self)
-        return code
-
-
-class _Pieces:
-    """Piece -> number, number -> values; entries beyond the bound last for one call."""
+class PieceTable:
+    """Numbers of the pieces that a worker has met, and how often; bounded."""
 
     def __init__(self, most: int):
-        self.codes, self.most, self.known = _Codes(), most, 0
+        self.most, self.codes, self.uses = most, {}, np.zeros(0, np.int64)
+
+    def number(self, keys: list[bytes], times: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+        """The number of each key, and the keys that are new, in the order of their numbers."""
+        known = self.codes.get
+        codes = np.fromiter((known(k, -1) for k in keys), np.int64, len(keys))
+        missing = np.flatnonzero(codes < 0)
+        new = [keys[i] for i in missing.tolist()]
+        codes[missing] = len(self.codes) + np.arange(len(new))
+        self.codes.update(zip(new, codes[missing].tolist()))
+        self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int64)])
+        self.uses[codes] += times
+        return codes, new
+
+    def forget(self, new: list[bytes]) -> np.ndarray | None:
+        """Drop long new keys and, from a full table, the less used half; the numbers of those
+        kept, in their new order, or None where all stay."""
+        if len(self.codes) <= self.most and max(map(len, new), default=0) <= LONG_PIECE:
+            return None
+        keys = list(self.codes)
+        order = np.flatnonzero(np.fromiter((len(k) <= LONG_PIECE for k in keys), bool, len(keys)))
+        if len(order) > self.most:
+            order = np.sort(order[np.argsort(-self.uses[order], kind="stable")[: self.most // 2]])
+        self.uses = self.uses[order] // 2
+        self.codes = {keys[i]: n for n, i in enumerate(order.tolist())}
+        return order
+
+
+def encoded(tokenizer, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The library's ids of all texts end to end, and how many each has."""
+    got = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    sizes = np.fromiter(map(len, got), np.int64, len(got))
+    return np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum())), sizes
+
+
+def distinct(data: bytes, starts: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """The number of the piece from each start to the next, and the distinct pieces."""
+    bounds = pa.py_buffer(np.concatenate([starts, [len(data)]]).astype(np.int64))
+    pieces = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, bounds, pa.py_buffer(data)]).dictionary_encode()
+    return pieces.indices.to_numpy(), pieces.dictionary.to_pylist()
+
+
+def opened(values: pa.Array) -> tuple[bytes, np.ndarray]:
+    """The bytes of all texts end to end, and their offsets."""
+    offs = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1]
+    whole = values.buffers()[2]
+    data = bytes(memoryview(whole)[int(offs[0]) : int(offs[-1])]) if whole is not None else b""
+    return data, offs - offs[0]
 
-    def fresh(self) -> list[bytes]:
-        """Keys met since the last call, in order of their numbers."""
-        keys = []
-        for key in reversed(self.codes):
-            if len(keys) == len(self.codes) - self.known:
-                break
-            keys.append(key)
-        return keys[::-1]
 
-    def trim(self) -> int:
-        """Forget what is beyond the bound; returns how many entries stay."""
-        while len(self.codes) > self.most:
-            self.codes.popitem()
-        self.known = len(self.codes)
-        return self.known
+@cache
+def word_encoder(path: str) -> "WordEncoder":
+    """This process's encoder: its table serves all tasks that a worker runs."""
+    return WordEncoder(path)
 
 
 class WordEncoder:
@@ -72,93 +107,89 @@ class WordEncoder:
 
     The normaliser and the pre-tokenizer work within what lies between ASCII white space
     (no composition, no special string and no pre-token reaches over it, and it yields no
-    token), so a text's ids are those of its pieces in turn."""
+    token), so a text's ids are those of its pieces in turn.  New pieces go to the library
+    in strings of ``TOGETHER`` pieces; their ids are told apart by the ids that end words."""
 
+    TOGETHER = 64
     # Latin-1 without no-break space and the digits beyond ASCII: lower case, then letters, digits and the rest split alone.
     _PLAIN = re.compile("[!-~¡-±´-¸º»¿-ÿ]+")
     _PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9]|[^a-z0-9ªµºß-öø-ÿ]+")
 
-    def __init__(self, path: str, most_pieces: int = MOST_PIECES, most_words: int = MOST_WORDS):
-        self.library = library(path)
-        self.pieces, self.words = _Pieces(most_pieces), _Pieces(most_words)
+    def __init__(self, path: str, most: int = MOST_PIECES):
+        self.library, self.table = library(path), PieceTable(most)
+        names = self.library.get_vocab()
+        self.ends_word = np.zeros(max(names.values()) + 1, bool)
+        self.ends_word[[i for name, i in names.items() if name.endswith("</w>")]] = True
         self.ids, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
-        self.word_ids, self.word_ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
-    def _parts(self, key: bytes) -> list[str] | tuple[str, ...]:
-        """Strings that the library may encode one by one in place of the piece."""
-        text = key.decode("utf-8")
+    def _words_in(self, text: str) -> int:
+        """Pre-tokens of a piece; 0 where only the library can tell."""
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
-            return (text,)
-        low = text.lower()
-        if low.isalpha():
-            return (low,)
-        if low[-1] in ",." and low[:-1].isalpha():
-            return (low[:-1], low[-1])
-        if self._PLAIN.fullmatch(text) and "<|" not in text:
-            return self._PARTS.findall(low)
-        return (text,)
-
-    def _learn_words(self) -> None:
-        new = self.words.fresh()
-        flat, sizes = [], np.zeros(len(new), np.int64)
-        for lo in range(0, len(new), 20_000):
-            got = [e.ids for e in self.library.encode_batch_fast(new[lo : lo + 20_000], add_special_tokens=False)]
-            sizes[lo : lo + len(got)] = list(map(len, got))
-            flat.append(np.fromiter(chain.from_iterable(got), np.uint32))
-        self.word_ids = np.concatenate([self.word_ids, *flat])
-        self.word_ends = np.concatenate([self.word_ends, self.word_ends[-1] + np.cumsum(sizes)])
-
-    def _learn(self) -> None:
-        parts = list(map(self._parts, self.pieces.fresh()))
-        counts = np.fromiter(map(len, parts), np.int64, len(parts))
-        codes = np.fromiter(map(self.words.codes.__getitem__, chain.from_iterable(parts)), np.int64, int(counts.sum()))
-        if len(self.words.codes) > self.words.known:
-            self._learn_words()
-        ids, ends = _laid(codes, self.word_ids, self.word_ends)
+            return 0
+        if text.isalpha():
+            return 1
+        return len(self._PARTS.findall(text.lower())) if self._PLAIN.fullmatch(text) and "<|" not in text else 0
+
+    def _learn(self, new: list[bytes]) -> None:
+        texts = [key.decode("utf-8").strip() for key in new]
+        counts = np.fromiter(map(self._words_in, texts), np.int64, len(texts))
+        sizes = np.zeros(len(texts), np.int64)
+        plain, odd = np.flatnonzero(counts), np.flatnonzero(counts == 0)
+        some = [texts[i] for i in plain.tolist()]
+        ids, _ = encoded(self.library, [" ".join(some[k : k + self.TOGETHER]) for k in range(0, len(some), self.TOGETHER)])
+        ends = np.flatnonzero(self.ends_word[ids]) + 1
+        if len(ends) == counts.sum():
+            sizes[plain] = np.diff(ends[np.cumsum(counts[plain]) - 1], prepend=0)
+        else:  # not told apart by their ends: one by one
+            plain, odd, ids = plain[:0], np.arange(len(texts)), ids[:0]
+        odd_ids, sizes[odd] = encoded(self.library, [texts[i] for i in odd.tolist()])
+        both = np.concatenate([plain, odd])
+        ids, after = laid(np.argsort(both), np.concatenate([ids, odd_ids]), np.concatenate([[0], np.cumsum(sizes[both])]))
         self.ids = np.concatenate([self.ids, ids])
-        self.ends = np.concatenate([self.ends, self.ends[-1] + ends[np.cumsum(counts)]])
-        self.word_ids, self.word_ends = _cut(self.words.trim(), self.word_ids, self.word_ends)
+        self.ends = np.concatenate([self.ends, self.ends[-1] + after[1:]])
 
     def encode(self, values: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (UTF-8) end to end, and the offsets of each; ``end`` is appended to each text."""
-        data, offs = _opened(values)
-        split = [data[a:b].split() for a, b in zip(offs, offs[1:])]
-        counts = np.fromiter(map(len, split), np.int64, len(split))
-        number = self.pieces.codes.__getitem__
-        codes = np.fromiter(map(number, chain.from_iterable(split)), np.int64, int(counts.sum()))
-        if len(self.pieces.codes) > self.pieces.known:
-            self._learn()
-        first = self.ends[codes]
-        sizes = self.ends[codes + 1] - first
-        after = np.concatenate([[0], np.cumsum(sizes)])
-        extra = int(end is not None)
-        text = np.repeat(np.arange(len(split)), counts)
-        at = after[:-1] + extra * text  # where each piece's ids go
-        offsets = after[np.concatenate([[0], np.cumsum(counts)])] + extra * np.arange(len(split) + 1)
-        out = np.full(int(offsets[-1]), end or 0, np.uint32)
-        run = np.arange(int(after[-1])) - np.repeat(after[:-1], sizes)
-        out[np.repeat(at, sizes) + run] = self.ids[np.repeat(first, sizes) + run]
-        self.ids, self.ends = _cut(self.pieces.trim(), self.ids, self.ends)
-        return out, offsets
+        data, offs = _spread(*opened(values))
+        starts, first = _word_starts(data, offs)
+        numbers, keys = distinct(data, starts)
+        codes, new = self.table.number(keys, np.bincount(numbers, minlength=len(keys)))
+        if new:
+            self._learn(new)
+        ids, after = laid(codes[numbers], self.ids, self.ends)
+        offsets = after[first]
+        if end is not None:
+            ids = np.insert(ids, offsets[1:], end)
+            offsets = offsets + np.arange(len(offsets))
+        if (kept := self.table.forget(new)) is not None:
+            self.ids, self.ends = laid(kept, self.ids, self.ends)
+        return ids, offsets
+
+
+def _word_starts(data: bytes, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where pieces between white space begin, and where each text's pieces do."""
+    inside = NOT_SPACE[np.frombuffer(data, np.uint8)]
+    begin = inside.copy()
+    begin[1:] &= ~inside[:-1]
+    edges = offs[(offs > 0) & (offs < len(data))]
+    begin[edges] = inside[edges]
+    starts = np.flatnonzero(begin)
+    return starts, np.searchsorted(starts, offs)
 
 
 _SYMBOL = np.array([0x21 <= b <= 0x7E and not chr(b).isalnum() for b in range(256)])
 
 
-def _opened(values: pa.Array) -> tuple[bytes, list[int]]:
+def _spread(data: bytes, offs: np.ndarray) -> tuple[bytes, np.ndarray]:
     """The texts end to end, in lower case, with a space between a letter and a symbol behind it;
     pre-tokens stay the same and pieces repeat more often.  Returns the texts' offsets too.
 
     A pre-token of letters always ends before a symbol.  Slices with the beginning of a
     special string stay as they are: there case and closeness tell."""
-    offs = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1]
-    whole = values.buffers()[2]
-    data = bytes(memoryview(whole)[int(offs[0]) : int(offs[-1])]) if whole is not None else b""
-    offs = offs - offs[0]
     if b"<|" in data or len(data) < 3:
-        return data, offs.tolist()
+        return data, offs
     raw = np.frombuffer(data.translate(LOWER), np.uint8)
     mark = _SYMBOL[raw]
     mark[:2] = False
@@ -171,17 +202,12 @@ def _opened(values: pa.Array) -> tuple[bytes, list[int]]:
     moved = np.cumsum(mark)
     out = np.full(len(raw) + int(moved[-1]), 0x20, np.uint8)
     out[np.arange(len(raw)) + moved] = raw
-    return out.tobytes(), (offs + np.concatenate([[0], moved])[offs]).tolist()
+    return out.tobytes(), offs + np.concatenate([[0], moved])[offs]
 
 
-def _laid(codes: np.ndarray, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def laid(codes: np.ndarray, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The ids of entries end to end, and where each ends (from 0)."""
     first = ends[codes]
     sizes = ends[codes + 1] - first
     after = np.concatenate([[0], np.cumsum(sizes)])
     return ids[np.repeat(first - after[:-1], sizes) + np.arange(int(after[-1]))], after
-
-
-def _cut(kept: int, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The first entries of a table."""
-    return ids[: ends[kept]], ends[: kept + 1]

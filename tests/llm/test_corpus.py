@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -221,6 +222,30 @@ def test_token_counts(docs, empty):
     assert token_counts.token_counts(empty).count() == 0
 
 
+AWKWARD = list(" \n\t\x0b ab1.,'é\xa0\u3000\x1c<|") + ["<|endoftext|>", "'s", "\u3000", "£", "中", "İ", "ß", "½"]
+
+
+def awkward_texts():
+    rng = np.random.default_rng(1)
+    return ["".join(rng.choice(AWKWARD, rng.integers(0, 25))) for _ in range(4000)] + ["a  <|endoftext|>  b", "<|endof", "text|>", "x" * 5000, "", " ", "\n\n"]
+
+
+def test_encoders_agree_with_the_library_on_awkward_texts():
+    from fieldwright.llm.tokenize import WordEncoder, library
+
+    rows = awkward_texts()
+    words, encoder = library(path_of("word_bpe_49k.json")), WordEncoder(path_of("word_bpe_49k.json"), most=500)
+    pieces = library(path_of("byte_bpe_50k.json"))
+    counter = token_counts.Counter(path_of("byte_bpe_50k.json"), token_counts.whole_tokens(path_of("byte_bpe_50k.json")), most=500)
+    for lo in range(0, len(rows), 900):  # several steps through a small table
+        some = rows[lo : lo + 900]
+        values = pa.array(some, pa.large_string()).cast(pa.large_binary())
+        ids, offsets = encoder.encode(values, 2)
+        want = [e.ids + [2] for e in words.encode_batch(some, add_special_tokens=False)]
+        assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == want
+        assert counter.count(values).tolist() == [len(e.ids) for e in pieces.encode_batch(some, add_special_tokens=False)]
+
+
 def test_whole_tokens_are_proved():
     from tokenizers import Tokenizer
 
