@@ -133,7 +133,7 @@ class WordEncoder:
         return len(self._PARTS.findall(text.lower())) if self._PLAIN.fullmatch(text) and "<|" not in text else 0
 
     def _learn(self, new: list[bytes]) -> None:
-        texts = [key.decode("utf-8").strip() for key in new]
+        texts = [key.strip().decode("utf-8") for key in new]  # ASCII white space only
         counts = np.fromiter(map(self._words_in, texts), np.int64, len(texts))
         sizes = np.zeros(len(texts), np.int64)
         plain, odd = np.flatnonzero(counts), np.flatnonzero(counts == 0)
