@@ -346,7 +346,7 @@ def test_line_dedup(docs, empty):
         if w in firsts:
             continue
         same = [x for x in lines if x[3] == w]
-        gone_all = len(w) >= 8 and any(len(x) >= 8 and near(w, x) for x in firsts)
+        gone_all = len(w) >= 5 and any(len(x) >= 5 and near(w, x) for x in firsts)
         for x in same if gone_all else same[1:]:
             drop[x[0], x[1]].add(x[2])
     for (i, t), n in Counter(texts()).items():
@@ -358,6 +358,35 @@ def test_line_dedup(docs, empty):
     assert stage.columns == docs.columns
 
 
+def test_line_dedup_of_random_lines(spark):
+    rng = np.random.default_rng(4)
+    lines = [[WORD[k] for k in rng.integers(0, 9, rng.integers(3, 10))] for _ in range(150)]
+    for _ in range(250):  # edited copies of any line so far
+        w = list(lines[rng.integers(0, len(lines))])
+        at = int(rng.integers(0, len(w)))
+        w[at : at + int(rng.integers(0, 2))] = [WORD[rng.integers(0, 9)]] * int(rng.integers(0, 2))
+        lines.append(w or ["alpha"])
+    rows = [(k // 4, "\n".join(" ".join(w) for w in lines[k : k + 4])) for k in range(0, len(lines), 4)]
+    out, gone = line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r.doc_id: r.text.split("\n") if r.text else [] for r in out.collect()}
+    for i, _ in rows:
+        kept = []
+        for k in range(4 * i, min(4 * i + 4, len(lines))):
+            w, earlier = lines[k], lines[:k]
+            if not (w in earlier or (len(w) >= 5 and any(len(x) >= 5 and near(w, x) for x in earlier))):
+                kept.append(" ".join(w))
+        assert got[i] == kept, i
+
+
+def test_line_dedup_of_very_long_lines(spark):
+    line = phrase(31, 100_000).split()
+    other = [*line[:70_000], "changed", *line[70_001:]]
+    more = [*line[:20], *line[21:]]
+    rows = [(k, " ".join(w)) for k, w in enumerate((line, other, more, phrase(32, 100_000).split()))]
+    out, gone = line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r[gone] for r in out.collect()} == {0: 0, 1: 1, 2: 1, 3: 0}
+
+
 def test_pii(docs, empty):
     def luhn(s):
         total = 0
