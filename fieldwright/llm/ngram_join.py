@@ -1,24 +1,26 @@
 """Jaccard self-join on word shingles, with count-vector R-trees.
 
 A document's set holds the hashes of its distinct shingles; documents with one set form a
-class, and the join runs over classes.  Shingles are hashed into ``GROUPS`` groups and the
-group counts of a set are a point.  For two points the sum of coordinate minima bounds the
-overlap, and for a box of points the minima against its upper corner do, so an R-tree over
-points prunes whole subtrees of a search.
-
-To deal the work out, classes meet in blocks: two sets with Jaccard t share a shingle
-among the first n - ceil(t n) + 1 of each in any one order (frequent shingles are ordered
-last), so every link lies inside the block of some shingle.  Blocks can be huge (groups of
-near copies), hence two passes, exact together:
-
-1. in each block every class is verified against the block's first class; the links found
-   join most of a near-copy group at once;
-2. the other members of blocks that still touch different components are searched with
-   R-trees, large blocks in tiles of about ``TILE`` classes a side.  A pair is found once for
-   each shingle that both prefixes share, and this count bounds the overlap once more; what
-   survives is verified on the whole sets.
-
-Pairs inside one component are never looked at again, and no link that would join two
+class (named by 128 bits), and the join runs over classes, the nodes.  Shingles are hashed
+into ``GROUPS`` groups and the group counts of a set are a point.  For two points the sum of
+coordinate minima bounds the overlap, and for a box of points the minima against its upper
+corner do, so an R-tree over points prunes whole subtrees of a search.
+
+To deal the work out, nodes meet in blocks: two sets with Jaccard t share a shingle among
+the first n - ceil(t n) + 1 of each in any one order (frequent shingles are ordered last),
+so every link lies inside the block of some shingle.  The blocks with one least node are
+one group, where a node lists the shingles by which it belongs there.  Groups can be huge
+(near copies), hence two passes, exact together:
+
+1. every member of a group is verified against two pivots, the group's least node and the
+   one whose shingles the most others share; the links found join most of a near-copy group;
+2. groups whose other members still lie in different components are searched with R-trees,
+   large ones in tiles of about ``TILE`` nodes a side.  A pair is returned once a group,
+   and only if the shingles that both list there, those that either may share elsewhere and
+   the rests beyond the prefixes allow the overlap; the shared counts of all groups bound it
+   once more, and what survives is verified on the whole sets.
+
+Pairs inside one component are not looked at again, and no link that would join two
 components is missed, so the components are those of all links.
 
 Defined cases: a null text, or one without words, has an empty set and links with nothing;
@@ -30,21 +32,26 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import drop_staged, release_shuffles, ship, staged, steps, text_rows
+from .shared import drop_staged, fresh, release_shuffles, ship, staged, steps, text_rows
 from .words import NOT_SPACE, Words, mixed
 
 SHINGLE, PERCENT = 5, 80
 GROUPS = 64
 TILE = 512
 #: Rows of tiles that one call of the searcher holds, about.
-GROUP_ROWS = 20_000
+GROUP_ROWS = 4096
 #: Documents (about) from which frequent shingles are learnt, and how many are kept; they
 #: only order shingles and change no result.
 SAMPLE, FREQUENT = 2000, 65_536
+#: Pairs of one node that are verified in one place, and how many such nodes are split at most.
+HUB, HUBS = 4096, 10_000
+#: Columns of one product when listed shingles are counted.
+SLICE = 2048
 #: Size of the bit table that may be broadcast (2 MB), and an eighth of it the most ids it stands for.
 BITS = 1 << 24
 
@@ -75,10 +82,12 @@ def point_of(tokens: np.ndarray, groups: int = GROUPS) -> np.ndarray:
     return np.bincount((tokens >> shift).astype(np.int64), minlength=groups).astype("<i4")
 
 
-def class_of(tokens: np.ndarray) -> int:
-    """A 64-bit name of the set, for grouping equal sets."""
+def class_of(tokens: np.ndarray) -> tuple[int, int]:
+    """A 128-bit name of the set, for grouping equal sets."""
     sums = np.array([tokens.sum(dtype=np.uint64), mixed(tokens ^ _SALT).sum(dtype=np.uint64), len(tokens)], np.uint64)
-    return int(np.bitwise_xor.reduce(mixed(sums * _SALT + np.arange(3, dtype=np.uint64))).view(np.int64))
+    names = (np.bitwise_xor.reduce(mixed(sums * salt + np.arange(3, dtype=np.uint64))) for salt in (_SALT, _SALT + np.uint64(2)))
+    first, second = (int(x.view(np.int64)) for x in names)
+    return first, second
 
 
 def _prefix(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
@@ -91,28 +100,31 @@ def _prefix(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarra
     return tokens[order[:keep]]
 
 
-_SKETCH = "doc_id long, n long, class long, prefix array<long>, point array<int>"
+_SKETCH = "doc_id long, tag long, n long, c1 long, c2 long, prefix array<long>, point array<int>"
+
+
+def _names(sets: list[np.ndarray]) -> list[pa.Array]:
+    names = np.array([class_of(s) for s in sets], np.int64).reshape(len(sets), 2)
+    return [pa.array(names[:, 0]), pa.array(names[:, 1])]
+
+
+def _lists(values: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, values)])
+    return pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(np.concatenate([np.zeros(0, values[0].dtype), *values]))) if values else pa.array([], pa.large_list(pa.int64()))
 
 
 def _sketcher(size: int, percent: int, frequent):
     def run(batches):
         often = frequent.value
         for batch in batches:
-            ids = batch.column("doc_id")
+            ids, tags = batch.column("doc_id"), batch.column("tag")
             for at, values in steps(batch.column("text")):
                 sets = shingle_sets(values, size)
-                prefixes = [_prefix(s, often, percent).view(np.int64) if len(s) else None for s in sets]
-                ends = np.cumsum([0, *[0 if p is None else len(p) for p in prefixes]])
-                flat = np.concatenate([np.zeros(0, np.int64), *[p for p in prefixes if p is not None]])
+                prefixes = [_prefix(s, often, percent).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets]
+                points = _lists([point_of(s) for s in sets]).cast(pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        ids.slice(at, len(values)),
-                        pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([class_of(s) for s in sets], pa.int64()),
-                        pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)),
-                        pa.array([point_of(s) for s in sets], pa.list_(pa.int32())),
-                    ],
-                    names=["doc_id", "n", "class", "prefix", "point"],
+                    [ids.slice(at, len(values)), tags.slice(at, len(values)), pa.array([len(s) for s in sets], pa.int64()), *_names(sets), _lists(prefixes).cast(pa.list_(pa.int64())), points],
+                    names=["doc_id", "tag", "n", "c1", "c2", "prefix", "point"],
                 )
 
     return run
@@ -136,9 +148,8 @@ def _set_lister(size: int, wanted):
                 batch = batch.filter(pa.array(_in_bits(wanted.value, batch.column("slot").to_numpy())))
             for _, values in steps(batch.column("text")):
                 sets = shingle_sets(values, size)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([class_of(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["class", "tokens"]
-                )
+                tokens = _lists([s.view(np.int64) for s in sets]).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*_names(sets), tokens], names=["c1", "c2", "tokens"])
 
     return run
 
@@ -147,24 +158,31 @@ def _in_bits(table: np.ndarray, slots: np.ndarray) -> np.ndarray:
     return (table[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 == 1
 
 
-def _sets_for(pairs: DataFrame, classes: DataFrame, rows: DataFrame, size: int) -> DataFrame:
-    """Shingle sets of the classes in some pairs, from one document each.
+def _sets_for(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, size: int, bits: int) -> DataFrame:
+    """(node, tokens): shingle sets of the nodes in some pairs, from one document each.
 
-    Up to ``BITS`` / 8 classes their ids are sent as a bit table of ``BITS`` bits, and the texts
+    Up to ``bits`` / 8 nodes their ids are sent as a bit table of ``bits`` bits, and the texts
     are scanned where they are (a few more sets than asked for do no harm); beyond that the
     texts are joined with the ids."""
     spark = rows.sparkSession
-    ids = pairs.select(F.col("u").alias("class")).union(pairs.select("v")).distinct().join(classes, "class").select("doc_id").distinct()
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(BITS))
-    if ids.count() <= BITS // 8:
+    wanted = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct().join(nodes, "node").select("node", "c1", "c2", "doc_id")
+    wanted = staged(wanted, "wanted")
+    ids = wanted.select("doc_id").distinct()
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    kind = "c1 long, c2 long, tokens array<long>"
+    if wanted.count() <= bits // 8:
         spots = ids.select(slot.alias("s")).selectExpr("cast(shiftright(s, 3) as int) as byte", "shiftleft(1, cast(s % 8 as int)) as bit")
         parts = spots.groupBy("byte").agg(F.bit_or("bit").alias("bits"))
-        table = np.zeros(BITS // 8, np.uint8)
-        got = parts.toArrow()  # at most BITS / 8 rows of two numbers
+        table = np.zeros(max(1, bits // 8), np.uint8)
+        got = parts.toArrow()  # at most bits / 8 rows of two numbers
         table[got.column("byte").to_numpy()] = got.column("bits").to_numpy().astype(np.uint8)
         shipped = spark.sparkContext.broadcast(table)
-        return staged(rows.select("text", slot.alias("slot")).mapInArrow(_set_lister(size, shipped), "class long, tokens array<long>"), "sets")
-    return staged(rows.join(ids, "doc_id", "left_semi").select("text").mapInArrow(_set_lister(size, None), "class long, tokens array<long>"), "sets")
+        found = rows.select("text", slot.alias("slot")).mapInArrow(_set_lister(size, shipped), kind)
+    else:
+        found = rows.join(ids, "doc_id", "left_semi").select("text").mapInArrow(_set_lister(size, None), kind)
+    # of the documents of one class any has the set
+    found = found.join(wanted.select("node", "c1", "c2"), ["c1", "c2"]).select("node", "tokens").dropDuplicates(["node"])
+    return staged(found, "sets")
 
 
 class RTree:
@@ -229,88 +247,136 @@ def _candidates(points: np.ndarray, left: np.ndarray, right: np.ndarray, percent
         yield i, right[tree.near(points[i], percent)]
 
 
+def _shared(lists: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many listed shingles each pair of two sides has in common."""
+    own = np.concatenate([lists[i] for i in (*left, *right)])
+    _, columns = np.unique(own, return_inverse=True)
+    ends = np.cumsum([0, *(len(lists[i]) for i in (*left, *right))])
+    out = np.zeros((len(left), len(right)), np.float32)
+    for low in range(0, int(columns.max(initial=-1)) + 1, SLICE):
+        part = np.zeros((len(ends) - 1, SLICE), np.float32)
+        inside = (columns >= low) & (columns < low + SLICE)
+        part[(np.searchsorted(ends, np.flatnonzero(inside), "right") - 1), columns[inside] - low] = 1
+        out += part[: len(left)] @ part[len(left) :].T
+    return out.astype(np.int64)
+
+
 def _tile_searcher(percent: int):
-    """Each group holds whole tiles of many blocks; a pair is returned once for each block."""
+    """Each call holds whole tiles of many groups; a pair is returned once for a group, with the
+    number of shingles that both list there."""
 
     def run(table):
         tile = np.array(table.column("tile_id").to_numpy())
-        names, roots, sides = (np.array(table.column(c).to_numpy()) for c in ("class", "root", "side"))
+        names, roots, sides, sizes, all_open = (np.array(table.column(c).to_numpy()) for c in ("node", "root", "side", "n", "n_open"))
         flat = table.column("point").combine_chunks().flatten().to_numpy()
         points = flat.reshape(len(names), -1).astype(np.int64) if len(names) else np.zeros((0, 1), np.int64)
+        tokens = table.column("tokens").combine_chunks()
+        held, ends = tokens.flatten().to_numpy(), np.cumsum([0, *pc.list_value_length(tokens).to_pylist()])
+        lists = [held[a:b] for a, b in zip(ends, ends[1:])]
+        rest = -(-percent * sizes // 100) - 1
+        elsewhere = all_open - np.diff(ends)
         order = np.argsort(tile, kind="stable")
         cuts = np.flatnonzero(np.diff(tile[order])) + 1
-        out_u, out_v = [], []
+        out_u, out_v, out_met = [], [], []
         for rows in np.split(order, cuts):
             left, right = rows[sides[rows] != 1], rows[sides[rows] != 0]
             if not len(left) or not len(right) or (roots[rows] == roots[rows[0]]).all():
                 continue
-            for i, hit in _candidates(points, left, right, percent):
-                hit = hit[(roots[hit] != roots[i]) & ((sides[hit] != 2) | (names[hit] > names[i]))]
+            shared, at = _shared(lists, left, right), {int(j): k for k, j in enumerate(right)}
+            for k, (i, hit) in enumerate(_candidates(points, left, right, percent)):
+                met = shared[k, [at[int(j)] for j in hit]]
+                most = met + np.minimum(elsewhere[hit], elsewhere[i]) + np.maximum(rest[hit], rest[i])
+                keep = (met > 0) & (roots[hit] != roots[i]) & ((sides[hit] != 2) | (names[hit] > names[i]))
+                keep &= (100 + percent) * most >= percent * (sizes[hit] + sizes[i])
+                hit, met = hit[keep], met[keep]
                 if len(hit):
                     out_u.append(np.minimum(names[i], names[hit]))
                     out_v.append(np.maximum(names[i], names[hit]))
+                    out_met.append(met)
         none = [np.zeros(0, np.int64)]
-        return pa.table({"u": pa.array(np.concatenate(out_u or none)), "v": pa.array(np.concatenate(out_v or none))})
+        return pa.table({name: pa.array(np.concatenate(out or none)) for name, out in (("u", out_u), ("v", out_v), ("met", out_met))})
 
     return run
 
 
+def _joined(pairs: DataFrame, table: DataFrame) -> DataFrame:
+    """Pairs (u, v, ...) with the columns of ``table`` (node, x) for either side, as xu and xv.
+
+    The nodes with the most pairs are split: their row goes to as many places as their pairs
+    are dealt to.  Only their names are broadcast, ``HUBS`` at most; that a lesser hub is not
+    split costs time only."""
+    for side, other in (("u", "v"), ("v", "u")):
+        name = next(c for c in table.columns if c != "node")
+        hubs = pairs.groupBy(side).agg(F.ceil(F.count(F.lit(1)) / HUB).cast("int").alias("ways")).where("ways > 1")
+        hubs = F.broadcast(hubs.orderBy(F.desc("ways"), side).limit(HUBS))
+        ways = F.coalesce(F.col("ways"), F.lit(1))
+        dealt = pairs.join(hubs, side, "left").withColumn("way", F.pmod(F.xxhash64(other), ways)).drop("ways")
+        copies = table.select(F.col("node").alias(side), F.col(name).alias(name + side)).join(hubs, side, "left")
+        copies = copies.withColumn("way", F.explode(F.sequence(F.lit(0).cast("long"), ways.cast("long") - 1))).drop("ways")
+        pairs = dealt.join(copies, [side, "way"]).drop("way")
+    return pairs
+
+
 def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     """Pairs whose summed coordinate minima allow the Jaccard."""
-    a = points.select(F.col("class").alias("u"), F.col("point").alias("pa"))
-    b = points.select(F.col("class").alias("v"), F.col("point").alias("pb"))
     total = lambda c: F.aggregate(c, F.lit(0), lambda acc, x: acc + x)
-    bound = total(F.zip_with("pa", "pb", lambda x, y: F.least(x, y)))
-    return pairs.join(a, "u").join(b, "v").where((100 + percent) * bound >= percent * (total("pa") + total("pb"))).select("u", "v")
+    bound = total(F.zip_with("pointu", "pointv", lambda x, y: F.least(x, y)))
+    both = _joined(pairs, points.select("node", "point"))
+    return both.where((100 + percent) * bound >= percent * (total("pointu") + total("pointv"))).select("u", "v")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    a = sets.select(F.col("class").alias("u"), F.col("tokens").alias("ta"))
-    b = sets.select(F.col("class").alias("v"), F.col("tokens").alias("tb"))
-    both = F.size(F.array_intersect("ta", "tb"))
-    return pairs.join(a, "u").join(b, "v").where((100 + percent) * both >= percent * (F.size("ta") + F.size("tb"))).select("u", "v")
+    both = F.size(F.array_intersect("tokensu", "tokensv"))
+    return _joined(pairs, sets).where((100 + percent) * both >= percent * (F.size("tokensu") + F.size("tokensv"))).select("u", "v")
 
 
-def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, class, component_id (the smallest doc_id
-    that links reach; a document's own where it has none)."""
-    spark = docs.sparkSession
+def _linked(rows: DataFrame, size: int, percent: int, bits: int) -> DataFrame:
+    """rows (doc_id, tag, text) -> doc_id, tag, n, root, component_id; a root is a node, null
+    where the set is empty or the id null."""
+    spark = rows.sparkSession
     ship(spark)
-    rows = text_rows(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     total = rows.count()
     share = min(1_000_000, int(1_000_000 * SAMPLE / max(total, 1)) + 1)
     some = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)
-    often = some.mapInArrow(_token_lister(size), "token long").groupBy("token").count().where("count >= 5")
+    often = some.select("text").mapInArrow(_token_lister(size), "token long").groupBy("token").count().where("count >= 5")
     often = [r[0] for r in often.orderBy(F.desc("count"), "token").limit(FREQUENT).collect()]
     frequent = spark.sparkContext.broadcast(np.sort(np.array(often, np.int64).view(np.uint64)))
     sketches = staged(rows.mapInArrow(_sketcher(size, percent, frequent), _SKETCH), "sketches")
+    frequent.destroy()
 
-    classes = sketches.where("n > 0 and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
-    filed = sketches.where("n > 0 and doc_id is not null").select("class", F.explode("prefix").alias("token"))
-    shared = filed.groupBy("token").agg(F.min("class").alias("u"), F.max("class").alias("last")).where("u != last").select("token", "u")
-    shared = staged(shared, "blocks")
-    release_shuffles(spark)
-    members = staged(filed.join(shared, "token").select("token", "u", "class").distinct(), "members")
+    named = sketches.where("n > 0 and doc_id is not null").groupBy("c1", "c2").agg(F.min("doc_id").alias("doc_id"))
+    nodes = staged(named.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    points = sketches.where("n > 0").join(nodes, ["c1", "c2", "doc_id"]).dropDuplicates(["c1", "c2", "doc_id"]).select("node", "n", "prefix", "point")
+    points = staged(points, "points")
     release_shuffles(spark)
-    firsts = sketches.where("n > 0").join(classes, ["class", "doc_id"], "left_semi").select("class", "n", "point")
-    points = staged(firsts.dropDuplicates(["class"]), "points")
+    filed = points.select("node", F.explode("prefix").alias("token"))
+    blocks = staged(filed.groupBy("token").agg(F.min("node").alias("u"), F.count(F.lit(1)).alias("m")).where("m > 1"), "blocks")
+    members = staged(filed.join(blocks, "token").select("u", "node", "token", "m"), "members")
     release_shuffles(spark)
 
-    star = members.where("u != class").select("u", F.col("class").alias("v")).distinct()
+    # pass 1: two pivots a group
+    shares = members.groupBy("u", "node").agg(F.sum("m").alias("weight"))
+    shares = staged(shares, "shares")
+    pivots = shares.groupBy("u").agg(F.max(F.struct("weight", F.col("node").alias("p")))["p"].alias("p"))
+    pivots = staged(pivots, "pivots")
+    ordered = lambda a, b: (F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))
+    star = shares.select(*ordered("u", "node")).union(shares.join(pivots, "u").select(*ordered("p", "node"))).where("u != v").distinct()
     star = staged(_bounded(star, points, percent), "star-pairs")
-    release_shuffles(spark)
-    links = staged(_verified(star, _sets_for(star, classes, rows, size), percent), "star-links")
-    release_shuffles(spark)
+    links = staged(_verified(star, _sets_for(star, nodes, rows, size, bits), percent), "star-links")
     roots = components(links)
     release_shuffles(spark)
-    # pairs with a block's first class are settled; what is left are its other members
-    others = members.where("u != class")
-    rooted = others.join(roots, others["class"] == roots["node"], "left").select("token", "class", F.coalesce("root", "class").alias("root"))
-    rooted = staged(rooted, "rooted")
-    open_blocks = rooted.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("m"))
-    open_blocks = open_blocks.where("a != b").select("token", F.ceil(F.col("m") / TILE).cast("long").alias("tiles"))
-    # a class stands in each tile of its row and column, as side 0, 1, or 2 on the diagonal
-    tile = F.pmod(F.xxhash64("class"), F.col("tiles"))
+
+    # pass 2: the other members of groups that are not one component yet
+    others = shares.join(pivots, "u").where("node != u and node != p").select("u", "node")
+    others = others.join(roots, "node", "left").select("u", "node", F.coalesce("root", "node").alias("root"))
+    others = staged(others, "others")
+    open_groups = others.groupBy("u").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("m"))
+    open_groups = open_groups.where("a != b").select("u", F.ceil(F.col("m") / TILE).cast("long").alias("tiles"))
+    listed = members.join(others.join(open_groups, "u"), ["u", "node"]).groupBy("u", "node", "root", "tiles").agg(F.collect_list("token").alias("tokens"))
+    listed = staged(listed, "listed")  # a list is no longer than its node's prefix
+    n_open = listed.groupBy("node").agg(F.sum(F.size("tokens")).alias("n_open"))
+    described = points.select("node", "n", "point").join(n_open, "node")
+    # a node stands in each tile of its row and column, as side 0, 1, or 2 on the diagonal
     spots = F.transform(
         F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1),
         lambda k: F.struct(
@@ -319,16 +385,15 @@ def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_col: s
             F.when(k == F.col("tile"), 2).when(k > F.col("tile"), 0).otherwise(1).alias("side"),
         ),
     )
-    laid = rooted.join(open_blocks, "token").withColumn("tile", tile).withColumn("spot", F.explode(spots))
-    laid = laid.select(F.xxhash64("token", "spot.i", "spot.j").alias("tile_id"), "spot.side", "class", "root")
+    laid = listed.join(described, "node").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles"))).withColumn("spot", F.explode(spots))
+    laid = laid.select(F.xxhash64("u", "spot.i", "spot.j").alias("tile_id"), "spot.side", "node", "root", "n", "n_open", "point", "tokens")
     laid = staged(laid, "tiles")
-    groups = laid.count() // GROUP_ROWS + 1
-    laid = laid.join(points.select("class", "point"), "class").withColumn("work", F.pmod("tile_id", F.lit(groups)))
-    found = laid.groupBy("work").applyInArrow(_tile_searcher(percent), "u long, v long")
-    # classes meet in one block for each shingle that both prefixes hold; beyond the shorter-reaching
-    # prefix at most its own rest can be shared as well
-    met = found.groupBy("u", "v").agg(F.count(F.lit(1)).alias("met"))
-    size_of = lambda side: points.select(F.col("class").alias(side), F.col("n").alias(f"n{side}"))
+    calls = laid.count() // GROUP_ROWS + 1
+    found = laid.withColumn("work", F.pmod("tile_id", F.lit(calls))).groupBy("work").applyInArrow(_tile_searcher(percent), "u long, v long, met long")
+    # nodes meet in one block for each shingle that both prefixes hold; beyond the prefix that ends
+    # first at most its own rest can be shared as well
+    met = found.groupBy("u", "v").agg(F.sum("met").alias("met"))
+    size_of = lambda side: points.select(F.col("node").alias(side), F.col("n").alias(f"n{side}"))
     rest = lambda n: F.ceil(F.col(n) * percent / 100) - 1
     most = F.col("met") + F.greatest(rest("nu"), rest("nv"))
     pairs = met.join(size_of("u"), "u").join(size_of("v"), "v").where((100 + percent) * most >= percent * (F.col("nu") + F.col("nv"))).select("u", "v")
@@ -336,23 +401,37 @@ def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_col: s
     release_shuffles(spark)
     final = roots
     if not pairs.isEmpty():
-        more = staged(_verified(pairs, _sets_for(pairs, classes, rows, size), percent), "tree-links")
-        final = components(links.union(more))
+        more = staged(_verified(pairs, _sets_for(pairs, nodes, rows, size, bits), percent), "tree-links")
+        final = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more))
         release_shuffles(spark)
-    lowest = final.join(classes, final["node"] == classes["class"]).groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of_class = staged(final.join(lowest, "root").select(F.col("node").alias("class"), "component_id"), "components")
-    alone = classes.select("class", F.col("doc_id").alias("alone"))
-    out = sketches.select("doc_id", "n", "class").join(alone, "class", "left").join(of_class, "class", "left")
-    own = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component_id", "alone")).otherwise(F.col("doc_id"))
-    for used in (members, rooted, shared):
+    least = nodes.join(final, "node", "left").select("c1", "c2", "doc_id", F.coalesce("root", "node").alias("root"))
+    component = least.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    of_class = staged(least.drop("doc_id").join(component, "root"), "components")
+    for used in (points, members, blocks, shares, pivots, others, listed, laid):
         drop_staged(used)
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "class", own.alias("component_id"))
-
-
-def keep_one(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The document with the smallest id of every component, with its own columns; documents
-    without words stay, and of rows with one id each stays if its id is kept."""
-    kept = join(docs, size, percent, id_col, text_col).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept.withColumnRenamed("doc_id", "_kept"), F.col(id_col).cast("long") == F.col("_kept"), "left_semi").unionByName(
-        docs.where(F.col(id_col).isNull())
-    )
+    linked = F.col("doc_id").isNotNull()
+    out = sketches.select("doc_id", "tag", "n", "c1", "c2").join(of_class, ["c1", "c2"], "left")
+    return out.select("doc_id", "tag", "n", F.when(linked, F.col("root")).alias("root"), F.when(linked, F.col("component_id")).alias("component_id"))
+
+
+def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (the smallest doc_id that links
+    reach; a document's own where it has none)."""
+    rows = text_rows(docs, id_col, text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0).cast("long").alias("tag"), "text")
+    out = _linked(rows, size, percent, bits)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
+    """One row of every component, with its own columns: that of the smallest id, then of the
+    smallest hash of the row; a null id comes last and links like others here.  Rows without
+    words stay, each."""
+    did, tag = fresh(docs, "did"), fresh(docs, "tag")
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    own = docs.withColumns({did: F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)), tag: F.xxhash64(*hashed)})
+    found = _linked(own.select(F.col(did).alias("doc_id"), F.col(tag).alias("tag"), F.col(text_col).cast("string").alias("text")), size, percent, bits)
+    first = found.where("root is not null").groupBy("root").agg(F.min(F.struct("doc_id", "tag")).alias("first"))
+    first = staged(first.select(F.col("first.doc_id").alias(did), F.col("first.tag").alias(tag)), "kept")
+    words = F.coalesce(F.col(text_col).cast("string").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
+    kept = own.where(words).join(first, [did, tag], "left_semi").dropDuplicates([did, tag])
+    return kept.select(*docs.columns).unionByName(own.where(~words).select(*docs.columns))

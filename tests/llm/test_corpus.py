@@ -284,7 +284,36 @@ def test_ngram_join(docs, empty):
     kept = ngram_join.keep_one(docs)
     assert kept.columns == docs.columns
     ids = [r.doc_id for r in kept.collect()]
-    assert 0 in ids and 1 not in ids and 2 not in ids and 3 in ids and None in ids
+    assert 0 in ids and 1 not in ids and 2 not in ids and 3 in ids
+    assert None not in ids  # the row without an id is a copy of the first
+    assert kept.where("doc_id in (3, 4, 5)").count() == 3  # rows without words
+
+
+def test_ngram_join_keeps_one_of_equal_rows(spark):
+    rows = [(1, BASE, "a"), (1, BASE, "a"), (1, BASE, "b"), (None, NEAR, "c"), (None, phrase(8, 30), "d"), (None, phrase(8, 30), "d"), (2, "", "e"), (2, "", "e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _did string")
+    got = Counter((r.doc_id, r.text) for r in ngram_join.keep_one(df).collect())
+    assert got == {(1, BASE): 1, (None, phrase(8, 30)): 1, (2, ""): 2}
+
+
+def test_ngram_join_by_other_ways(spark, monkeypatch):
+    """Texts joined by id in place of the bit table, hubs split, small tiles and many calls."""
+    rng = np.random.default_rng(6)
+    words = phrase(12, 120).split()
+    rows = []
+    for k in range(90):  # copies of one text, each a little under or over the similarity
+        own = list(words)
+        for at in rng.choice(120, rng.integers(0, 4), replace=False):
+            own[at] = f"new{k}x{at}"
+        rows.append((k, " ".join(own)))
+    want = set(brute_components(rows))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for name, value in (("HUB", 3), ("TILE", 7), ("GROUP_ROWS", 40), ("SLICE", 16)):
+        monkeypatch.setattr(ngram_join, name, value)
+    for bits in (8, 1 << 16):
+        got = {(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.join(df, bits=bits).collect()}
+        assert got == want
+    assert len({c for _, _, c in want}) > 1
 
 
 def test_ngram_join_chains_and_hidden_links(spark):
