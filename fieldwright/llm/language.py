@@ -10,7 +10,9 @@ language, chosen by a hash of the id (the documented bound of what goes to the d
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; without
 labelled documents all are ``und``; with one language only, that is predicted; a tie of
-votes goes to the larger summed margin, then to the first name.
+votes goes to the larger summed margin, then to the first name; of more than
+``MOST_LANGUAGES`` labels the commonest are learnt (a bound of the classifier); columns of
+any name pass through.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,6 +31,8 @@ from .words import LOWER
 
 UNKNOWN = "und"
 PER_LANGUAGE = 300
+#: Labels that are learnt, at most; a pair of labels without a family in common costs 256 KB.
+MOST_LANGUAGES = 40
 BITS = 15
 #: Languages by family; a language not listed is a family of its own.
 FAMILIES = {
@@ -184,17 +189,18 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_
         F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")
     )
     rows = rows.where("lang is not null and text is not null")
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
-    if not counts:
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n_lang")).orderBy(F.desc("n_lang"), "lang").limit(MOST_LANGUAGES)
+    share = F.least(F.lit(1_000_000), F.floor(F.lit(1_000_000 * per_language) / F.col("n_lang")) + 1)
+    some = rows.join(F.broadcast(counts), "lang").where(F.pmod(F.xxhash64("i"), F.lit(1_000_000)) < share).select("text", "lang")
+    got = some.mapInArrow(_featurer, "lang string, numbers array<int>, shares array<float>").toArrow().combine_chunks()
+    names = got.column("lang").to_pylist()
+    if not names:
         return Model([])
-    share = F.lit(0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, min(1_000_000, int(1_000_000 * per_language / n) + 1)).otherwise(share)
-    some = rows.where(F.pmod(F.xxhash64("i"), F.lit(1_000_000)) < share)
-    got = some.mapInArrow(_featurer, "lang string, numbers array<int>, shares array<float>").toArrow()
-    names, numbers, shares = (got.column(c).to_pylist() for c in ("lang", "numbers", "shares"))
-    vectors = [(a, np.array(n, np.int64), np.array(s, np.float64)) for a, n, s in zip(names, numbers, shares)]
-    return Model(sorted(vectors, key=lambda r: (r[0], len(r[1]), r[1].tolist()[:50], r[2].tolist()[:50])))
+    lists = got.column("numbers").combine_chunks()
+    ends = np.cumsum([0, *pc.list_value_length(lists).to_pylist()])
+    numbers, shares = lists.flatten().to_numpy(), got.column("shares").combine_chunks().flatten().to_numpy()
+    vectors = [(name, numbers[a:b], shares[a:b]) for name, a, b in zip(names, ends, ends[1:])]
+    return Model(sorted(vectors, key=lambda r: (r[0], len(r[1]), r[1].tobytes()[:400], r[2].tobytes()[:400])))
 
 
 def _predictor(model, text_col: str, names: list[str], out: str):

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from fieldwright.llm import bitpack, decontaminate, html_text, language, line_dedup, ngram_join, packing, pii, quality, token_counts
@@ -416,6 +417,23 @@ def test_line_dedup_of_very_long_lines(spark):
     assert {r.doc_id: r[gone] for r in out.collect()} == {0: 0, 1: 1, 2: 1, 3: 0}
 
 
+def test_language_of_held_out_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    named = docs.withColumn("lang_pred", F.lit("x")).withColumn("_language", F.lit(1))  # clashing names
+    found, name = language.identify(named, language.train(named))
+    rows = found.where(language.is_held_out()).select("lang", F.col(name)["lang_pred"].alias("p")).where("lang is not null").collect()
+    told = [r for r in rows if r.p != language.UNKNOWN]
+    assert len(told) > 150 and sum(r.lang == r.p for r in told) >= 0.97 * len(told)
+
+
+def test_language_with_thousands_of_labels(spark, empty):
+    rows = [(k, phrase(k, 30), "en" if k % 2 else "fr" if k % 4 else f"odd{k}") for k in range(3000)]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_language=5)
+    assert {"en", "fr"} <= {lang for langs in model.families.values() for lang in langs}
+    assert sum(map(len, model.families.values())) <= language.MOST_LANGUAGES
+    assert language.train(empty).families == {}
+
+
 def test_pii(docs, empty):
     def luhn(s):
         total = 0
