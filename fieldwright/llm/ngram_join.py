@@ -114,16 +114,25 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
 
 
 def _sketcher(size: int, percent: int, frequent):
+    """Prefix and point are given with the first of a task's equal sets only."""
+
     def run(batches):
-        often = frequent.value
+        often, met = frequent.value, set()
         for batch in batches:
             ids, tags = batch.column("doc_id"), batch.column("tag")
             for at, values in steps(batch.column("text")):
                 sets = shingle_sets(values, size)
-                prefixes = [_prefix(s, often, percent).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets]
-                points = _lists([point_of(s) for s in sets]).cast(pa.list_(pa.int32()))
+                held, c1, c2 = ids.slice(at, len(values)), *_names(sets)
+                first = []
+                for s, name, known in zip(sets, zip(c1.to_numpy(), c2.to_numpy()), held.is_valid().to_pylist()):
+                    first.append(bool(len(s)) and known and name not in met)
+                    if first[-1]:
+                        met.add(name)
+                none = np.zeros(0, np.int64)
+                prefixes = _lists([_prefix(s, often, percent).view(np.int64) if own else none for s, own in zip(sets, first)])
+                points = _lists([point_of(s) if own else none.astype("<i4") for s, own in zip(sets, first)])
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(at, len(values)), tags.slice(at, len(values)), pa.array([len(s) for s in sets], pa.int64()), *_names(sets), _lists(prefixes).cast(pa.list_(pa.int64())), points],
+                    [held, tags.slice(at, len(values)), pa.array([len(s) for s in sets], pa.int64()), c1, c2, prefixes.cast(pa.list_(pa.int64())), points.cast(pa.list_(pa.int32()))],
                     names=["doc_id", "tag", "n", "c1", "c2", "prefix", "point"],
                 )
 
@@ -158,19 +167,25 @@ def _in_bits(table: np.ndarray, slots: np.ndarray) -> np.ndarray:
     return (table[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 == 1
 
 
-def _sets_for(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, size: int, bits: int) -> DataFrame:
+def _noded(named: DataFrame, clashes: DataFrame) -> DataFrame:
+    """(c1, c2, ...) with the node of each: the first half of its name, but for classes that share
+    this half.  Of n classes n * n / 2**65 are expected to do so; only they are broadcast."""
+    other = F.col("kept").isNotNull() & (F.col("kept") != F.col("c2"))
+    return named.join(F.broadcast(clashes), "c1", "left").withColumn("node", F.when(other, F.xxhash64("c1", "c2")).otherwise(F.col("c1"))).drop("kept")
+
+
+def _sets_for(pairs: DataFrame, nodes: DataFrame, clashes: DataFrame, rows: DataFrame, size: int, bits: int) -> DataFrame:
     """(node, tokens): shingle sets of the nodes in some pairs, from one document each.
 
     Up to ``bits`` / 8 nodes their ids are sent as a bit table of ``bits`` bits, and the texts
     are scanned where they are (a few more sets than asked for do no harm); beyond that the
     texts are joined with the ids."""
     spark = rows.sparkSession
-    wanted = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct().join(nodes, "node").select("node", "c1", "c2", "doc_id")
-    wanted = staged(wanted, "wanted")
-    ids = wanted.select("doc_id").distinct()
+    ids = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct().join(nodes, "node").select("doc_id").distinct()
+    ids = staged(ids, "wanted")
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
     kind = "c1 long, c2 long, tokens array<long>"
-    if wanted.count() <= bits // 8:
+    if ids.count() <= bits // 8:
         spots = ids.select(slot.alias("s")).selectExpr("cast(shiftright(s, 3) as int) as byte", "shiftleft(1, cast(s % 8 as int)) as bit")
         parts = spots.groupBy("byte").agg(F.bit_or("bit").alias("bits"))
         table = np.zeros(max(1, bits // 8), np.uint8)
@@ -180,9 +195,7 @@ def _sets_for(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, size: int, bi
         found = rows.select("text", slot.alias("slot")).mapInArrow(_set_lister(size, shipped), kind)
     else:
         found = rows.join(ids, "doc_id", "left_semi").select("text").mapInArrow(_set_lister(size, None), kind)
-    # of the documents of one class any has the set
-    found = found.join(wanted.select("node", "c1", "c2"), ["c1", "c2"]).select("node", "tokens").dropDuplicates(["node"])
-    return staged(found, "sets")
+    return staged(_noded(found, clashes).select("node", "tokens"), "sets")
 
 
 class RTree:
@@ -299,35 +312,29 @@ def _tile_searcher(percent: int):
     return run
 
 
-def _joined(pairs: DataFrame, table: DataFrame) -> DataFrame:
-    """Pairs (u, v, ...) with the columns of ``table`` (node, x) for either side, as xu and xv.
-
-    The nodes with the most pairs are split: their row goes to as many places as their pairs
-    are dealt to.  Only their names are broadcast, ``HUBS`` at most; that a lesser hub is not
-    split costs time only."""
-    for side, other in (("u", "v"), ("v", "u")):
-        name = next(c for c in table.columns if c != "node")
-        hubs = pairs.groupBy(side).agg(F.ceil(F.count(F.lit(1)) / HUB).cast("int").alias("ways")).where("ways > 1")
-        hubs = F.broadcast(hubs.orderBy(F.desc("ways"), side).limit(HUBS))
-        ways = F.coalesce(F.col("ways"), F.lit(1))
-        dealt = pairs.join(hubs, side, "left").withColumn("way", F.pmod(F.xxhash64(other), ways)).drop("ways")
-        copies = table.select(F.col("node").alias(side), F.col(name).alias(name + side)).join(hubs, side, "left")
-        copies = copies.withColumn("way", F.explode(F.sequence(F.lit(0).cast("long"), ways.cast("long") - 1))).drop("ways")
-        pairs = dealt.join(copies, [side, "way"]).drop("way")
-    return pairs
-
-
 def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     """Pairs whose summed coordinate minima allow the Jaccard."""
+    side = lambda name: points.select(F.col("node").alias(name), F.col("point").alias(f"p{name}"))
     total = lambda c: F.aggregate(c, F.lit(0), lambda acc, x: acc + x)
-    bound = total(F.zip_with("pointu", "pointv", lambda x, y: F.least(x, y)))
-    both = _joined(pairs, points.select("node", "point"))
-    return both.where((100 + percent) * bound >= percent * (total("pointu") + total("pointv"))).select("u", "v")
+    bound = total(F.zip_with("pu", "pv", lambda x, y: F.least(x, y)))
+    return pairs.join(side("u"), "u").join(side("v"), "v").where((100 + percent) * bound >= percent * (total("pu") + total("pv"))).select("u", "v")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    both = F.size(F.array_intersect("tokensu", "tokensv"))
-    return _joined(pairs, sets).where((100 + percent) * both >= percent * (F.size("tokensu") + F.size("tokensv"))).select("u", "v")
+    """Pairs whose sets have the Jaccard.
+
+    The nodes with the most pairs as u (pivots of large groups) are split: their set goes to as
+    many places as their pairs are dealt to.  Only their names are broadcast, ``HUBS`` at most;
+    that a lesser one is not split costs time only."""
+    hubs = pairs.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / HUB).alias("ways")).where("ways > 1")
+    hubs = F.broadcast(hubs.orderBy(F.desc("ways"), "u").limit(HUBS))
+    ways = F.coalesce(F.col("ways"), F.lit(1).cast("long"))
+    dealt = pairs.join(hubs, "u", "left").select("u", "v", F.pmod(F.xxhash64("v"), ways).alias("way"))
+    a = sets.select(F.col("node").alias("u"), F.col("tokens").alias("ta")).join(hubs, "u", "left")
+    a = a.select("u", "ta", F.explode(F.sequence(F.lit(0).cast("long"), ways - 1)).alias("way"))
+    b = sets.select(F.col("node").alias("v"), F.col("tokens").alias("tb"))
+    both = F.size(F.array_intersect("ta", "tb"))
+    return dealt.join(a, ["u", "way"]).join(b, "v").where((100 + percent) * both >= percent * (F.size("ta") + F.size("tb"))).select("u", "v")
 
 
 def _linked(rows: DataFrame, size: int, percent: int, bits: int) -> DataFrame:
@@ -344,25 +351,32 @@ def _linked(rows: DataFrame, size: int, percent: int, bits: int) -> DataFrame:
     sketches = staged(rows.mapInArrow(_sketcher(size, percent, frequent), _SKETCH), "sketches")
     frequent.destroy()
 
-    named = sketches.where("n > 0 and doc_id is not null").groupBy("c1", "c2").agg(F.min("doc_id").alias("doc_id"))
-    nodes = staged(named.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    points = sketches.where("n > 0").join(nodes, ["c1", "c2", "doc_id"]).dropDuplicates(["c1", "c2", "doc_id"]).select("node", "n", "prefix", "point")
-    points = staged(points, "points")
+    named = sketches.where("n > 0 and doc_id is not null")
+    clashes = named.groupBy("c1").agg(F.min("c2").alias("kept"), F.max("c2").alias("last")).where("kept != last").select("c1", "kept")
+    clashes = staged(clashes, "clashes")
+    nodes = staged(_noded(named.select("c1", "c2", "doc_id"), clashes).groupBy("node").agg(F.min("doc_id").alias("doc_id")), "nodes")
+    firsts = _noded(named.where(F.size("point") > 0), clashes)
+    points = staged(firsts.select("node", "n", "point").dropDuplicates(["node"]), "points")
+    release_shuffles(spark)
+    filed = firsts.select("node", F.explode("prefix").alias("token"))
+    blocks = filed.groupBy("token").agg(F.min("node").alias("u"), F.max("node").alias("last"), F.count(F.lit(1)).alias("m"))
+    blocks = staged(blocks.where("u != last").select("token", "u", "m"), "blocks")
     release_shuffles(spark)
-    filed = points.select("node", F.explode("prefix").alias("token"))
-    blocks = staged(filed.groupBy("token").agg(F.min("node").alias("u"), F.count(F.lit(1)).alias("m")).where("m > 1"), "blocks")
     members = staged(filed.join(blocks, "token").select("u", "node", "token", "m"), "members")
     release_shuffles(spark)
 
     # pass 1: two pivots a group
-    shares = members.groupBy("u", "node").agg(F.sum("m").alias("weight"))
-    shares = staged(shares, "shares")
+    shares = staged(members.groupBy("u", "node").agg(F.sum("m").alias("weight")), "shares")
     pivots = shares.groupBy("u").agg(F.max(F.struct("weight", F.col("node").alias("p")))["p"].alias("p"))
     pivots = staged(pivots, "pivots")
-    ordered = lambda a, b: (F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))
-    star = shares.select(*ordered("u", "node")).union(shares.join(pivots, "u").select(*ordered("p", "node"))).where("u != v").distinct()
+    release_shuffles(spark)
+    star = shares.select("u", F.col("node").alias("v")).union(shares.join(pivots, "u").select("p", "node")).where("u != v").distinct()
     star = staged(_bounded(star, points, percent), "star-pairs")
-    links = staged(_verified(star, _sets_for(star, nodes, rows, size, bits), percent), "star-links")
+    release_shuffles(spark)
+    sets = _sets_for(star, nodes, clashes, rows, size, bits)
+    links = staged(_verified(star, sets, percent), "star-links")
+    drop_staged(sets)
+    release_shuffles(spark)
     roots = components(links)
     release_shuffles(spark)
 
@@ -372,7 +386,7 @@ def _linked(rows: DataFrame, size: int, percent: int, bits: int) -> DataFrame:
     others = staged(others, "others")
     open_groups = others.groupBy("u").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("m"))
     open_groups = open_groups.where("a != b").select("u", F.ceil(F.col("m") / TILE).cast("long").alias("tiles"))
-    listed = members.join(others.join(open_groups, "u"), ["u", "node"]).groupBy("u", "node", "root", "tiles").agg(F.collect_list("token").alias("tokens"))
+    listed = members.join(others.join(open_groups, "u"), ["u", "node"]).groupBy("u", "node", "root", "tiles").agg(F.collect_set("token").alias("tokens"))
     listed = staged(listed, "listed")  # a list is no longer than its node's prefix
     n_open = listed.groupBy("node").agg(F.sum(F.size("tokens")).alias("n_open"))
     described = points.select("node", "n", "point").join(n_open, "node")
@@ -401,16 +415,16 @@ def _linked(rows: DataFrame, size: int, percent: int, bits: int) -> DataFrame:
     release_shuffles(spark)
     final = roots
     if not pairs.isEmpty():
-        more = staged(_verified(pairs, _sets_for(pairs, nodes, rows, size, bits), percent), "tree-links")
+        more = staged(_verified(pairs, _sets_for(pairs, nodes, clashes, rows, size, bits), percent), "tree-links")
         final = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more))
         release_shuffles(spark)
-    least = nodes.join(final, "node", "left").select("c1", "c2", "doc_id", F.coalesce("root", "node").alias("root"))
+    least = nodes.join(final, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     component = least.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of_class = staged(least.drop("doc_id").join(component, "root"), "components")
+    of_node = staged(least.select("node", "root").join(component, "root"), "components")
     for used in (points, members, blocks, shares, pivots, others, listed, laid):
         drop_staged(used)
-    linked = F.col("doc_id").isNotNull()
-    out = sketches.select("doc_id", "tag", "n", "c1", "c2").join(of_class, ["c1", "c2"], "left")
+    linked = (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    out = _noded(sketches.select("doc_id", "tag", "n", "c1", "c2"), clashes).join(of_node, "node", "left")
     return out.select("doc_id", "tag", "n", F.when(linked, F.col("root")).alias("root"), F.when(linked, F.col("component_id")).alias("component_id"))
 
 

@@ -60,14 +60,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     if not _written:
         atexit.register(_remove_written)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.staged_at = path
+    return back
 
 
 def drop_staged(df: DataFrame) -> None:
     """Delete the files behind a staged table that no later plan reads."""
-    spark = df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        _delete(spark, path)
+    _delete(df.sparkSession, df.staged_at)
+    _written.remove((df.sparkSession, df.staged_at))
 
 
 def release_shuffles(spark: SparkSession) -> None:
