@@ -48,8 +48,6 @@ GROUP_ROWS = 4096
 #: Documents (about) from which frequent shingles are learnt, and how many are kept; they
 #: only order shingles and change no result.
 SAMPLE, FREQUENT = 2000, 65_536
-#: Pairs of one node that are verified in one place, and how many such nodes are split at most.
-HUB, HUBS = 4096, 10_000
 #: Columns of one product when listed shingles are counted.
 SLICE = 2048
 #: Size of the bit table that may be broadcast (2 MB), and an eighth of it the most ids it stands for.
@@ -313,28 +311,25 @@ def _tile_searcher(percent: int):
 
 
 def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose summed coordinate minima allow the Jaccard."""
-    side = lambda name: points.select(F.col("node").alias(name), F.col("point").alias(f"p{name}"))
-    total = lambda c: F.aggregate(c, F.lit(0), lambda acc, x: acc + x)
-    bound = total(F.zip_with("pu", "pv", lambda x, y: F.least(x, y)))
-    return pairs.join(side("u"), "u").join(side("v"), "v").where((100 + percent) * bound >= percent * (total("pu") + total("pv"))).select("u", "v")
+    """Pairs (u, v, most: shingles that both prefixes share at most) whose summed coordinate
+    minima, and whose prefixes and rests, allow the Jaccard."""
+    side = lambda name: points.select(*[F.col(c).alias(f"{c}{name}" if c != "node" else name) for c in ("node", "n", "point", "filed")])
+    bound = F.aggregate(F.zip_with("pointu", "pointv", lambda x, y: F.least(x, y)), F.lit(0), lambda acc, x: acc + x)
+    rest = lambda n: F.ceil(F.col(n) * percent / 100) - 1
+    # shared in the group, and at most what the one with less elsewhere has there
+    met = F.least("ku", "kv") + F.least(F.col("filedu") - F.col("ku"), F.col("filedv") - F.col("kv"))
+    most = F.least(bound, met + F.greatest(rest("nu"), rest("nv")))
+    both = pairs.join(side("u"), "u").join(side("v"), "v")
+    return both.where((100 + percent) * most >= percent * (F.col("nu") + F.col("nv"))).select("u", "v")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose sets have the Jaccard.
-
-    The nodes with the most pairs as u (pivots of large groups) are split: their set goes to as
-    many places as their pairs are dealt to.  Only their names are broadcast, ``HUBS`` at most;
-    that a lesser one is not split costs time only."""
-    hubs = pairs.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / HUB).alias("ways")).where("ways > 1")
-    hubs = F.broadcast(hubs.orderBy(F.desc("ways"), "u").limit(HUBS))
-    ways = F.coalesce(F.col("ways"), F.lit(1).cast("long"))
-    dealt = pairs.join(hubs, "u", "left").select("u", "v", F.pmod(F.xxhash64("v"), ways).alias("way"))
-    a = sets.select(F.col("node").alias("u"), F.col("tokens").alias("ta")).join(hubs, "u", "left")
-    a = a.select("u", "ta", F.explode(F.sequence(F.lit(0).cast("long"), ways - 1)).alias("way"))
+    """Pairs whose sets have the Jaccard.  Both joins read one shuffle of the sets; a node with
+    many pairs is split by Spark's skew join, for only pairs are many of a key, never sets."""
+    a = sets.select(F.col("node").alias("u"), F.col("tokens").alias("ta"))
     b = sets.select(F.col("node").alias("v"), F.col("tokens").alias("tb"))
     both = F.size(F.array_intersect("ta", "tb"))
-    return dealt.join(a, ["u", "way"]).join(b, "v").where((100 + percent) * both >= percent * (F.size("ta") + F.size("tb"))).select("u", "v")
+    return pairs.join(a, "u").join(b, "v").where((100 + percent) * both >= percent * (F.size("ta") + F.size("tb"))).select("u", "v")
 
 
 def _linked(rows: DataFrame, size: int, percent: int, bits: int) -> DataFrame:
@@ -356,22 +351,30 @@ def _linked(rows: DataFrame, size: int, percent: int, bits: int) -> DataFrame:
     clashes = staged(clashes, "clashes")
     nodes = staged(_noded(named.select("c1", "c2", "doc_id"), clashes).groupBy("node").agg(F.min("doc_id").alias("doc_id")), "nodes")
     firsts = _noded(named.where(F.size("point") > 0), clashes)
-    points = staged(firsts.select("node", "n", "point").dropDuplicates(["node"]), "points")
     release_shuffles(spark)
     filed = firsts.select("node", F.explode("prefix").alias("token"))
     blocks = filed.groupBy("token").agg(F.min("node").alias("u"), F.max("node").alias("last"), F.count(F.lit(1)).alias("m"))
     blocks = staged(blocks.where("u != last").select("token", "u", "m"), "blocks")
     release_shuffles(spark)
-    members = staged(filed.join(blocks, "token").select("u", "node", "token", "m"), "members")
+    # equal sets of several tasks stand in a block more than once
+    members = staged(filed.join(blocks, "token").select("u", "node", "token", "m").distinct(), "members")
+    points = staged(firsts.select("node", "n", "point").dropDuplicates(["node"]), "points")
+    slim = staged(sketches.select("doc_id", "tag", "n", "c1", "c2"), "documents")
+    drop_staged(blocks)
+    drop_staged(sketches)
     release_shuffles(spark)
 
     # pass 1: two pivots a group
-    shares = staged(members.groupBy("u", "node").agg(F.sum("m").alias("weight")), "shares")
-    pivots = shares.groupBy("u").agg(F.max(F.struct("weight", F.col("node").alias("p")))["p"].alias("p"))
-    pivots = staged(pivots, "pivots")
+    shares = staged(members.groupBy("u", "node").agg(F.sum("m").alias("weight"), F.count(F.lit(1)).alias("k")), "shares")
+    pivots = shares.groupBy("u").agg(F.max(F.struct("weight", F.col("node").alias("p"), F.col("k").alias("kp"))).alias("best"), F.max(F.when(F.col("u") == F.col("node"), F.col("k"))).alias("ku"))
+    pivots = staged(pivots.select("u", "best.p", "best.kp", "ku"), "pivots")
+    described = points.join(shares.groupBy("node").agg(F.sum("k").alias("filed")), "node")
     release_shuffles(spark)
-    star = shares.select("u", F.col("node").alias("v")).union(shares.join(pivots, "u").select("p", "node")).where("u != v").distinct()
-    star = staged(_bounded(star, points, percent), "star-pairs")
+    paired = shares.join(pivots, "u")
+    star = paired.select("u", F.col("node").alias("v"), "ku", F.col("k").alias("kv"))
+    star = star.union(paired.select(F.col("p").alias("u"), F.col("node").alias("v"), F.col("kp").alias("ku"), F.col("k").alias("kv"))).where("u != v")
+    star = _bounded(star, described, percent).groupBy(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).agg(F.min("u").alias("u"))
+    star = staged(star.select("u", F.when(F.col("u") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("v")), "star-pairs")
     release_shuffles(spark)
     sets = _sets_for(star, nodes, clashes, rows, size, bits)
     links = staged(_verified(star, sets, percent), "star-links")
@@ -386,7 +389,7 @@ def _linked(rows: DataFrame, size: int, percent: int, bits: int) -> DataFrame:
     others = staged(others, "others")
     open_groups = others.groupBy("u").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("m"))
     open_groups = open_groups.where("a != b").select("u", F.ceil(F.col("m") / TILE).cast("long").alias("tiles"))
-    listed = members.join(others.join(open_groups, "u"), ["u", "node"]).groupBy("u", "node", "root", "tiles").agg(F.collect_set("token").alias("tokens"))
+    listed = members.join(others.join(open_groups, "u"), ["u", "node"]).groupBy("u", "node", "root", "tiles").agg(F.collect_list("token").alias("tokens"))
     listed = staged(listed, "listed")  # a list is no longer than its node's prefix
     n_open = listed.groupBy("node").agg(F.sum(F.size("tokens")).alias("n_open"))
     described = points.select("node", "n", "point").join(n_open, "node")
@@ -424,7 +427,7 @@ def _linked(rows: DataFrame, size: int, percent: int, bits: int) -> DataFrame:
     for used in (points, members, blocks, shares, pivots, others, listed, laid):
         drop_staged(used)
     linked = (F.col("n") > 0) & F.col("doc_id").isNotNull()
-    out = _noded(sketches.select("doc_id", "tag", "n", "c1", "c2"), clashes).join(of_node, "node", "left")
+    out = _noded(slim, clashes).join(of_node, "node", "left")
     return out.select("doc_id", "tag", "n", F.when(linked, F.col("root")).alias("root"), F.when(linked, F.col("component_id")).alias("component_id"))
 
 

@@ -298,7 +298,7 @@ def test_ngram_join_keeps_one_of_equal_rows(spark):
 
 
 def test_ngram_join_by_other_ways(spark, monkeypatch):
-    """Texts joined by id in place of the bit table, hubs split, small tiles and many calls."""
+    """Texts joined by id in place of the bit table, small tiles and many calls."""
     rng = np.random.default_rng(6)
     words = phrase(12, 120).split()
     rows = []
@@ -309,7 +309,7 @@ def test_ngram_join_by_other_ways(spark, monkeypatch):
         rows.append((k, " ".join(own)))
     want = set(brute_components(rows))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for name, value in (("HUB", 3), ("TILE", 7), ("GROUP_ROWS", 40), ("SLICE", 16)):
+    for name, value in (("TILE", 7), ("GROUP_ROWS", 40), ("SLICE", 16)):
         monkeypatch.setattr(ngram_join, name, value)
     for bits in (8, 1 << 16):
         got = {(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.join(df, bits=bits).collect()}
