@@ -424,7 +424,7 @@ def _linked(rows: DataFrame, size: int, percent: int, bits: int) -> DataFrame:
     least = nodes.join(final, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     component = least.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of_node = staged(least.select("node", "root").join(component, "root"), "components")
-    for used in (points, members, blocks, shares, pivots, others, listed, laid):
+    for used in (points, members, shares, pivots, others, listed, laid):
         drop_staged(used)
     linked = (F.col("n") > 0) & F.col("doc_id").isNotNull()
     out = _noded(slim, clashes).join(of_node, "node", "left")
