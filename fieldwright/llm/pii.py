@@ -5,7 +5,7 @@ mod-97 for bank account numbers, ranges for addresses, lengths for phones).  The
 ``BASE`` are decided by pattern and validator alone.  Further kinds have a score: what
 their validator is worth, and more where a context word stands in the ``NEAR`` characters
 before or after; they are reported from ``LEAST_SCORE`` on and never overlap a base span,
-but for account numbers, whose check is the stronger one.
+but for account numbers, whose check is the stronger one, and logins inside URLs.
 
 An account number is tried at every place where one can begin, so no other text takes part of
 it: with the fixed length of its country, else (codes without one here) with the longest end
@@ -18,6 +18,9 @@ texts that can hold a kind (a cheap test first) are marked.  No shuffle, no join
 Patterns are written so that no text makes them try a run of characters more than once:
 a leading run is entered only at its start or where the last match ended.
 
+A list of matches is put together from short ones, so its work grows with the matches; a text
+with many thousands of account numbers alone takes more than that.
+
 Defined cases: a null text is empty; texts that contain the two mark characters (control
 characters 1 and 2) are searched with both replaced by a character no pattern knows;
 equal rows are judged row by row; other columns are not read.
@@ -131,6 +134,13 @@ def _card(text: Column) -> Column:
     return F.when(F.length(number).between(13, 19), luhn(number)).otherwise(F.lit(False))
 
 
+def _ipv6(m: Column) -> Column:
+    """Eight groups, or one gap and three groups or more."""
+    groups = F.filter(F.split(m, ":"), lambda g: g != "")
+    gaps = (F.length(m) - F.length(F.replace(m, F.lit("::"), F.lit("")))) / 2
+    return ((gaps == 0) & (F.size(groups) == 8)) | ((gaps == 1) & F.size(groups).between(3, 7) & ~F.contains(m, F.lit(":::")))
+
+
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 
 BASE = (
@@ -176,21 +186,76 @@ FURTHER = (
         0.4,
         ("phone", "tel", "call", "mobile", "fax", "telefon", "anruf", "telefono"),
     ),
+    Kind(
+        "secret",
+        r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+",
+        r"text rlike '[A-Za-z0-9+/_-]{20}'",
+        lambda m: (F.length(digits_of(m)) >= 3) & (F.length(F.regexp_replace(m, "[^A-Za-z]", "")) >= 3) & (F.length(m) <= 512),
+        0.4,
+        ("token", "secret", "password", "passwd", "credential", "bearer", "api key", "api_key", "apikey", "access key", "access_key"),
+    ),
+    Kind(
+        "key_format",
+        r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|gh[pousr]_[A-Za-z0-9]{36,}+|eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----",
+        r"text rlike 'AKIA|ASIA|gh[pousr]_|eyJ|PRIVATE KEY'",
+        lambda m: F.lit(True),
+        0.9,
+        ("key", "token", "secret"),
+    ),
+    Kind(
+        "url_login",
+        r"(?<=://)[^\s/@:]{1,64}:[^\s/@]{1,64}(?=@)",
+        r"text rlike '://[^ ]{1,64}:'",
+        lambda m: F.lit(True),
+        0.9,
+        ("password",),
+        sure=True,
+    ),
+    Kind(
+        "ipv6",
+        r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{0,4}:){2,7}+[0-9A-Fa-f]{0,4}(?![0-9A-Za-z:])",
+        r"text rlike '[0-9A-Fa-f]:[0-9A-Fa-f]{0,4}:'",
+        lambda m: _ipv6(m),
+        0.7,
+        ("ip", "address", "host"),
+    ),
 )
 
 
+#: Parts of a marked text that are gathered together; a list grows by copies, so long ones are
+#: made of short ones.
+TOGETHER = 256
+
+
 def _matches(text: Column, kind: Kind) -> Column:
     """Spans of every match: the text is cut at marks set before and after each match."""
     marked = F.regexp_replace(text, f"({kind.pattern})", "\x01$1\x02")
     parts = F.split(marked, "\x01")
-    empty = F.struct(F.length(F.get(parts, F.lit(0))).alias("at"), F.array().cast(_SPANS).alias("found"))
+    empty = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("found"))
 
     def step(acc: Column, part: Column) -> Column:
         size = F.instr(part, "\x02") - 1
         span = F.struct(acc["at"].alias("start"), (acc["at"] + size).alias("end"), F.substring(part, F.lit(1), size).alias("text"))
         return F.struct((acc["at"] + F.length(part) - 1).alias("at"), F.concat(acc["found"], F.array(span)).alias("found"))
 
-    return F.aggregate(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), empty, step)["found"]
+    def grouped(parts: Column) -> Column:
+        n = F.size(parts) - 1  # parts that begin with a match
+        firsts = F.sequence(F.lit(2), F.greatest(n, F.lit(1)) + 1, F.lit(TOGETHER))
+        return F.transform(firsts, lambda k: F.aggregate(F.slice(parts, k, F.least(F.lit(TOGETHER), F.greatest(n + 2 - k, F.lit(0)))), empty, step))
+
+    def joined(groups: Column, before: Column) -> Column:
+        places = F.aggregate(groups, F.array(before), lambda acc, group: F.concat(acc, F.array(F.element_at(acc, -1) + group["at"])))
+        moved = lambda group, place: F.transform(
+            group["found"], lambda s: F.struct((s["start"] + place).alias("start"), (s["end"] + place).alias("end"), s["text"].alias("text"))
+        )
+        return F.flatten(F.zip_with(groups, F.slice(places, F.lit(1), F.size(groups)), moved))
+
+    return _bound(parts, lambda p: _bound(grouped(p), lambda groups: joined(groups, F.length(F.get(p, F.lit(0))))))
+
+
+def _bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often the lambdas in it refer to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def _scored(text: Column, kind: Kind, span: Column) -> Column:
