@@ -33,11 +33,14 @@ from .shared import ship
 #: Pages counted for weights (about), at most.
 LABELLED = 400
 
+# Attributes: a quote counts behind an equals sign only; what ends nowhere ends with the page, so
+# no character is tried again for each tag before it.
+_ATTRIBUTES = r"(?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|[=\"'])*+"
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|title|textarea|noscript|template|svg|iframe|select)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)"
-    r"|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>",
+    rf"|<(script|style|title|textarea|noscript|template|svg|iframe|select)\b{_ATTRIBUTES}>.*?(?:</\1\s*>|\Z)"
+    r"|<[!?][^>]*+(?:>|\Z)"
+    rf"|<(/?)([a-zA-Z][^\s/>]*)({_ATTRIBUTES})(?:>|\Z)",
     re.S | re.I,
 )
 _NAMES = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -71,7 +74,8 @@ def tokens_of(page: str):
     """(kind, value, main, out): kind 't' for a tag (its name), 'w' for text (with the block
     element around it and the listed words of its boxes' names); main: inside article or main;
     out: inside what is never content."""
-    stack: list[tuple[str, int]] = []  # name, box
+    stack: list[tuple[str, int, str]] = []  # name, box, nearest block or link
+    opened: Counter = Counter()  # open elements by name
     boxes: list[tuple[int, bool, frozenset]] = [(0, False, frozenset())]  # parent, main, words
     cut, parts, found = [False], [], []
     at = 0
@@ -80,7 +84,22 @@ def tokens_of(page: str):
         return stack[-1][1] if stack else 0
 
     def around() -> str:
-        return next((n for n, _ in reversed(stack) if n in _BLOCKS or n == "a"), "body")
+        return stack[-1][2] if stack else "body"
+
+    def close_from(k: int) -> None:
+        opened.subtract(n for n, _, _ in stack[k:])
+        del stack[k:]
+
+    def close_open(names: tuple, limits) -> None:
+        """Close the nearest open element of some names, within the nearest of the limits."""
+        if not any(opened[n] > 0 for n in names):
+            return
+        for k in range(len(stack) - 1, -1, -1):
+            if stack[k][0] in names:
+                close_from(k)
+                return
+            if stack[k][0] in limits:
+                return
 
     for m in _TOKEN.finditer(page):
         if m.start() > at:
@@ -90,28 +109,17 @@ def tokens_of(page: str):
         if not name:
             continue
         if m[2]:
-            if any(n == name for n, _ in stack):
-                box = here()
-                while stack:
-                    closed = stack.pop()[0]
-                    if closed == name:
-                        break
+            if opened[name] > 0:
+                box, k = here(), len(stack) - 1
+                while stack[k][0] != name:
+                    k -= 1
+                close_from(k)
                 found.append(("t", "/" + name, box))
             continue
         if name in _CLOSES_P:
-            for k in range(len(stack) - 1, -1, -1):  # a block begins: an open paragraph ends
-                if stack[k][0] == "p":
-                    del stack[k:]
-                    break
-                if stack[k][0] in _BLOCKS:
-                    break
+            close_open(("p",), _BLOCKS)  # a block begins: an open paragraph ends
         if name in ("li", "td", "th", "tr", "dt", "dd", "option"):
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
-                if stack[k][0] in ("ul", "ol", "table", "dl"):
-                    break
+            close_open((name,), ("ul", "ol", "table", "dl"))
         parent = here()
         _, main, words = boxes[parent]
         never = name in _NEVER or (name == "header" and not main)
@@ -126,15 +134,18 @@ def tokens_of(page: str):
         cut.append(never)
         found.append(("t", name, box))
         if name not in _VOID and not m[4].rstrip().endswith("/"):
-            stack.append((name, box))
+            stack.append((name, box, name if name in _BLOCKS or name == "a" else around()))
+            opened[name] += 1
     if at < len(page):
         found.append(("w", (around(), page[at:]), here()))
     out = _passed_over(boxes, cut)
     for kind in ("article", "main"):
         held = [box for name, box in parts if name == kind]
         if held and all(out[box] for box in held):
+            seen: set[int] = set()
             for box in held:  # boxes around the only ones of the page hold its main part
-                while box:
+                while box and box not in seen:
+                    seen.add(box)
                     cut[box], box = False, boxes[box][0]
             out = _passed_over(boxes, cut)
     for kind, value, box in found:
@@ -176,6 +187,18 @@ def weights_of(counts: dict[tuple[str, bool], int]) -> dict[str, float]:
     return out
 
 
+def best_run(weights: list[float]) -> tuple[int, int]:
+    """Begin and end of the run with the largest positive sum, the first of equal ones."""
+    best, total, begin, span = 0.0, 0.0, 0, (0, 0)
+    for k, weight in enumerate(weights):
+        if total <= 0:
+            total, begin = 0.0, k
+        total += weight
+        if total > best:
+            best, span = total, (begin, k + 1)
+    return span
+
+
 def text_of(page: str | None, weights: dict[str, float]) -> str:
     """The text of the best run: blocks in order, joined by two line ends."""
     if not page:
@@ -189,13 +212,7 @@ def text_of(page: str | None, weights: dict[str, float]) -> str:
             weight = weights.get("w " + value[0], 0.5)
             against = [w for word in value[2] if (w := weights.get("n " + word, 0.0)) < 0]
             sequence.append((n * min(weight, *against) if against else n * weight, None, value[1]))
-    best, total, begin, span = 0.0, 0.0, 0, (0, 0)
-    for k, (weight, _, _) in enumerate(sequence):
-        if total <= 0:
-            total, begin = 0.0, k
-        total += weight
-        if total > best:
-            best, span = total, (begin, k + 1)
+    span = best_run([weight for weight, _, _ in sequence])
     blocks, held = [], []
 
     def close() -> None:
@@ -227,8 +244,8 @@ def _counter(batches):
 
 
 def learn(pages: DataFrame, labelled: int = LABELLED, id_col: str = "page_id", html_col: str = "html") -> dict[str, float]:
-    """Weights from pages that mark their main part.  Names of elements go to the driver, the
-    2000 commonest at most; the rest keep the default weight."""
+    """Weights from pages that mark their main part.  Features go to the driver, the 4000
+    commonest counts at most (a bound of the classifier); the rest keep the default weight."""
     ship(pages.sparkSession)
     marked = pages.select(F.col(id_col).alias("i"), F.col(html_col).cast("string").alias("html")).where("html rlike '(?i)<(article|main)[\\\\s>]'")
     total = marked.count()

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -596,3 +597,26 @@ def test_pipeline_stages(spark, docs, tmp_path):
     # 0, 1, 2 and the row without an id are copies: a null id sorts first, so that row keeps the line
     assert None in kept and 13 in kept
     assert not kept & {0, 1, 2, 3, 8, 9, 18}
+
+
+def test_best_run_is_the_maximum():
+    rng = np.random.default_rng(5)
+    assert html_text.best_run([]) == (0, 0) == html_text.best_run([-1.0, -2.0])
+    for _ in range(300):
+        w = rng.integers(-4, 5, rng.integers(1, 14)).tolist()
+        a, b = html_text.best_run(w)
+        assert sum(w[a:b]) == max(0, *(sum(w[i:j]) for i in range(len(w)) for j in range(i + 1, len(w) + 1)))
+
+
+def test_hostile_pages_are_read_in_linear_time():
+    for page in ("<a " * 300_000, "<i>x" * 100_000, "<i></x>" * 100_000, "<i>" * 50_000 + "<li></li>" * 50_000, '<a b="' * 100_000, "<article>" * 50_000):
+        begin = time.process_time()
+        html_text.text_of(page, {})
+        assert time.process_time() - begin < 10
+
+
+def test_pages_repeated_or_without_id(spark):
+    page = "<html><body><article><p>One two three.</p></article></body></html>"
+    rows = [(1, "u", page, "x"), (1, "u", page, "x"), (None, None, page, "x"), (2, "u", "", "x"), (3, "u", None, "x")]
+    out = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string"))
+    assert Counter((r.page_id, r.text, r.n_chars) for r in out.collect()) == {(1, "One two three.", 14): 2, (None, "One two three.", 14): 1, (2, "", 0): 1, (3, "", 0): 1}
