@@ -246,11 +246,36 @@ def test_identity_ladder(spark):
     assert (out["2"].player_id, out["2"].method, out["2"].confidence) == ("p2", "fuzzy", 0.89)
     assert (out["3"].player_id, out["3"].reason) == (None, "fuzzy_tie")
     assert (out["5"].player_id, out["5"].method, out["5"].confidence) == ("p5", "gsis", 1.0)
-    assert (out["4"].player_id, out["4"].method) == ("p6", "exact_name")  # the other one is taken by a fact
+    # a namesake is taken by a fact: being the only one left is no evidence
+    assert (out["4"].player_id, out["4"].method, out["4"].reason) == (None, "unmatched", "homonym_blocked_by_existing_mapping")
     assert (out["6"].player_id, out["6"].method) == ("p7", "exact_name")
     assert {out[k].method for k in "789"} == {"unmatched"}
+    assert out["8"].reason == out["9"].reason == "no_name_or_position"
     counts = {r.outcome: r.n for r in identity.outcome_counts(spark.createDataFrame(list(out.values()))).collect()}
-    assert counts == {"exact_name": 3, "fuzzy_pending": 1, "gsis": 1, "unmatched": 4}
+    assert counts == {"exact_name": 2, "fuzzy_pending": 1, "gsis": 1, "unmatched": 5}
+
+
+def test_identity_ladder_teams_and_evidence(spark):
+    ship(spark)
+    players = [("a", None, "Chris Jones", "QB", "JAX", "1990-01-01", "Ohio State"), ("b", None, "Chris Jones", "QB", "LA", None, None), ("c", "00-9", "Christian McCaffrey", "RB", "SF", "1996-06-07", "Stanford")]
+    players = spark.createDataFrame(players, "player_id string, gsis_id string, name string, position string, team string, birth_date string, college string")
+    kind = "source string, external_id string, raw_name string, raw_position string, raw_team string, gsis_id string, birth_date string, college string"
+    rows = [
+        ("s", "1", "Chris Jones", "QB", "JAC", None, None, None),  # another spelling of the team
+        ("t", "2", "Kristian McCaffrey", "RB", "FA", None, None, None),  # no team, another first letter
+        ("u", "3", "Kristian McCaffrey", "RB", None, None, "1990-01-01", None),  # another birth date
+        ("gsis", "00-9", "whoever", "RB", None, None, None, None),
+        ("v", "5", "Chris Jones", "QB", None, None, None, None),  # two namesakes
+    ]
+    out = {r.external_id: r for r in identity.resolve_many(spark.createDataFrame(rows, kind), players, None).collect()}
+    assert (out["1"].player_id, out["1"].confidence) == ("a", 0.95)
+    assert (out["2"].player_id, out["2"].method, out["2"].reason) == ("c", "fuzzy", "pending")
+    assert (out["3"].player_id, out["3"].reason) == (None, "fuzzy_eliminated")
+    assert (out["00-9"].player_id, out["00-9"].method) == ("c", "gsis")
+    assert (out["5"].player_id, out["5"].reason) == (None, "fuzzy_tie")
+    held = spark.createDataFrame([("s", "old", "b", "exact_name", 0.95, False)], identity.MAPPINGS)
+    row = spark.createDataFrame([("s", "9", "Chris Jones", "QB", None, None, None, None)], kind)
+    assert identity.resolve_many(row, players, held).head().reason == "homonym_blocked_by_existing_mapping"
 
 
 def test_id_file_and_review(spark):
