@@ -15,15 +15,18 @@ from ..functions import chances
 def recency_blend(df: DataFrame, keys: Sequence[str], order: str, value: str, half_life: float = 4.0) -> DataFrame:
     """Blend of earlier rows with weights that halve every ``half_life`` rows.
 
-    Weights are relative, so a running sum of value x 2**(n / half_life) over the same sum of
-    weights gives it in one pass of a window, with no self-join."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    # numbered from the middle of the key's rows, so that long histories stay in range
-    n = F.row_number().over(w) - F.count(F.lit(1)).over(Window.partitionBy(*keys)) / 2
-    rows = df.withColumn("_w", F.pow(F.lit(2.0), n / half_life))
-    past = w.rowsBetween(Window.unboundedPreceding, -1)
-    blend = F.sum(F.col("_w") * F.col(value).cast("double")).over(past) / F.sum("_w").over(past)
-    return rows.withColumn("blend", blend).drop("_w")
+    Weights are relative, so running sums of value x 2**(n / half_life) and of the weights give
+    it in window passes, with no self-join.  They begin anew in each block of 64 half-lives, where
+    all before the last block weighs less than a double can tell, so any history stays in range."""
+    size = max(1, round(64 * half_life))
+    key = Window.partitionBy(*keys)
+    rows = df.withColumn("_n", F.row_number().over(key.orderBy(order)) - 1)
+    rows = rows.withColumn("_block", F.floor(F.col("_n") / size)).withColumn("_w", F.pow(F.lit(2.0), (F.col("_n") - F.col("_block") * size) / half_life))
+    past = Window.partitionBy(*keys, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    before = key.orderBy("_block").rangeBetween(-1, -1)
+    total = lambda c: F.coalesce(F.sum(c).over(past), F.lit(0.0)) + F.coalesce(F.sum(c).over(before), F.lit(0.0)) * 2.0 ** (-size / half_life)
+    blend = total(F.col("_w") * F.col(value).cast("double")) / F.nullif(total(F.col("_w")), F.lit(0.0))
+    return rows.withColumn("blend", blend).drop("_n", "_block", "_w")
 
 
 def shares(df: DataFrame, keys: Sequence[str], volume: str) -> DataFrame:

@@ -53,43 +53,66 @@ def holes(df: DataFrame, team: str, slot: str, value: str) -> DataFrame:
     return df.join(F.broadcast(mid), slot).groupBy(team).agg(F.count_if(v < F.col("_m")).alias("holes"))
 
 
-def monte_carlo(teams: DataFrame, sims: int, chunk: int, weeks: int, playoffs: int) -> DataFrame:
+def round_robin(n: int, weeks: int) -> np.ndarray:
+    """(week, game, 2) places of a league: one stays, the others turn round it, so all pairs meet
+    once before any meets again; with an odd number one team rests each week."""
+    even = n + n % 2
+    out = []
+    for w in range(weeks):
+        turn = np.roll(np.arange(1, even), w)
+        order = np.concatenate([[0], turn])
+        games = np.stack([order[: even // 2], order[::-1][: even // 2]], axis=1)
+        out.append(games[(games < n).all(axis=1)])
+    return np.array(out, np.int64).reshape(weeks, -1, 2)
+
+
+def monte_carlo(teams: DataFrame, sims: int, chunk: int, weeks: int, playoffs: int, schedule: DataFrame | None = None, rho: float = 0.0) -> DataFrame:
     """Playoff, bye and title chances over seeded seasons; a chunk of seasons is a row of work and
-    counts are summed, so the numbers do not depend on partitions.  teams: all of a league."""
-    spark = teams.sparkSession
-    league = spark.sparkContext.broadcast(teams.orderBy("team").toPandas())
+    counts are summed, so the numbers do not depend on partitions.
 
-    def season(rng, mean, sd):
-        n = len(mean)
-        scores = np.maximum(rng.normal(mean, sd, (weeks, n)), 0)
-        wins = np.zeros(n)
-        for w in range(weeks):
-            order = np.roll(np.arange(n), w)
-            for a, b in zip(order[: n // 2], order[::-1][: n // 2]):
-                wins[a if scores[w, a] >= scores[w, b] else b] += 1
-        seeds = sorted(range(n), key=lambda k: (-wins[k], -scores[:, k].sum(), k))[:playoffs]
-        alive = seeds[:]
+    teams: all of a league (team, mean, sd).  schedule: (week from 0, home, away), all of a
+    season, else a round robin.  rho: correlation of the scores of one week."""
+    spark = teams.sparkSession
+    rows = teams.orderBy("team").toPandas()
+    place = {t: k for k, t in enumerate(rows["team"])}
+    games = round_robin(len(rows), weeks).reshape(-1, 2)
+    week_of = np.repeat(np.arange(weeks), len(games) // max(weeks, 1))
+    if schedule is not None:
+        played = schedule.where(F.col("week") < weeks).select("week", "home", "away").toPandas()
+        week_of, games = played["week"].to_numpy(np.int64), np.array([[place[a], place[b]] for a, b in zip(played["home"], played["away"])], np.int64).reshape(-1, 2)
+    league = spark.sparkContext.broadcast((rows, week_of, games))
+
+    def bracket(rng, mean, sd, seeds):
+        alive = list(seeds)
         while len(alive) > 1:
             rest = 1 << (len(alive) - 1).bit_length()
             idle, play = alive[: rest - len(alive)], alive[rest - len(alive) :]
             draw = np.maximum(rng.normal(mean, sd), 0)
             through = [a if draw[a] >= draw[b] else b for a, b in zip(play[: len(play) // 2], play[::-1])]
-            alive = sorted([*idle, *through], key=seeds.index)
-        return seeds, alive[0]
+            alive = sorted([*idle, *through], key=list(seeds).index)
+        return alive[0]
 
     def run(batches):
-        local = league.value
-        mean, sd = local["mean"].to_numpy(), local["sd"].fillna(0).to_numpy()
+        local, weeks_of, pairs = league.value
+        mean, sd = local["mean"].to_numpy(float), local["sd"].fillna(0).to_numpy(float)
+        n = len(mean)
         for pdf in batches:
-            counts = np.zeros((len(local), 3), np.int64)
+            counts = np.zeros((n, 3), np.int64)
             for block in pdf["id"]:
-                for k in range(chunk):
-                    seeds, champion = season(np.random.default_rng([int(block), k]), mean, sd)
+                rng = np.random.default_rng(int(block))
+                common = rng.normal(size=(chunk, weeks, 1))
+                scores = np.maximum(mean + sd * (np.sqrt(rho) * common + np.sqrt(1 - rho) * rng.normal(size=(chunk, weeks, n))), 0)
+                home, away = scores[:, weeks_of, pairs[:, 0]], scores[:, weeks_of, pairs[:, 1]]
+                winners = np.where(home >= away, pairs[:, 0], pairs[:, 1])
+                wins = np.zeros((chunk, n), np.int64)
+                np.add.at(wins, (np.arange(chunk)[:, None], winners), 1)
+                order = np.lexsort((np.broadcast_to(np.arange(n), wins.shape), -scores.sum(axis=1), -wins), axis=1)
+                for seeds in order[:, :playoffs]:
                     counts[seeds, 0] += 1
                     counts[seeds[:2], 1] += 1
-                    counts[champion, 2] += 1
+                    counts[bracket(rng, mean, sd, seeds.tolist()), 2] += 1
             yield pd.DataFrame({"team": local["team"].astype("int64"), "playoffs": counts[:, 0], "bye": counts[:, 1], "title": counts[:, 2]})
 
     blocks = sims // chunk
-    rows = spark.range(0, blocks, 1, min(blocks, 64)).mapInPandas(run, "team long, playoffs long, bye long, title long")
-    return rows.groupBy("team").agg(*[(F.sum(c) / (blocks * chunk)).alias(c) for c in ("playoffs", "bye", "title")])
+    found = spark.range(0, blocks, 1, min(blocks, 64)).mapInPandas(run, "team long, playoffs long, bye long, title long")
+    return found.groupBy("team").agg(*[(F.sum(c) / (blocks * chunk)).alias(c) for c in ("playoffs", "bye", "title")])

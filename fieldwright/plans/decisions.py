@@ -190,13 +190,13 @@ def trade_packages(t):
 @query("q_vona")
 def vona(t):
     board = _board(t).select("player", "position", F.col("points").cast("double").alias("points"), F.row_number().over(Window.orderBy(F.desc("points"), "player")).alias("adp"))
-    return valuation.next_available(board, sims=400, picks=20)
+    return valuation.next_available(board, sims=5000, picks=20)
 
 
 @query("q_season_mc")
 def season_mc(t):
     teams = weekly(t).groupBy("team").agg(F.avg(F.col("pts").cast("double")).alias("mean"), F.stddev_samp(F.col("pts").cast("double")).alias("sd"))
-    return season.monte_carlo(teams, sims=2000, chunk=250, weeks=14, playoffs=6)
+    return season.monte_carlo(teams, sims=10_000, chunk=250, weeks=14, playoffs=6)
 
 
 @query("q_copula")

@@ -384,6 +384,54 @@ def test_features_and_season(spark):
     assert a == b and sum(r[1] for r in a) == pytest.approx(4) and sum(r[3] for r in a) == pytest.approx(1)
 
 
+def test_blend_of_a_long_history(spark):
+    n, half = 9000, 4.0
+    df = spark.range(n).select(F.lit("k").alias("k"), "id", (F.col("id") % 17).cast("double").alias("v"))
+    got = [r.blend for r in features.recency_blend(df, ["k"], "id", "v", half).orderBy("id").collect()]
+    assert got[0] is None
+    for k in (1, 2, 255, 256, 257, 511, 512, 513, 4000, 8999):
+        w = [2.0 ** ((j - k) / half) for j in range(max(0, k - 600), k)]
+        v = [j % 17 for j in range(max(0, k - 600), k)]
+        assert got[k] == pytest.approx(sum(a * b for a, b in zip(w, v)) / sum(w), rel=1e-12)
+
+
+def test_draft_draws_follow_the_weights_of_each_slot():
+    adp, sd = np.array([1.0, 2.0, 3.0, 8.0]), np.array([1.0, 1.0, 2.0, 3.0])
+    gone = valuation._drawn(adp, sd, range(2, 4), 40_000, np.random.default_rng(1))
+    assert (gone[:, 0] != gone[:, 1]).all()
+    w = [np.exp(-(((slot - adp) / sd) ** 2) / 2) for slot in (2, 3)]
+    first = w[0] / w[0].sum()
+    assert np.bincount(gone[:, 0], minlength=4) / len(gone) == pytest.approx(first, abs=0.01)
+    second = sum(first[i] * np.where(np.arange(4) == i, 0, w[1]) / (w[1].sum() - w[1][i]) for i in range(4))
+    assert np.bincount(gone[:, 1], minlength=4) / len(gone) == pytest.approx(second, abs=0.01)
+    every = valuation._drawn(adp, sd, range(2, 6), 50, np.random.default_rng(2))
+    assert (np.sort(every, axis=1) == np.arange(4)).all()
+    left = valuation._best_left(np.array([9.0, 7.0, 8.0, 1.0]), np.array([0, 2]), np.array([[0, 1], [1, 3], [0, 2]]))
+    assert left.tolist() == [8.0, 9.0, 0.0]
+
+
+def test_scarce_positions_are_worth_more_than_points(spark):
+    """The best back is worth more than a better receiver where backs run out first."""
+    ship(spark)
+    rows = [(k, "WR", 291.0 - 2 * k, 1.0 + 2 * k) for k in range(40)] + [(100 + k, "RB", 274.0 - 7 * k, 2.0 + 2 * k) for k in range(40)]
+    board = spark.createDataFrame([(*r, 4.0) for r in rows], "player long, position string, points double, adp double, adp_sd double")
+    got = {r.player: r.vona for r in valuation.next_available(board, 2000, 20).collect()}
+    assert got[100] > got[0] > 0
+
+
+def test_round_robin_and_given_schedule(spark):
+    for n in (2, 5, 8, 12):
+        games = season.round_robin(n, n - 1 + n % 2)
+        pairs = [frozenset(g) for week in games.tolist() for g in week]
+        assert len(pairs) == len(set(pairs)) == n * (n - 1) // 2
+        assert all(len({t for g in week for t in g}) == 2 * len(week) for week in games.tolist())
+    ship(spark)
+    teams = spark.createDataFrame([(k, 100.0 + 50 * k, 1.0) for k in range(4)], "team long, mean double, sd double")
+    only = spark.createDataFrame([(0, 3, 0), (0, 2, 1), (1, 0, 3)], "week int, home long, away long")
+    got = {r.team: r for r in season.monte_carlo(teams, 20, 10, 2, 2, only, rho=0.5).collect()}
+    assert got[3].title == 1.0 and got[3].playoffs == got[2].playoffs == 1.0 and got[0].playoffs == 0.0
+
+
 def test_registry_of_queries(spark):
     import __spark_entry__ as entry
 
