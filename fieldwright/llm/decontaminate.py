@@ -6,9 +6,10 @@ consecutive k-gram hashes only the smallest is a fingerprint, so two texts that
 the benchmark's, and every hit is extended to the whole spans of ``span`` words around
 it, which are compared byte by byte: hashes only choose where to look.
 
-The benchmark is the query set.  It is laid out in blocks of at most ``block_bytes`` of
-text, so what an executor holds is bounded whatever the benchmark's size; documents are
-scanned once for each block and never shuffled.
+The benchmark is the query set.  It is laid out in blocks of about ``block_bytes`` of text
+(of one item at least), which bounds what the driver and a worker hold by that or the longest
+item; documents are scanned and written once for each block and never shuffled, so a benchmark
+of many blocks costs as many scans.
 
 Defined cases: null or empty texts have no words; an item of fewer words than ``span``
 (but not none) is one span of all its words; items that repeat count by distinct id; a
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import fresh, ship, staged, steps
+from .shared import drop_staged, fresh, ship, staged, steps
 from .words import ALNUM, Words
 
 SPAN, GRAM = 10, 5
@@ -114,8 +115,8 @@ class Index:
         at: list[tuple[int, int]] = []
         if len(self.prints.keys):
             grams = words.grams(self.gram)
-            # hashes of grams across a text's end never equal a fingerprint's span: the bytes decide below
-            places = winnowed_by_text(grams, words, self.span - self.gram + 1, self.gram)
+            # a window that reaches into the next text only adds places: each text keeps its own
+            places = winnowed(grams, self.span - self.gram + 1)
             for p in places[self.prints.found(grams[places])].tolist():
                 at += [(i, self.span) for i in range(p - self.span + self.gram, p + 1)]
         for n, keys in self.short.items():
@@ -134,12 +135,6 @@ class Index:
         return out
 
 
-def winnowed_by_text(grams: np.ndarray, words: Words, window: int, gram: int) -> np.ndarray:
-    """Fingerprint positions of a slice of texts.  A window that reaches into the next text
-    only adds positions, so each text keeps all of its own fingerprints."""
-    return winnowed(grams, window)
-
-
 def merged(spans: list[tuple[int, int]]) -> list[list[int]]:
     """Union of (first, count) spans as [first, end) pairs in order."""
     out: list[list[int]] = []
@@ -203,10 +198,13 @@ def mark(
 
     hit_spans are the [first, end) word positions that lie in a span of the benchmark."""
     ship(docs.sparkSession)
-    names, out, before = list(docs.columns), fresh(docs, "contamination"), None
+    names, out, before, written = list(docs.columns), fresh(docs, "contamination"), None, None
     for k, items in enumerate(blocks_of(benchmark, item_id_col, item_text_col, block_bytes)):
         if k:  # each further block adds to what the earlier ones found
             docs = staged(docs, f"contamination-{k}")
+            if written is not None:
+                drop_staged(written)
+            written = docs
         before = out if k else None
         schema = T.StructType([*[docs.schema[c] for c in names], T.StructField(out, RESULT)])
         docs = docs.mapInArrow(_marker(Index.of(items, span, gram), text_col, names, out, before), schema)

@@ -335,8 +335,3 @@ def pack(
         .select(F.floor(F.col("sequence") / BLOCK).cast("long").alias("block"), "sequence", "doc_id", "start", "length", "doc_tokens", "crcs")
     )
     return placed.groupBy("block").applyInArrow(_finisher(capacity), RESULT)
-
-
-def pack_rows(docs: DataFrame, **options) -> DataFrame:
-    """The pipeline's last stage: pieces and their places."""
-    return pack(docs, **options)

@@ -3,21 +3,21 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.workers import ship  # noqa: F401
+
 #: Bytes of text handled by one vectorised step; a longer text is a step of its own.
 STEP_BYTES = 1 << 20
 
 _fallback: dict[str, str] = {}
-_shipped: set[str] = set()
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -25,27 +25,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python workers, once for an application."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    root = Path(__file__).resolve().parents[2]
-    archive = Path(tempfile.mkdtemp(prefix="fieldwright-code-")) / "fieldwright_code.zip"
-    with zipfile.ZipFile(archive, "w") as out:
-        for f in sorted((root / "fieldwright").rglob("*.py")):
-            out.write(f, f.relative_to(root))
-    spark.sparkContext.addPyFile(str(archive))
-    _shipped.add(app)
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The folder named by ``spark.checkpoint.dir``; a temporary one only where it is unset and
+    driver and executors are one machine."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named
     app = spark.sparkContext.applicationId
     if app not in _fallback:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         _fallback[app] = tempfile.mkdtemp(prefix="fieldwright-")
         spark.sparkContext.setCheckpointDir(_fallback[app])
     return _fallback[app]

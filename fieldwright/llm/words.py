@@ -74,14 +74,5 @@ class Words:
             out += self.hashes[j : j + count]
         return mixed(out)
 
-    def whole(self, n: int) -> np.ndarray:
-        """Whether the n words from each position on lie in one text."""
-        count = max(0, len(self.hashes) - n + 1)
-        last = np.repeat(self.first[1:], np.diff(self.first))[:count]
-        return np.arange(count) + n <= last
-
-    def word(self, i: int) -> bytes:
-        return self.data[self.starts[i] : self.ends[i]]
-
     def phrase(self, i: int, n: int) -> bytes:
         return b" ".join(self.data[s:e] for s, e in zip(self.starts[i : i + n].tolist(), self.ends[i : i + n].tolist()))
