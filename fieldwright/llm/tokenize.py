@@ -20,8 +20,8 @@ from .words import LOWER, NOT_SPACE
 
 #: Fixed value: the id appended to each document.
 END = 2
-#: Entries of a worker's table (about 50 MB); beyond that the less used half is forgotten.
-MOST_PIECES = 300_000
+#: Entries of a worker's table (about 25 MB); beyond that the less used half is forgotten.
+MOST_PIECES = 150_000
 #: Bytes of a piece that may be kept; a longer one is encoded again each time.
 LONG_PIECE = 64
 #: Bytes of text encoded by one vectorised step.
