@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names
 from ..operators import relational as rel
+from ..operators.identity import may_be_close
 from .registry import registrar
 
 QUERIES: dict = {}
@@ -59,7 +60,7 @@ def first_hit_priority(t):
 
 
 _WILD = """
-WITH i AS (SELECT o_orderkey, c_mktsegment AS seg, c_nationkey AS nat, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE CAST(round(c_acctbal / 1000) AS BIGINT) END AS team FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 10 = 0),
+WITH i AS (SELECT o_orderkey, c_mktsegment AS seg, c_nationkey AS nat, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE CAST(round(c_acctbal / 1000) AS BIGINT) END AS team FROM orders JOIN customer ON o_custkey = c_custkey),
 c AS (SELECT c_custkey, c_mktsegment AS seg, c_nationkey AS nat, CAST(round(c_acctbal / 1000) AS BIGINT) AS team FROM customer)
 SELECT o_orderkey, CASE WHEN count(c_custkey) FILTER (WHERE i.team IS NULL OR i.team = c.team) = 1 THEN max(c_custkey) FILTER (WHERE i.team IS NULL OR i.team = c.team) END AS player
 FROM i JOIN c USING (seg, nat) GROUP BY o_orderkey
@@ -68,16 +69,19 @@ FROM i JOIN c USING (seg, nat) GROUP BY o_orderkey
 
 @query("q_exact_wildcard", _WILD)
 def exact_wildcard(t):
+    # namesakes are counted once, with and without the team, so no item meets its candidates
     team = F.round(F.col("c_acctbal") / 1000).cast("long")
     c = t.customer.select("c_custkey", F.col("c_mktsegment").alias("seg"), F.col("c_nationkey").alias("nat"), team.alias("team"))
-    i = t.orders.where("o_orderkey % 10 = 0").join(c.withColumnRenamed("c_custkey", "o_custkey"), "o_custkey")
-    i = i.select("o_orderkey", "seg", "nat", F.when(F.col("o_orderkey") % 3 != 0, F.col("team")).alias("wanted"))
-    fits = F.when(F.col("wanted").isNull() | (F.col("wanted") == F.col("team")), F.col("c_custkey"))
-    return i.join(c, ["seg", "nat"]).groupBy("o_orderkey").agg(F.when(F.count(fits) == 1, F.max(fits)).alias("player"))
+    i = t.orders.join(c.withColumnRenamed("c_custkey", "o_custkey"), "o_custkey")
+    i = i.select("o_orderkey", "seg", "nat", F.when(F.col("o_orderkey") % 3 != 0, F.col("team")).alias("team"))
+    only = F.when(F.count(F.lit(1)) == 1, F.max("c_custkey"))
+    named, exact = c.groupBy("seg", "nat").agg(only.alias("any_team")), c.groupBy("seg", "nat", "team").agg(only.alias("same_team"))
+    met = i.join(named, ["seg", "nat"]).join(exact, ["seg", "nat", "team"], "left")
+    return met.select("o_orderkey", F.when(F.col("team").isNull(), F.col("any_team")).otherwise(F.col("same_team")).alias("player"))
 
 
 _FUZZY = """
-WITH q AS (SELECT p_partkey AS id, p_type, p_brand, lower(substr(p_name, 1, 3) || substr(p_name, 5)) AS name FROM part WHERE p_partkey % 20 = 0),
+WITH q AS (SELECT p_partkey AS id, p_type, p_brand, lower(substr(p_name, 1, 3) || substr(p_name, 5)) AS name FROM part),
 c AS (SELECT p_partkey, p_type, p_brand, lower(p_name) AS name FROM part),
 s AS (SELECT id, p_partkey, jaro_winkler_similarity(q.name, c.name) AS sim FROM q JOIN c USING (p_type, p_brand)),
 r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, p_partkey) AS rn, lead(sim) OVER (PARTITION BY id ORDER BY sim DESC, p_partkey) AS nxt FROM s WHERE sim >= 0.92)
@@ -87,13 +91,16 @@ SELECT id, p_partkey AS match, round(least(sim, 0.89), 6) AS confidence FROM r W
 
 @query("q_fuzzy_block", _FUZZY)
 def fuzzy_block(t):
-    q = t.part.where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("id"), "p_type", "p_brand", F.lower(F.concat(F.substring("p_name", 1, 3), F.substring("p_name", 5, 1000))).alias("a"))
-    c = t.part.select("p_partkey", "p_type", "p_brand", F.lower("p_name").alias("b"))
-    scored = q.join(c, ["p_type", "p_brand"]).withColumn("sim", names.jaro_winkler("a", "b")).where("sim >= 0.92")
-    w = Window.partitionBy("id").orderBy(F.desc("sim"), "p_partkey")
-    top = scored.select("id", "p_partkey", "sim", F.row_number().over(w).alias("rn"), F.lead("sim").over(w).alias("next"))
-    top = top.where((F.col("rn") == 1) & (F.col("next").isNull() | (F.col("sim") - F.col("next") >= 0.01)))
-    return top.select("id", F.col("p_partkey").alias("match"), F.round(F.least("sim", F.lit(0.89)), 6).alias("confidence"))
+    # different names of a block meet once, and only those that can be close; a name with several parts has no clear winner
+    block = ["p_type", "p_brand"]
+    q = t.part.select(F.col("p_partkey").alias("id"), *block, F.lower(F.concat(F.substring("p_name", 1, 3), F.substring("p_name", 5, 1000))).alias("a"))
+    c = t.part.groupBy(*block, F.lower("p_name").alias("b")).agg(F.min("p_partkey").alias("match"), F.count(F.lit(1)).alias("n"))
+    pairs = q.select(*block, "a").distinct().join(c, block).where(may_be_close(F.col("a"), F.col("b")))
+    scored = pairs.withColumn("sim", names.jaro_winkler("a", "b")).where("sim >= 0.92")
+    w = Window.partitionBy(*block, "a").orderBy(F.desc("sim"), "match")
+    top = scored.select(*block, "a", "match", "n", "sim", F.row_number().over(w).alias("rn"), F.lead("sim").over(w).alias("next"))
+    clear = top.where((F.col("rn") == 1) & (F.col("n") == 1) & (F.col("next").isNull() | (F.col("sim") - F.col("next") >= 0.01)))
+    return q.join(clear, [*block, "a"]).select("id", "match", F.round(F.least("sim", F.lit(0.89)), 6).alias("confidence"))
 
 
 @query("q_not_mapped", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
