@@ -3,10 +3,13 @@ the files or table the sink wrote, and equals the batch query over the same rows
 
 from __future__ import annotations
 
+import atexit
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def source(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,34 +23,71 @@ def source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("at", F.col("ts").cast("timestamp"))
 
 
-def finished(df: DataFrame) -> DataFrame:
-    """Run a complete-mode aggregate over all that is there; the result table is its final state."""
-    name = f"stream_{uuid.uuid4().hex}"
-    run = df.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    run.awaitTermination()
-    return df.sparkSession.table(name)
+def _folder(spark: SparkSession) -> str:
+    """A new folder that executors share; a temporary one only in local mode, as in tests."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("streams need spark.checkpoint.dir, a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="fieldwright-")
+    path = f"{root}/fieldwright/stream-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is None:  # stopped before
+        return
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def finished(df: DataFrame, keys: list[str], mode: str = "complete") -> DataFrame:
+    """Run an aggregate over all that is there.  Each micro-batch writes its rows, from the
+    executors, to a folder of its number, which a repeated batch overwrites; the result is the
+    newest row of each key.  update: only changed keys are written; complete: for aggregates
+    that Spark does not run in update mode."""
+    spark, path, numbers = df.sparkSession, _folder(df.sparkSession), []
+
+    def each(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/rows/batch={number}")
+        numbers.append(number)
+
+    run = df.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").foreachBatch(each)
+    run.trigger(availableNow=True).start().awaitTermination()
+    if not numbers:
+        return spark.createDataFrame([], df.schema)
+    rows = spark.read.schema(T.StructType([*df.schema.fields, T.StructField("batch", T.IntegerType())])).option("basePath", f"{path}/rows")
+    if mode == "complete":
+        return rows.parquet(f"{path}/rows/batch={max(numbers)}").drop("batch")
+    rest = [c for c in df.columns if c not in keys]
+    newest = rows.parquet(f"{path}/rows").groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_r"))
+    return newest.select(*keys, "_r.*")
 
 
 def tumbling(spark: SparkSession, sf_dir: str, width: str) -> DataFrame:
     rows = source(spark, sf_dir).withWatermark("at", "1 hour").groupBy(F.window("at", width), "event_type").agg(F.count(F.lit(1)).alias("n"))
-    return finished(rows).select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+    rows = rows.select(F.col("window.start").alias("start"), "event_type", "n")
+    return finished(rows, ["start", "event_type"], "update").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 def sessions(spark: SparkSession, sf_dir: str, gap: str) -> DataFrame:
     rows = source(spark, sf_dir).withWatermark("at", "1 hour").groupBy(F.session_window("at", gap), "user_id").agg(F.count(F.lit(1)).alias("n"))
-    return finished(rows).select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("start"), "n")
+    rows = rows.select("user_id", F.col("session_window.start").alias("start"), "n")
+    return finished(rows, ["user_id", "start"]).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 def distinct_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated observations are dropped in the stream before they are counted."""
     rows = source(spark, sf_dir).withWatermark("at", "30 days").dropDuplicates(["user_id", "event_type", "at"])
-    return finished(rows.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n")))
+    return finished(rows.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n")), ["user_id", "event_type"])
 
 
 def latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest event of every user and how many there were: a live board's replay."""
     rows = source(spark, sf_dir).groupBy("user_id")
-    return finished(rows.agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("event_type"), F.count(F.lit(1)).alias("n")))
+    latest = rows.agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("event_type"), F.count(F.lit(1)).alias("n"))
+    return finished(latest, ["user_id"], "update")
 
 
 def apply_batches(stream: DataFrame, persist, land, checkpoint: str) -> None:
