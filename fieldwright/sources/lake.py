@@ -16,6 +16,7 @@ from datetime import UTC, datetime
 from email.utils import parsedate_to_datetime
 from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -115,6 +116,20 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+def _rename_new(spark: SparkSession, temp, at) -> bool:
+    """Rename a file or folder to a name that must be free; False where it is taken."""
+    sc = spark.sparkContext
+    fs, hadoop = temp.getFileSystem(sc._jsc.hadoopConfiguration()), sc._jvm.org.apache.hadoop.fs
+    plain = sc._gateway.new_array(getattr(hadoop, "Options$Rename"), 0)
+    try:
+        hadoop.FileContext.getFileContext(fs.getUri(), sc._jsc.hadoopConfiguration()).rename(fs.makeQualified(temp), fs.makeQualified(at), plain)
+    except Py4JJavaError as e:
+        if "FileAlreadyExistsException" in str(e.java_exception):
+            return False
+        raise
+    return True
+
+
 def land(df: DataFrame, root: str, source: str, asset: str, keys: dict[str, object]) -> int:
     """Write a partition once; returns its rows.  A second landing raises and changes nothing."""
     spark, target = df.sparkSession, partition_path(root, source, asset, keys)
@@ -127,7 +142,7 @@ def land(df: DataFrame, root: str, source: str, asset: str, keys: dict[str, obje
         df.write.option("compression", "zstd").parquet(made)
         rows = spark.read.parquet(made).count()
         fs.mkdirs(at.getParent())
-        if fs.exists(at) or not fs.rename(temp, at):
+        if not _rename_new(spark, temp, at):
             raise PartitionExists(target)
         return rows
     finally:
@@ -240,7 +255,7 @@ def get_job(name: str) -> Job:
 
 
 class Journal:
-    """Append-only run log as small JSON files: the last line of a run holds its state."""
+    """Append-only run log as small Parquet files: the last row of a run holds its state."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.path = spark, f"{root}/journal"
@@ -317,31 +332,42 @@ def report_json(result: dict) -> str:
     return json.dumps(result, default=str, sort_keys=True)
 
 
+class StateChanged(RuntimeError):
+    """Another writer committed since the state was read; read again and repeat."""
+
+
 class State:
-    """Versioned state tables: new snapshots become visible together by one pointer file."""
+    """Versioned state tables: new snapshots become visible together by one numbered manifest.
+
+    The highest number counts.  A manifest appears whole, by a rename that does not overwrite, so
+    a reader sees the old or the new state and of two writers one gets ``StateChanged``."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root
 
-    def _manifest(self) -> dict[str, str]:
-        fs, at = _fs(self.spark, f"{self.root}/CURRENT")
-        if not fs.exists(at):
-            return {}
-        return json.loads("\n".join(r[0] for r in self.spark.read.text(at.toString()).collect()))
+    def _newest(self) -> tuple[int, dict[str, str]]:
+        fs, at = _fs(self.spark, f"{self.root}/manifests")
+        numbers = [int(f.getPath().getName()) for f in fs.listStatus(at) if f.getPath().getName().isdigit()] if fs.exists(at) else []
+        if not numbers:
+            return 0, {}
+        text = self.spark.read.text(f"{self.root}/manifests/{max(numbers):012d}").collect()
+        return max(numbers), json.loads("\n".join(r[0] for r in text))
 
     def read(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(self._manifest()[table])
+        return self.spark.read.parquet(self._newest()[1][table])
 
     def commit(self, tables: dict[str, DataFrame]) -> None:
         """Write all snapshots, then switch; a failure before leaves the old state as it was."""
+        number, old = self._newest()
         made = {}
         for name, df in tables.items():
             made[name] = f"{self.root}/{name}/v={uuid.uuid4().hex}"
             df.write.option("compression", "zstd").parquet(made[name])
-        fs, at = _fs(self.spark, f"{self.root}/CURRENT")
-        _, temp = _fs(self.spark, f"{self.root}/CURRENT-{uuid.uuid4().hex}")
+        fs, temp = _fs(self.spark, f"{self.root}/manifests/.{uuid.uuid4().hex}")
         out = fs.create(temp, True)
-        out.write(bytearray(json.dumps(self._manifest() | made), "utf-8"))
+        out.write(bytearray(json.dumps(old | made), "utf-8"))
         out.close()
-        fs.delete(at, False)
-        fs.rename(temp, at)
+        _, at = _fs(self.spark, f"{self.root}/manifests/{number + 1:012d}")
+        if not _rename_new(self.spark, temp, at):
+            fs.delete(temp, False)
+            raise StateChanged(f"{self.root} is at {number + 1} already")

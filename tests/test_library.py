@@ -15,6 +15,7 @@ from fieldwright.functions.workers import ship
 from fieldwright.operators import features, identity, platform, season, valuation
 from fieldwright.operators import relational as rel
 from fieldwright.sources import lake
+from fieldwright.streaming import events
 
 
 def values(spark, column, inputs):
@@ -353,6 +354,24 @@ def test_lake(spark, tmp_path):
     state.commit({"a": spark.range(2)})
     state.commit({"b": spark.range(3), "a": state.read("a").union(spark.range(1))})
     assert (state.read("a").count(), state.read("b").count()) == (3, 3)
+    slow = lake.State(spark, str(tmp_path / "state"))
+    slow._newest = lambda seen=slow._newest(): seen  # read before another writer commits
+    state.commit({"b": spark.range(1)})
+    with pytest.raises(lake.StateChanged):
+        slow.commit({"a": spark.range(9)})
+    assert (state.read("a").count(), state.read("b").count()) == (3, 1)
+
+
+def test_stream_batches_are_written_and_the_newest_row_counts(spark, tmp_path):
+    for v in ([("a", 1), ("b", 2)], [("a", 5)], []):
+        spark.createDataFrame(v, "u string, v int").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("u string, v int").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    sums = stream.groupBy("u").agg(F.sum("v").alias("s"))
+    for mode in ("update", "complete"):
+        assert sorted(map(tuple, events.finished(sums, ["u"], mode).collect())) == [("a", 6), ("b", 2)]
+    (tmp_path / "none").mkdir()
+    none = spark.readStream.schema("u string, v int").parquet(str(tmp_path / "none")).groupBy("u").count()
+    assert events.finished(none, ["u"], "update").collect() == []
 
 
 def test_fetch_retries():
