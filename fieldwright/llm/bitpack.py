@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ship, staged, steps, text_rows
+from .shared import ship, staged, steps, text_rows, trimmed
 from .tokenize import END, ENCODE_BYTES, path_of, word_encoder
 
 #: Ids after which a block is closed; a longer document is a block of its own.
@@ -104,7 +104,7 @@ def write(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id"
     rows = text_rows(docs, id_col, text_col)
     order = [F.col("doc_id"), F.xxhash64("text")]
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    return staged(rows.mapInArrow(_writer(vocabulary, width, block_ids), BLOCKS), "token-ids")
+    return staged(rows.mapInArrow(trimmed(_writer(vocabulary, width, block_ids)), BLOCKS), "token-ids")
 
 
 def _reader(with_ids: bool):

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import drop_staged, fresh, ship, staged, steps
+from .shared import drop_staged, fresh, ship, staged, steps, trimmed
 from .words import ALNUM, Words
 
 SPAN, GRAM = 10, 5
@@ -207,7 +207,7 @@ def mark(
             written = docs
         before = out if k else None
         schema = T.StructType([*[docs.schema[c] for c in names], T.StructField(out, RESULT)])
-        docs = docs.mapInArrow(_marker(Index.of(items, span, gram), text_col, names, out, before), schema)
+        docs = docs.mapInArrow(trimmed(_marker(Index.of(items, span, gram), text_col, names, out, before)), schema)
     return docs, out
 
 

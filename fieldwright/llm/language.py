@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import fresh, ship, steps
+from .shared import fresh, ship, steps, trimmed
 from .words import LOWER
 
 UNKNOWN = "und"
@@ -192,7 +192,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_
     counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n_lang")).orderBy(F.desc("n_lang"), "lang").limit(MOST_LANGUAGES)
     share = F.least(F.lit(1_000_000), F.floor(F.lit(1_000_000 * per_language) / F.col("n_lang")) + 1)
     some = rows.join(F.broadcast(counts), "lang").where(F.pmod(F.xxhash64("i"), F.lit(1_000_000)) < share).select("text", "lang")
-    got = some.mapInArrow(_featurer, "lang string, numbers array<int>, shares array<float>").toArrow().combine_chunks()
+    got = some.mapInArrow(trimmed(_featurer), "lang string, numbers array<int>, shares array<float>").toArrow().combine_chunks()
     names = got.column("lang").to_pylist()
     if not names:
         return Model([])
@@ -223,7 +223,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> tuple[Dat
     names, out = list(docs.columns), fresh(docs, "language")
     found = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     shipped = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(_predictor(shipped, text_col, names, out), T.StructType([*docs.schema.fields, T.StructField(out, found)])), out
+    return docs.mapInArrow(trimmed(_predictor(shipped, text_col, names, out)), T.StructType([*docs.schema.fields, T.StructField(out, found)])), out
 
 
 def keep_identified(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import drop_staged, fresh, release_shuffles, ship, staged, steps, text_rows
+from .shared import drop_staged, fresh, release_shuffles, ship, staged, steps, text_rows, trimmed
 from .words import NOT_SPACE, Words, mixed
 
 SHINGLE, PERCENT = 5, 80
@@ -190,9 +190,9 @@ def _sets_for(pairs: DataFrame, nodes: DataFrame, clashes: DataFrame, rows: Data
         got = parts.toArrow()  # at most bits / 8 rows of two numbers
         table[got.column("byte").to_numpy()] = got.column("bits").to_numpy().astype(np.uint8)
         shipped = spark.sparkContext.broadcast(table)
-        found = rows.select("text", slot.alias("slot")).mapInArrow(_set_lister(size, shipped), kind)
+        found = rows.select("text", slot.alias("slot")).mapInArrow(trimmed(_set_lister(size, shipped)), kind)
     else:
-        found = rows.join(ids, "doc_id", "left_semi").select("text").mapInArrow(_set_lister(size, None), kind)
+        found = rows.join(ids, "doc_id", "left_semi").select("text").mapInArrow(trimmed(_set_lister(size, None)), kind)
     return staged(_noded(found, clashes).select("node", "tokens"), "sets")
 
 
@@ -340,10 +340,10 @@ def _linked(rows: DataFrame, size: int, percent: int, bits: int) -> DataFrame:
     total = rows.count()
     share = min(1_000_000, int(1_000_000 * SAMPLE / max(total, 1)) + 1)
     some = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)
-    often = some.select("text").mapInArrow(_token_lister(size), "token long").groupBy("token").count().where("count >= 5")
+    often = some.select("text").mapInArrow(trimmed(_token_lister(size)), "token long").groupBy("token").count().where("count >= 5")
     often = [r[0] for r in often.orderBy(F.desc("count"), "token").limit(FREQUENT).collect()]
     frequent = spark.sparkContext.broadcast(np.sort(np.array(often, np.int64).view(np.uint64)))
-    sketches = staged(rows.mapInArrow(_sketcher(size, percent, frequent), _SKETCH), "sketches")
+    sketches = staged(rows.mapInArrow(trimmed(_sketcher(size, percent, frequent)), _SKETCH), "sketches")
     frequent.destroy()
 
     named = sketches.where("n > 0 and doc_id is not null")

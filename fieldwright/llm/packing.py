@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import ship, staged, steps, text_rows
+from .shared import ship, staged, steps, text_rows, trimmed
 from .tokenize import END, ENCODE_BYTES, path_of, word_encoder
 
 CAPACITY, UNIT = 4096, 32
@@ -314,7 +314,7 @@ def pack(
     ship(spark)
     vocabulary = vocabulary or path_of("word_bpe_49k.json")
     rows = text_rows(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    pieces = staged(rows.mapInArrow(_cutter(vocabulary, capacity, unit), PIECES), "pieces")
+    pieces = staged(rows.mapInArrow(trimmed(_cutter(vocabulary, capacity, unit)), PIECES), "pieces")
     by_part = pieces.groupBy("kind", "part").agg(F.count(F.lit(1)).alias("n"))
     # at most capacity / unit classes, whatever the data
     demand = np.zeros(capacity // unit, np.int64)

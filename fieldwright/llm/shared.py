@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import tempfile
 import uuid
@@ -60,6 +61,21 @@ def drop_staged(df: DataFrame) -> None:
     _written.remove((df.sparkSession, df.staged_at))
 
 
+def trimmed(run):
+    """``run`` over Arrow batches; at its end the process gives back what it has freed, as Python
+    workers outlive a task and share their executor's memory with all later stages."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return whole
+
+
 def release_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of plans that are no longer referenced."""
     import gc
