@@ -79,5 +79,47 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (
 """
 
 
+OP11 = """
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS r,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+t AS (SELECT lang, source, r, unnest(w) AS term FROM d),
+v AS (SELECT lang, term, count(*) AS c FROM t GROUP BY ALL HAVING count(DISTINCT r) >= 30),
+lg AS (SELECT lang, count(*) AS v, sum(c) AS n FROM v GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT g.lang, g.source, v.term, v.c AS lc, coalesce(k.c, 0) AS c
+      FROM g JOIN v USING (lang) LEFT JOIN (SELECT lang, source, term, count(*) AS c FROM t GROUP BY ALL) k
+      ON k.lang = g.lang AND k.source = g.source AND k.term = v.term),
+s AS (SELECT *, sum(c) OVER (PARTITION BY lang, source) AS n FROM c),
+p AS (SELECT s.lang, source, term, c,
+      CAST(1 + (CAST(1000000000 AS HUGEINT) * (c + 5)) // CAST(s.n + 5 * lg.v AS HUGEINT) AS BIGINT) AS p,
+      CAST(1 + (CAST(1000000000 AS HUGEINT) * (lc + 5)) // CAST(lg.n + 5 * lg.v AS HUGEINT) AS BIGINT) AS q FROM s JOIN lg USING (lang)),
+pairs AS (SELECT a.lang, a.source, b.source AS item, CAST(coalesce(f, 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+      LEFT JOIN (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS f FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) z
+      ON z.lang = a.lang AND z.source = a.source AND z.item = b.source),
+r AS (SELECT lang, source, 'pair' AS part, item, value FROM pairs
+      UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE c > 0 AND p > q),
+o AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM r)
+SELECT lang, source, part, item, value, rank FROM o WHERE part = 'pair' OR rank <= 50
+"""
+
+_CRC = "list_reduce(list_prepend(4294967295::BIGINT, flatten([[ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1] for x in string_split(CAST(conv_id AS VARCHAR), '')])), lambda c, b: CASE WHEN b >= 0 THEN xor(c, b) ELSE xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384::BIGINT ELSE 0 END) END)"
+OP13 = f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, sha256(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) AS k, strlen(coalesce(text, '')) AS b
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list(k ORDER BY turn NULLS FIRST, role, k) AS ks, list(b ORDER BY turn NULLS FIRST, role, k) AS bs FROM t GROUP BY conv_id),
+h AS (SELECT *, conv_id - conv_id % 5 AS f, xor({_CRC}, 4294967295::BIGINT) % 9 AS h FROM own),
+c AS (SELECT h.conv_id, coalesce(o.ks[1 : h.h], []) || h.ks[h.h + 1 :] AS ks, coalesce(o.bs[1 : h.h], []) || h.bs[h.h + 1 :] AS bs FROM h LEFT JOIN own o ON o.conv_id = h.f),
+m AS (SELECT conv_id AS c, d, len(ks) AS n, array_to_string(ks[1 : d], '') AS p, array_to_string(ks[1 : d - 1], '') AS pp, coalesce(bs[d], 0) AS b
+  FROM (SELECT *, unnest(range(0, len(ks) + 1)) AS d FROM c)),
+x AS (SELECT d, p, any_value(pp) AS pp, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(b) AS own, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (n = d) AS ends FROM m GROUP BY d, p),
+y AS (SELECT x.*, u.conv_id AS parent_conv_id, coalesce(k.n, 0) AS n_children FROM x LEFT JOIN x u ON x.d > 0 AND u.d = x.d - 1 AND u.p = x.pp
+  LEFT JOIN (SELECT d - 1 AS d, pp, count(*) AS n FROM x WHERE d > 0 GROUP BY ALL) k ON k.d = x.d AND k.pp = x.p),
+s AS (SELECT a.d, a.p, sum(y.own) AS saved, count(*) FILTER (y.n_children = 0) AS leaves FROM y JOIN m a ON a.c = y.conv_id AND a.d <= y.d GROUP BY a.d, a.p)
+SELECT conv_id, CAST(y.d AS BIGINT) AS depth, parent_conv_id, CAST(n_convs AS BIGINT) AS n_convs, CAST(n_children AS BIGINT) AS n_children,
+  CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
+FROM y JOIN s ON s.d = y.d AND s.p = y.p
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1, "op5_quality": OP5, "op7_ngram_join": OP7}
+    return {"op1_decontamination": OP1, "op5_quality": OP5, "op7_ngram_join": OP7, "op11_divergence": OP11, "op13_conversation_trie": OP13}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitpack, decontaminate, html_text, language, line_dedup, ngram_join, packing, pii, quality, token_counts
+from . import bitpack, conversation_trie, decontaminate, divergence, html_text, language, line_dedup, ngram_join, packing, pii, quality, quality_model, token_counts
 from .shared import table
 
 
@@ -67,6 +67,21 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored, name = quality_model.score(docs, quality_model.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", quality_model.is_held_out().alias("held_out"), F.col(name).alias("score"), (F.col(name) >= 0.5).cast("int").alias("predicted"))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = conversation_trie.conversations(table(spark, sf_dir, "conversations"))
+    return conversation_trie.trie(conversation_trie.with_shared_starts(turns))
+
+
 def queries() -> dict:
     import corpus_pipeline
 
@@ -81,5 +96,8 @@ def queries() -> dict:
         op8_pii,
         op9_language,
         op10_html_extraction,
+        op11_divergence,
+        op12_quality_model,
+        op13_conversation_trie,
     )
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
