@@ -8,8 +8,9 @@ are scaled to length one; the last features tell the length class of the whole t
 Training reads about ``most_rows`` labelled documents outside the held-out fold (the documented
 bound; chosen by a hash of the id, one text for an id).  They lie in ``shards``; in each round
 every shard goes on from the common state over its own rows, one update after the other, and the
-changes of the state (z and n of each feature) are averaged.  So a round is one Spark job, and
-the driver holds two numbers for each of 2**BITS features, however many rows there are.
+changes of the state (z and n of each feature) are averaged.  So a round is one Spark job without
+a shuffle, and the driver gets two numbers for each of 2**BITS features from each shard at most,
+however many rows there are.
 
 A score is a sparse dot product with the weights, a table of 2**BITS numbers that is broadcast.
 
@@ -21,13 +22,15 @@ majority counts (a tie is 1), of several texts the first in order; without label
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import drop_staged, fresh, ship, staged, steps, trimmed
+from .shared import drop_staged, fresh, ship, staged_by, steps, trimmed
 from .words import _BYTE, LOWER, _power_tables, mixed
 
 BITS, LENGTHS = 18, 40
@@ -177,20 +180,19 @@ def train(
     ship(spark)
     rows = labelled(docs, labels, most_rows, id_col, text_col, label_col)
     rows = rows.mapInArrow(trimmed(_featurer), "rank long, label int, numbers array<int>, shares array<float>, length int")
-    rows = rows.withColumn("shard", F.pmod("rank", F.lit(shards)).cast("int"))
-    rows = staged(rows.repartition(shards, "shard").sortWithinPartitions("shard", "rank"), "quality-rows")
+    rows = rows.withColumn("shard", F.pmod("rank", F.lit(shards)).cast("int")).repartition(shards, "shard")
+    path = staged_by(rows.sortWithinPartitions("shard", "rank"), "quality-rows", "shard")
+    each = [path.where(F.col("shard") == k).coalesce(1) for k in range(shards)]  # a shard is one task, without a shuffle
+    in_order = reduce(DataFrame.unionByName, each).sortWithinPartitions("shard", "rank")
     z, n = np.zeros(SIZE), np.zeros(SIZE)
     for _ in range(rounds):
         state = spark.sparkContext.broadcast((z, n))
-        moved = rows.repartition(shards, "shard").sortWithinPartitions("shard", "rank").mapInArrow(trimmed(_follower(state)), "shard int, number int, z double, n double")
-        in_order = F.sort_array(F.collect_list(F.struct("shard", "z", "n")))  # one entry a shard; a fixed order of sums
-        total = lambda c: F.aggregate("all", F.lit(0.0), lambda acc, x: acc + x[c]).alias(c)
-        got = moved.groupBy("number").agg(in_order.alias("all")).select("number", total("z"), total("n")).toArrow()
+        got = in_order.mapInArrow(trimmed(_follower(state)), "shard int, number int, z double, n double").toArrow().sort_by("shard")
         at = got.column("number").to_numpy()
-        z[at] += got.column("z").to_numpy() / shards
-        n[at] += got.column("n").to_numpy() / shards
+        for total, name in ((z, "z"), (n, "n")):  # added in the order of shards, so that sums repeat
+            total += np.bincount(at, weights=got.column(name).to_numpy(), minlength=SIZE) / shards
         state.unpersist()
-    drop_staged(rows)
+    drop_staged(path)
     return leader(z, n).astype(np.float32)
 
 
