@@ -148,7 +148,8 @@ def _follower(state):
 def _change(shard: int, z, n, z0, n0) -> pa.RecordBatch:
     moved = np.flatnonzero((n != n0) | (z != z0))
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(len(moved), shard), pa.int32()), pa.array(moved, pa.int32()), pa.array((z - z0)[moved]), pa.array((n - n0)[moved])], names=["shard", "number", "z", "n"]
+        [pa.array(np.full(len(moved), shard), pa.int8()), pa.array(moved, pa.int32()), pa.array((z - z0)[moved].astype(np.float32)), pa.array((n - n0)[moved].astype(np.float32))],
+        names=["shard", "number", "z", "n"],
     )
 
 
@@ -187,10 +188,11 @@ def train(
     z, n = np.zeros(SIZE), np.zeros(SIZE)
     for _ in range(rounds):
         state = spark.sparkContext.broadcast((z, n))
-        got = in_order.mapInArrow(trimmed(_follower(state)), "shard int, number int, z double, n double").toArrow().sort_by("shard")
+        got = in_order.mapInArrow(trimmed(_follower(state)), "shard byte, number int, z float, n float").toArrow().sort_by("shard")
         at = got.column("number").to_numpy()
         for total, name in ((z, "z"), (n, "n")):  # added in the order of shards, so that sums repeat
             total += np.bincount(at, weights=got.column(name).to_numpy(), minlength=SIZE) / shards
+        del got, at
         state.unpersist()
     drop_staged(path)
     return leader(z, n).astype(np.float32)
