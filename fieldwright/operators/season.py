@@ -99,20 +99,21 @@ def monte_carlo(teams: DataFrame, sims: int, chunk: int, weeks: int, playoffs: i
         for pdf in batches:
             counts = np.zeros((n, 3), np.int64)
             for block in pdf["id"]:
-                rng = np.random.default_rng(int(block))
-                common = rng.normal(size=(chunk, weeks, 1))
-                scores = np.maximum(mean + sd * (np.sqrt(rho) * common + np.sqrt(1 - rho) * rng.normal(size=(chunk, weeks, n))), 0)
+                rng, size = np.random.default_rng(int(block)), min(chunk, sims - int(block) * chunk)
+                common = rng.normal(size=(size, weeks, 1))
+                scores = np.maximum(mean + sd * (np.sqrt(rho) * common + np.sqrt(1 - rho) * rng.normal(size=(size, weeks, n))), 0)
                 home, away = scores[:, weeks_of, pairs[:, 0]], scores[:, weeks_of, pairs[:, 1]]
                 winners = np.where(home >= away, pairs[:, 0], pairs[:, 1])
-                wins = np.zeros((chunk, n), np.int64)
-                np.add.at(wins, (np.arange(chunk)[:, None], winners), 1)
+                wins = np.zeros((size, n), np.int64)
+                np.add.at(wins, (np.arange(size)[:, None], winners), 1)
                 order = np.lexsort((np.broadcast_to(np.arange(n), wins.shape), -scores.sum(axis=1), -wins), axis=1)
                 for seeds in order[:, :playoffs]:
                     counts[seeds, 0] += 1
                     counts[seeds[:2], 1] += 1
                     counts[bracket(rng, mean, sd, seeds.tolist()), 2] += 1
-            yield pd.DataFrame({"team": local["team"].astype("int64"), "playoffs": counts[:, 0], "bye": counts[:, 1], "title": counts[:, 2]})
+            yield pd.DataFrame({"team": local["team"], "playoffs": counts[:, 0], "bye": counts[:, 1], "title": counts[:, 2]})
 
-    blocks = sims // chunk
-    found = spark.range(0, blocks, 1, min(blocks, 64)).mapInPandas(run, "team long, playoffs long, bye long, title long")
-    return found.groupBy("team").agg(*[(F.sum(c) / (blocks * chunk)).alias(c) for c in ("playoffs", "bye", "title")])
+    blocks = -(-sims // chunk)  # the last one may be shorter
+    kind = teams.schema["team"].dataType.simpleString()
+    found = spark.range(0, blocks, 1, min(blocks, 64)).mapInPandas(run, f"team {kind}, playoffs long, bye long, title long")
+    return found.groupBy("team").agg(*[(F.sum(c) / sims).alias(c) for c in ("playoffs", "bye", "title")])

@@ -24,17 +24,45 @@ from ..operators.relational import ContractError, checked
 
 # Columns that each landed asset must have.
 CONTRACTS: dict[str, tuple[str, ...]] = {
-    "players": "gsis_id display_name first_name last_name position position_group birth_date college_name height weight status rookie_season latest_team espn_id pfr_id",
-    "stats_player_week": "player_id player_display_name position season week season_type game_id team opponent_team completions attempts passing_yards passing_tds passing_interceptions passing_epa carries rushing_yards rushing_tds rushing_epa receptions targets receiving_yards receiving_tds receiving_air_yards receiving_epa target_share air_yards_share wopr racr fantasy_points fantasy_points_ppr",
-    "snap_counts": "game_id pfr_game_id season game_type week player pfr_player_id position team opponent offense_snaps offense_pct defense_snaps defense_pct st_snaps st_pct",
-    "depth_charts": "dt team player_name espn_id gsis_id pos_grp pos_abb pos_name pos_slot pos_rank",
-    "injuries": "season season_type game_type team week gsis_id position full_name first_name last_name report_primary_injury report_secondary_injury report_status practice_primary_injury practice_secondary_injury practice_status",
-    "pbp": "play_id game_id season week season_type posteam defteam play_type desc down ydstogo qtr yardline_100 game_seconds_remaining yards_gained air_yards epa wp success pass_attempt rush_attempt complete_pass touchdown passer_player_id rusher_player_id receiver_player_id",
-    "games": "game_id season game_type week gameday gametime away_team home_team away_score home_score location away_rest home_rest away_moneyline home_moneyline spread_line total_line div_game roof surface temp wind stadium_id",
-    "stadiums": "stadium_id stadium_name lat lon altitude heading surface_type roof_type tz",
-    "playerids": "mfl_id sportradar_id fantasypros_id gsis_id sleeper_id espn_id yahoo_id pfr_id rotowire_id name merge_name position team birthdate draft_year",
+    "players": (
+        "gsis_id", "display_name", "first_name", "last_name", "position", "position_group", "birth_date", "college_name", "height", "weight",
+        "status", "rookie_season", "latest_team", "espn_id", "pfr_id",
+    ),
+    "stats_player_week": (
+        "player_id", "player_display_name", "position", "season", "week", "season_type", "game_id", "team", "opponent_team", "completions",
+        "attempts", "passing_yards", "passing_tds", "passing_interceptions", "passing_epa", "carries", "rushing_yards", "rushing_tds", "rushing_epa",
+        "receptions", "targets", "receiving_yards", "receiving_tds", "receiving_air_yards", "receiving_epa", "target_share", "air_yards_share",
+        "wopr", "racr", "fantasy_points", "fantasy_points_ppr",
+    ),
+    "snap_counts": (
+        "game_id", "pfr_game_id", "season", "game_type", "week", "player", "pfr_player_id", "position", "team", "opponent", "offense_snaps",
+        "offense_pct", "defense_snaps", "defense_pct", "st_snaps", "st_pct",
+    ),
+    "depth_charts": (
+        "dt", "team", "player_name", "espn_id", "gsis_id", "pos_grp", "pos_abb", "pos_name", "pos_slot", "pos_rank",
+    ),
+    "injuries": (
+        "season", "season_type", "game_type", "team", "week", "gsis_id", "position", "full_name", "first_name", "last_name", "report_primary_injury",
+        "report_secondary_injury", "report_status", "practice_primary_injury", "practice_secondary_injury", "practice_status",
+    ),
+    "pbp": (
+        "play_id", "game_id", "season", "week", "season_type", "posteam", "defteam", "play_type", "desc", "down", "ydstogo", "qtr", "yardline_100",
+        "game_seconds_remaining", "yards_gained", "air_yards", "epa", "wp", "success", "pass_attempt", "rush_attempt", "complete_pass", "touchdown",
+        "passer_player_id", "rusher_player_id", "receiver_player_id",
+    ),
+    "games": (
+        "game_id", "season", "game_type", "week", "gameday", "gametime", "away_team", "home_team", "away_score", "home_score", "location",
+        "away_rest", "home_rest", "away_moneyline", "home_moneyline", "spread_line", "total_line", "div_game", "roof", "surface", "temp", "wind",
+        "stadium_id",
+    ),
+    "stadiums": (
+        "stadium_id", "stadium_name", "lat", "lon", "altitude", "heading", "surface_type", "roof_type", "tz",
+    ),
+    "playerids": (
+        "mfl_id", "sportradar_id", "fantasypros_id", "gsis_id", "sleeper_id", "espn_id", "yahoo_id", "pfr_id", "rotowire_id", "name", "merge_name",
+        "position", "team", "birthdate", "draft_year",
+    ),
 }
-CONTRACTS = {k: tuple(v.split()) for k, v in CONTRACTS.items()}
 SEASONAL = ("stats_player_week", "snap_counts", "depth_charts", "injuries", "pbp")
 FLOORS = {"playerids": 8000}
 RETRY_STATUS = (408, 425, 429, *range(500, 600))
@@ -353,16 +381,29 @@ class State:
         text = self.spark.read.text(f"{self.root}/manifests/{max(numbers):012d}").collect()
         return max(numbers), json.loads("\n".join(r[0] for r in text))
 
+    def version(self) -> int:
+        return self._newest()[0]
+
+    def names(self) -> set[str]:
+        return set(self._newest()[1])
+
     def read(self, table: str) -> DataFrame:
         return self.spark.read.parquet(self._newest()[1][table])
 
-    def commit(self, tables: dict[str, DataFrame]) -> None:
-        """Write all snapshots, then switch; a failure before leaves the old state as it was."""
+    def commit(self, tables: dict[str, DataFrame], expected: int | None = None, check: Callable[[dict[str, DataFrame]], None] | None = None) -> None:
+        """Write all snapshots, then switch; a failure before leaves the old state as it was.
+
+        expected: the version that the tables were made from; if another one counts by now, the
+        commit is refused.  check: looks at the written snapshots and raises to refuse them."""
         number, old = self._newest()
+        if expected is not None and number != expected:
+            raise StateChanged(f"{self.root} is at {number}, not at {expected}")
         made = {}
         for name, df in tables.items():
             made[name] = f"{self.root}/{name}/v={uuid.uuid4().hex}"
             df.write.option("compression", "zstd").parquet(made[name])
+        if check:
+            check({name: self.spark.read.schema(tables[name].schema).parquet(path) for name, path in made.items()})
         fs, temp = _fs(self.spark, f"{self.root}/manifests/.{uuid.uuid4().hex}")
         out = fs.create(temp, True)
         out.write(bytearray(json.dumps(old | made), "utf-8"))

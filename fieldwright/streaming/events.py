@@ -3,14 +3,12 @@ the files or table the sink wrote, and equals the batch query over the same rows
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.scratch import new_folder
+
 
 def source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a stream; event time is a timestamp, as watermarks need."""
@@ -23,31 +21,12 @@ def source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("at", F.col("ts").cast("timestamp"))
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder that executors share; a temporary one only in local mode, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("streams need spark.checkpoint.dir, a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="fieldwright-")
-    path = f"{root}/fieldwright/stream-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
-    return path
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    if spark.sparkContext._jsc is None:  # stopped before
-        return
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def finished(df: DataFrame, keys: list[str], mode: str = "complete") -> DataFrame:
     """Run an aggregate over all that is there.  Each micro-batch writes its rows, from the
     executors, to a folder of its number, which a repeated batch overwrites; the result is the
     newest row of each key.  update: only changed keys are written; complete: for aggregates
     that Spark does not run in update mode."""
-    spark, path, numbers = df.sparkSession, _folder(df.sparkSession), []
+    spark, path, numbers = df.sparkSession, new_folder(df.sparkSession, "stream"), []
 
     def each(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/rows/batch={number}")
