@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import decisions, reshaping, ranking, joining, streams
+from . import decisions, joining, ranking, reshaping, resolving, streams
 
 
 def _modules():
-    return (reshaping, joining, ranking, decisions, streams)
+    return (reshaping, joining, ranking, decisions, resolving, streams)
 
 
 def queries() -> dict:
