@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import decisions, joining, ranking, reshaping, resolving, streams
+from . import decisions, joining, league, ranking, reshaping, resolving, streams
 
 
 def _modules():
-    return (reshaping, joining, ranking, decisions, resolving, streams)
+    return (reshaping, joining, ranking, decisions, league, resolving, streams)
 
 
 def queries() -> dict:
