@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import baselines as base
-from ..operators import walkforward
+from ..operators import upgrades, walkforward
 from .registry import registrar
 
 QUERIES: dict = {}
@@ -90,3 +90,37 @@ def walk_forward(t):
 @query("q_walk_forward_by", _fit_sql("l_returnflag"))
 def walk_forward_by(t):
     return _rounded(walkforward.backtest(_sales(t), "month", "x", "y", "l_returnflag"))
+
+
+def _season(t):
+    """Parts are players; a brand's eight dearest are its roster, all others are free; a quarter of the
+    year is a week, its quantity the points."""
+    part = t.part.select(
+        F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("player"), F.element_at(F.array(*map(F.lit, _POSITIONS[:3])), F.col("p_size") % 3 + 1).alias("position"), F.col("p_brand").alias("team"), "p_retailprice"
+    )
+    roster = base.best(part, 8, "team", "p_retailprice").select("team", "player", "position")
+    points = t.lineitem.groupBy(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("player"), F.quarter("l_shipdate").alias("week")).agg(F.sum("l_quantity").alias("points"))
+    return roster, part.join(roster, "player", "left_anti").select("player", "position"), points
+
+
+@query(
+    "q_add_drop_weeks",
+    """
+WITH p AS (SELECT 'p' || p_partkey AS player, ['QB', 'RB', 'WR'][p_size % 3 + 1] AS position, p_brand AS team, p_retailprice FROM part),
+r AS (SELECT team, player, position FROM (SELECT *, row_number() OVER (PARTITION BY team ORDER BY p_retailprice DESC, player) AS k FROM p) WHERE k <= 8),
+f AS (SELECT player, position FROM p WHERE player NOT IN (SELECT player FROM r)),
+s AS (SELECT * FROM (VALUES ('QB', 1), ('RB', 2), ('WR', 2)) k(position, n)),
+x AS (SELECT 'p' || l_partkey AS player, quarter(l_shipdate) AS week, sum(l_quantity) AS x FROM lineitem GROUP BY ALL),
+w AS (SELECT DISTINCT week FROM x),
+c AS (SELECT r.team, f.player AS a, f.position AS q, r.player AS d FROM f CROSS JOIN r),
+m AS (SELECT c.team, c.a, c.d, r.player, r.position FROM c JOIN r ON r.team = c.team AND r.player <> c.d UNION ALL SELECT team, a, d, a, q FROM c UNION ALL SELECT team, NULL, NULL, player, position FROM r),
+v AS (SELECT m.*, w.week, coalesce(x.x, 0) AS x FROM m CROSS JOIN w LEFT JOIN x ON x.player = m.player AND x.week = w.week),
+o AS (SELECT *, row_number() OVER (PARTITION BY team, a, d, week, position ORDER BY x DESC, player) AS k FROM v),
+t AS (SELECT team, a, d, sum(CASE WHEN k <= n THEN x ELSE 0 END) AS worth FROM o JOIN s USING (position) GROUP BY ALL),
+g AS (SELECT t.team, t.a, t.d, round(t.worth - n.worth, 6) AS gain FROM t JOIN t n ON n.team = t.team AND n.a IS NULL WHERE t.a IS NOT NULL)
+SELECT team, a AS "add", d AS "drop", gain + 0.0::DOUBLE AS gain FROM (SELECT *, row_number() OVER (PARTITION BY team, a ORDER BY gain DESC, d) AS k FROM g) WHERE k = 1
+""",
+)
+def add_drop_weeks(t):
+    roster, free, points = _season(t)
+    return upgrades.add_drop_weeks(roster, free, points, {"QB": 1, "RB": 2, "WR": 2})
