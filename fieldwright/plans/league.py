@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import baselines as base
-from ..operators import upgrades, walkforward
+from ..operators import leagues, upgrades, walkforward
 from .registry import registrar
 
 QUERIES: dict = {}
@@ -124,3 +124,47 @@ SELECT team, a AS "add", d AS "drop", gain + 0.0::DOUBLE AS gain FROM (SELECT *,
 def add_drop_weeks(t):
     roster, free, points = _season(t)
     return upgrades.add_drop_weeks(roster, free, points, {"QB": 1, "RB": 2, "WR": 2})
+
+
+def _leagues(t):
+    """A nation is a league, its suppliers are the teams and its customers the picks of its draft; an
+    older load had every customer as a keeper, the newer one tells of those without debts."""
+    text = lambda c: F.col(c).cast("string")
+    key = [F.lit("p").alias("platform"), text("nation").alias("league"), F.lit(2026).alias("season")]
+    supplier = t.supplier.withColumn("nation", F.col("s_nationkey"))
+    size = supplier.groupBy("nation").agg(F.count(F.lit(1)).cast("int").alias("num_teams"), F.min("s_suppkey").cast("string").alias("first"))
+    customer = t.customer.withColumn("nation", F.col("c_nationkey")).join(size, "nation")
+    player = F.concat(F.lit("x"), text("c_custkey"))
+    pick = lambda df, keeper: df.select(*key, F.lit("D").alias("draft"), F.col("c_custkey").alias("pick_no"), F.when(F.col("c_acctbal") < 5000, F.col("first")).alias("team"), player.alias("player"), F.lit(keeper).alias("is_keeper"))
+    base_load = {
+        "leagues": size.join(t.nation.select(F.col("n_nationkey").alias("nation"), "n_name"), "nation").select(*key, F.col("n_name").alias("name"), "num_teams"),
+        "teams": supplier.select(*key, text("s_suppkey").alias("team"), F.col("s_name").alias("display_name"), (F.lit(False)).alias("is_me")),
+        "drafts": size.select(*key, F.lit("D").alias("draft"), F.lit("complete").alias("status")),
+    }
+    roster = lambda df, week: df.select(*key, F.lit(week).alias("week"), F.col("first").alias("team"), player.alias("player"), F.lit("BN").alias("slot"))
+    mappings = t.customer.where("c_mktsegment != 'BUILDING'").select(
+        F.lit("p").alias("source"), player.alias("external_id"), F.concat(F.lit("c"), text("c_custkey")).alias("player_id"), F.lit("dynastyprocess").alias("method"), F.lit(1.0).cast("float").alias("confidence"), F.lit(False).alias("verified")
+    )
+    held, _ = leagues.upsert(base_load | {"picks": pick(customer, True), "rosters": roster(customer, 1)}, {}, mappings)
+    clear = customer.where("c_acctbal >= 0")
+    return leagues.upsert(base_load | {"picks": pick(clear, False), "rosters": roster(clear, 1)}, held, mappings)[0]
+
+
+_LEAGUE_SQL = "WITH s AS (SELECT s_nationkey AS k, min(s_suppkey) AS first FROM supplier GROUP BY 1), c AS (SELECT * FROM customer JOIN s ON k = c_nationkey)"
+
+
+@query(
+    "q_league_picks",
+    f"""{_LEAGUE_SQL} SELECT n_name AS name, c_custkey AS pick_no, s_name AS display_name, CASE WHEN c_mktsegment <> 'BUILDING' THEN 'c' || c_custkey END AS player_id, c_acctbal < 0 AS is_keeper
+FROM c JOIN nation ON n_nationkey = c_nationkey LEFT JOIN supplier ON s_suppkey = first AND c_acctbal < 5000""",
+)
+def league_picks(t):
+    held = _leagues(t)
+    picks = held["picks"].join(held["drafts"].select("draft_id", "league_id"), "draft_id").join(held["leagues"].select("league_id", "name"), "league_id")
+    return picks.join(held["teams"].select("team_id", "display_name"), "team_id", "left").select("name", "pick_no", "display_name", "player_id", "is_keeper")
+
+
+@query("q_league_slots", f"{_LEAGUE_SQL} SELECT s_name AS display_name, 1 AS week, 'c' || c_custkey AS player_id, 'BN' AS slot FROM c JOIN supplier ON s_suppkey = first WHERE c_mktsegment <> 'BUILDING' AND (c_acctbal >= 0 OR NOT EXISTS (SELECT 1 FROM c o WHERE o.k = c.k AND o.c_acctbal >= 0))")
+def league_slots(t):
+    held = _leagues(t)
+    return held["slots"].join(held["teams"].select("team_id", "display_name"), "team_id").select("display_name", "week", "player_id", "slot")
