@@ -1,5 +1,5 @@
 """Corpus preparation for language-model training.
 
 Nothing outside this subpackage imports it.  Every operator takes DataFrames and
-returns DataFrames; modules ending in ``_queries`` bind them to table folders.
+returns DataFrames; ``queries`` binds them to table folders, ``oracles`` has their SQL.
 """
