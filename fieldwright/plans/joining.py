@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names
 from ..operators import relational as rel
-from ..operators.identity import may_be_close
+from ..operators.closeness import close_pairs
 from .registry import registrar
 
 QUERIES: dict = {}
@@ -91,12 +91,12 @@ SELECT id, p_partkey AS match, round(least(sim, 0.89), 6) AS confidence FROM r W
 
 @query("q_fuzzy_block", _FUZZY)
 def fuzzy_block(t):
-    # different names of a block meet once, and only those that can be close; a name with several parts has no clear winner
+    # a pair of names is scored once, whatever block it is in; a name with several parts has no clear winner
     block = ["p_type", "p_brand"]
     q = t.part.select(F.col("p_partkey").alias("id"), *block, F.lower(F.concat(F.substring("p_name", 1, 3), F.substring("p_name", 5, 1000))).alias("a"))
     c = t.part.groupBy(*block, F.lower("p_name").alias("b")).agg(F.min("p_partkey").alias("match"), F.count(F.lit(1)).alias("n"))
-    pairs = q.select(*block, "a").distinct().join(c, block).where(may_be_close(F.col("a"), F.col("b")))
-    scored = pairs.withColumn("sim", names.jaro_winkler("a", "b")).where("sim >= 0.92")
+    near = close_pairs(q, t.part.select(F.lower("p_name").alias("b")), "a", "b")
+    scored = q.select(*block, "a").distinct().join(near, "a").join(c, [*block, "b"])
     w = Window.partitionBy(*block, "a").orderBy(F.desc("sim"), "match")
     top = scored.select(*block, "a", "match", "n", "sim", F.row_number().over(w).alias("rn"), F.lead("sim").over(w).alias("next"))
     clear = top.where((F.col("rn") == 1) & (F.col("n") == 1) & (F.col("next").isNull() | (F.col("sim") - F.col("next") >= 0.01)))

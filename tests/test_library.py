@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from fieldwright.functions import chances, names
 from fieldwright.functions.workers import ship
-from fieldwright.operators import features, identity, platform, season, valuation
+from fieldwright.operators import closeness, features, identity, platform, season, valuation
 from fieldwright.operators import relational as rel
 from fieldwright.sources import lake
 from fieldwright.streaming import events
@@ -159,7 +159,7 @@ def test_close_names_of_any_first_letter_and_length(spark):
     rng = np.random.default_rng(1)
     some = ["".join(rng.choice(list("abcde"), rng.integers(1, 9))) for _ in range(150)] + ["josh", "joshua", "geoffrey swaim", "jeoffrey swaim"]
     pairs = spark.createDataFrame([(a, b, names.jaro_winkler_of(a, b)) for a in some for b in some], "a string, b string, sim double")
-    assert pairs.where(F.col("sim") >= 0.92).where(~identity.may_be_close(F.col("a"), F.col("b"))).isEmpty()
+    assert pairs.where(F.col("sim") >= 0.92).where(~closeness.may_be_close(F.col("a"), F.col("b"), 0.92)).isEmpty()
     # birth date and college
     more = players.withColumn("birth_date", F.lit("1988-02-07")).withColumn("college", F.lit("Georgia"))
     for birth, college, reason in (("1990-01-01", None, "fuzzy_eliminated"), (None, "Ohio State", "fuzzy_eliminated"), ("1988-02-07", "georgia bulldogs", "pending")):
