@@ -45,10 +45,14 @@ _log_gamma = np.vectorize(math.lgamma, otypes=[float])
 def gamma_cdf(x: np.ndarray, shape) -> np.ndarray:
     """Regularised lower incomplete gamma, element by element: a series below shape + 1, a
     continued fraction above."""
-    x, shape = np.broadcast_arrays(np.asarray(x, float), np.asarray(shape, float))
+    shape = np.asarray(shape, float)
+    x, log_gamma, shape = np.broadcast_arrays(np.asarray(x, float), _log_gamma(shape), shape)
+    return _gamma_cdf(x, shape, log_gamma)
+
+
+def _gamma_cdf(x: np.ndarray, shape: np.ndarray, log_gamma: np.ndarray) -> np.ndarray:
     out = np.zeros(x.shape)
     low, high = (x > 0) & (x < shape + 1), x >= shape + 1
-    front = lambda v, k: np.exp(k * np.log(v) - v - _log_gamma(k))
     if low.any():
         v, k = x[low], shape[low]
         term = total = 1 / k
@@ -59,7 +63,7 @@ def gamma_cdf(x: np.ndarray, shape) -> np.ndarray:
             total = total + term
             if (term < total * 1e-15).all():
                 break
-        out[low] = total * front(v, k)
+        out[low] = total * np.exp(k * np.log(v) - v - log_gamma[low])
     if high.any():
         v, k = x[high], shape[high]
         b, c = v + 1 - k, np.full(v.shape, 1e300)
@@ -73,24 +77,42 @@ def gamma_cdf(x: np.ndarray, shape) -> np.ndarray:
             h = h * d * c
             if (np.abs(d * c - 1) < 1e-14).all():
                 break
-        out[high] = 1 - front(v, k) * h
+        out[high] = 1 - np.exp(k * np.log(v) - v - log_gamma[high]) * h
     return out
 
 
 def gamma_ppf(p: np.ndarray, shape, scale) -> np.ndarray:
-    """Gamma quantiles, element by element, by bisection on the distribution function."""
-    p, shape, scale = np.broadcast_arrays(*(np.asarray(v, float) for v in (p, shape, scale)))
-    low, high = np.zeros(p.shape), shape + 10 * np.sqrt(shape) + 20
-    for _ in range(60):
-        short = gamma_cdf(high, shape) < p
-        if not short.any():
-            break
-        high = np.where(short, high * 2, high)
-    for _ in range(55):
-        mid = (low + high) / 2
-        under = gamma_cdf(mid, shape) < p
-        low, high = np.where(under, mid, low), np.where(under, high, mid)
-    return scale * (low + high) / 2
+    """Gamma quantiles, element by element, by Newton steps on the distribution function; a step
+    that leaves what is known to hold the quantile halves that instead."""
+    shape = np.asarray(shape, float)
+    p, log_gamma, shape, scale = np.broadcast_arrays(np.asarray(p, float), _log_gamma(shape), shape, np.asarray(scale, float))
+    goal, k, lg = p.ravel(), shape.ravel(), log_gamma.ravel()
+    with np.errstate(all="ignore"):
+        # start: the normal quantile (Abramowitz and Stegun 26.2.23) of the cube root, or the density near 0
+        t = np.sqrt(-2 * np.log(np.minimum(goal, 1 - goal)))
+        z = t - (2.515517 + t * (0.802853 + t * 0.010328)) / (1 + t * (1.432788 + t * (0.189269 + t * 0.001308)))
+        z = np.where(goal < 0.5, -z, z)
+        x = k * (1 - 1 / (9 * k) + z / (3 * np.sqrt(k))) ** 3
+        near = np.exp((np.log(goal) + np.log(k) + lg) / k)
+        x = np.where((x > 0.1 * k) & np.isfinite(x), x, near)
+        x = np.where(goal <= 0, 0.0, np.where((x > 0) & np.isfinite(x), x, np.where(np.isfinite(k), k, np.nan)))
+        low, high = np.zeros(x.shape), np.full(x.shape, np.inf)
+        todo = np.flatnonzero((goal > 0) & np.isfinite(x))
+        for _ in range(200):
+            if not len(todo):
+                break
+            at, own = x[todo], k[todo]
+            over = _gamma_cdf(at, own, lg[todo]) - goal[todo]
+            lo, hi = np.where(over < 0, at, low[todo]), np.where(over >= 0, at, high[todo])
+            low[todo], high[todo] = lo, hi
+            step = over / np.exp((own - 1) * np.log(at) - at - lg[todo])
+            step = step / np.maximum(1 - 0.5 * step * ((own - 1) / at - 1), 0.5)
+            new = at - step
+            mid = np.where(np.isfinite(hi), (lo + hi) / 2, 2 * at + 1)
+            done = (np.abs(over) <= 3e-16) | (np.abs(step) <= 1e-13 * at) | (np.isfinite(hi) & (hi - lo <= 1e-15 * hi))
+            x[todo] = np.where(done, at, np.where((new > lo) & (new < hi), new, mid))
+            todo = todo[~done]
+    return scale * x.reshape(p.shape)
 
 
 def positive_semidefinite(matrix: np.ndarray) -> np.ndarray:
@@ -105,6 +127,18 @@ def normal_cdf(z: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.vectorize(math.erf)(z / math.sqrt(2)))
 
 
+def equal_correlation(rho: float, k: int) -> tuple[float, float]:
+    """(own, shared): own * e + shared * m has about variance 1 and correlation ``rho`` between any two of
+    k, as ``positive_semidefinite`` leaves it, where e are independent normals.  From 0 on m is one
+    more normal, below 0 the mean of all k."""
+    if rho >= 0:
+        rho = min(rho, 1.0)
+        return math.sqrt(1 - rho), math.sqrt(rho)
+    both, each = max(1 + (k - 1) * rho, 1e-10), 1 - rho  # eigenvalues: of the mean, of what differs from it
+    size = math.sqrt(each + (both - each) / k)
+    return math.sqrt(each) / size, (math.sqrt(both) - math.sqrt(each)) / size
+
+
 def copula_draws(shapes, scales, correlation: np.ndarray, n: int, seed: int) -> np.ndarray:
     """n joint gamma draws whose dependence is a Gaussian copula; rows are draws."""
     root = np.linalg.cholesky(positive_semidefinite(correlation))

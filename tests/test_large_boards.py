@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from fieldwright.functions import chances
 from fieldwright.functions import chances
 from fieldwright.functions.workers import ship
 from fieldwright.operators import features, relational, valuation
@@ -36,3 +37,28 @@ def test_places_of_a_total_order(spark):
     got = relational.numbered(rows, [F.desc("v"), "k"], "place").orderBy("place").collect()
     assert [r.place for r in got] == list(range(1, 501))
     assert [(r.v, r.k) for r in got] == sorted(((r.v, r.k) for r in got), key=lambda x: (-x[0], x[1]))
+
+
+def test_slates_are_drawn_in_blocks(spark, monkeypatch):
+    """Means, spreads and the total's spread are those of the copula, for slates of any number."""
+    ship(spark)
+    monkeypatch.setattr(features, "DRAWN", 8)
+    monkeypatch.setattr(chances, "positive_semidefinite", lambda m: pytest.fail("a matrix of all players"))
+    players = spark.range(60).select((F.col("id") % 2).alias("slate"), F.col("id").alias("player"), (10.0 + F.col("id") % 2 * 10).alias("mean"), F.lit(5.0).alias("sd"))
+    got = features.slate_draws(players, "slate", 0.2, 4000).collect()
+    assert len(got) == 60
+    assert [r["mean"] for r in got] == pytest.approx([10.0 + r.slate * 10 for r in got], abs=0.5)
+    assert features.slate_draws(players.repartition(3), "slate", 0.2, 4000).exceptAll(spark.createDataFrame(got)).isEmpty()
+    for r in got:  # variance of a sum of 30 with pairwise correlation just under 0.2
+        assert r.total_sd == pytest.approx(5 * np.sqrt(30 + 30 * 29 * 0.19), rel=0.08)
+    assert features.slate_draws(players, "slate", -1 / 29, 2000).head().total_sd < 15  # sums hardly move
+    own, both = chances.equal_correlation(-0.3, 3)
+    e = np.random.default_rng(1).standard_normal((200_000, 3))
+    assert np.corrcoef((own * e + both * e.mean(axis=1, keepdims=True)).T)[0, 1] == pytest.approx(-0.3, abs=0.01)
+
+
+def test_gamma_quantiles_take_few_steps():
+    p = np.concatenate([np.random.default_rng(0).random(2000), [1e-9, 1e-3, 1 - 1e-9]])
+    shape = 10 ** np.random.default_rng(1).uniform(-0.5, 3, len(p))
+    q = chances.gamma_ppf(p, shape, 2.0)
+    assert chances.gamma_cdf(q / 2, shape) == pytest.approx(p, abs=1e-11)
