@@ -62,3 +62,17 @@ def test_gamma_quantiles_take_few_steps():
     shape = 10 ** np.random.default_rng(1).uniform(-0.5, 3, len(p))
     q = chances.gamma_ppf(p, shape, 2.0)
     assert chances.gamma_cdf(q / 2, shape) == pytest.approx(p, abs=1e-11)
+
+
+def test_tiers_of_equal_values_are_counted_once(spark):
+    """A mixture over distinct values gives the tiers of one over all players; a lone player has one too."""
+    own = valuation.weighted_tiers
+    rng = np.random.default_rng(4)
+    x = np.sort(np.round(np.concatenate([rng.normal(m, 2, 400) for m in (20, 50, 90)]), 0))[::-1]
+    tiers = valuation.mixture_tiers(x)
+    values, times = np.unique(x, return_counts=True)
+    assert len(tiers) == 1200 and (own(values[::-1], times[::-1]) == tiers[np.searchsorted(-x, -values[::-1])]).all()
+    assert len(set(tiers[:400]) & set(tiers[400:800])) == 0 and (np.diff(tiers) >= 0).all()
+    board = spark.createDataFrame([(k, "A", float(v)) for k, v in enumerate(x)] + [(5000, "B", 1.0)], "player long, position string, points double")
+    got = {r.player: r.tier for r in valuation.tiers(board, "position", "player", "points").collect()}
+    assert got.pop(5000) == 1 and [got[k] for k in range(1200)] == tiers.tolist()
