@@ -76,3 +76,14 @@ def test_tiers_of_equal_values_are_counted_once(spark):
     board = spark.createDataFrame([(k, "A", float(v)) for k, v in enumerate(x)] + [(5000, "B", 1.0)], "player long, position string, points double")
     got = {r.player: r.tier for r in valuation.tiers(board, "position", "player", "points").collect()}
     assert got.pop(5000) == 1 and [got[k] for k in range(1200)] == tiers.tolist()
+
+
+def test_swaps_are_not_shuffled_once_more(spark):
+    """Pairs meet once; only a player who is on a team twice makes swaps that must be made distinct."""
+    rows = [(1, 1, "A", 1.0), (2, 2, "B", 1.01), (3, 2, "A", 1.0), (4, 3, "C", 0.99), (5, 1, "B", 3.0)]
+    board = spark.createDataFrame(rows, "player long, team long, position string, value double")
+    swaps = valuation.fair_trades(board, 0.02)
+    assert sorted((r.a_player, r.b_player) for r in swaps.collect()) == [(1, 2), (1, 4), (3, 4)]
+    assert "Aggregate" not in swaps._jdf.queryExecution().optimizedPlan().toString()
+    twice = board.union(board).union(spark.createDataFrame([(1, 1, "C", 1.0)], board.schema))
+    assert sorted((r.a_player, r.b_player) for r in valuation.fair_trades(twice, 0.02).collect()) == [(1, 2), (1, 3), (1, 4), (3, 4)]
