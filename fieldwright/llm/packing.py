@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import ship, staged, steps, text_rows, trimmed
-from .tokenize import END, ENCODE_BYTES, path_of, word_encoder
+from .tokenize import END, path_of, word_encoder
 
 CAPACITY, UNIT = 4096, 32
 #: Ids between stored checksums; cuts are made at these places only.
@@ -104,7 +104,7 @@ def _cutter(vocabulary: str, capacity: int, unit: int):
         encoder, part, ranks = word_encoder(vocabulary), TaskContext.get().partitionId(), {}
         for batch in batches:
             ids_of = batch.column("doc_id").to_pylist()
-            for at, values in steps(batch.column("text"), ENCODE_BYTES):
+            for at, values in steps(batch.column("text")):
                 ids, offsets = encoder.encode(values, END)
                 rows = []
                 for k in range(len(values)):

@@ -199,10 +199,12 @@ def _spread(data: bytes, offs: np.ndarray) -> tuple[bytes, np.ndarray]:
     letter |= (lead == 0xC3) & (before >= 0x80) & (before <= 0xBF) & (before != 0x97) & (before != 0xB7)
     mark[at[~letter]] = False
     mark[offs[offs < len(raw)]] = False  # a text's first character stays its own
-    moved = np.cumsum(mark)
-    out = np.full(len(raw) + int(moved[-1]), 0x20, np.uint8)
-    out[np.arange(len(raw)) + moved] = raw
-    return out.tobytes(), offs + np.concatenate([[0], moved])[offs]
+    at = np.flatnonzero(mark)  # few: all else is a byte or a bit for each byte of text
+    out = np.full(len(raw) + len(at), 0x20, np.uint8)
+    own = np.ones(len(out), bool)
+    own[at + np.arange(len(at))] = False
+    out[own] = raw
+    return out.tobytes(), offs + np.searchsorted(at, offs)
 
 
 def laid(codes: np.ndarray, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -210,4 +212,7 @@ def laid(codes: np.ndarray, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarr
     first = ends[codes]
     sizes = ends[codes + 1] - first
     after = np.concatenate([[0], np.cumsum(sizes)])
-    return ids[np.repeat(first - after[:-1], sizes) + np.arange(int(after[-1]))], after
+    kind = np.int32 if max(len(ids), int(after[-1])) < 2**31 else np.int64
+    at = np.repeat((first - after[:-1]).astype(kind), sizes)
+    at += np.arange(len(at), dtype=kind)
+    return ids[at], after

@@ -3,8 +3,10 @@
 import hashlib
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -178,6 +180,21 @@ def test_cutting_stock_places_every_piece():
     assert value == pytest.approx(0.6) and (pattern * [1, 2, 3]).sum() <= 5
 
 
+def test_packing_holds_little_beside_its_batch(monkeypatch):
+    """Two workers and a JVM share an executor: what encoding a batch takes must not add up."""
+    monkeypatch.setattr(packing, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    words = phrase(21, 500).replace(" ", ", ")
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(2500)), "text": [f"{k} {words}" for k in range(2500)]})
+    assert batch.nbytes > 8 << 20
+    run = packing._cutter(path_of("word_bpe_49k.json"), packing.CAPACITY, packing.UNIT)
+    list(run([batch.slice(0, 10)]))  # the vocabulary is read
+    tracemalloc.start()
+    pieces = sum(b.num_rows for b in run([batch]))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert pieces >= 2500 and most < 50_000_000, most
+
+
 def test_finished_blocks_fill_their_sequences():
     crcs = lambda n: packing.prefix_crcs(np.arange(n, dtype="<u4")).tobytes()
     rows = [(k, k, 0, n, n, crcs(n)) for k, n in enumerate([4000, 3000, 2500, 700, 50, 1])]
