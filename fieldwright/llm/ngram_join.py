@@ -15,10 +15,12 @@ one group, where a node lists the shingles by which it belongs there.  Groups ca
 1. every member of a group is verified against two pivots, the group's least node and the
    one whose shingles the most others share; the links found join most of a near-copy group;
 2. groups whose other members still lie in different components are searched with R-trees,
-   large ones in tiles of about ``TILE`` nodes a side.  A pair is returned once a group,
-   and only if the shingles that both list there, those that either may share elsewhere and
-   the rests beyond the prefixes allow the overlap; the shared counts of all groups bound it
-   once more, and what survives is verified on the whole sets.
+   large ones in tiles of about ``TILE`` nodes a side.  A node brings the shingles of all its
+   open groups (of its one group, if those would take more than ``LISTED``), so that a pair is
+   returned only if what both list and the rests beyond the prefixes allow the overlap; it is
+   verified on the whole sets.  A tile with more than ``DENSE`` such pairs a node returns none:
+   its members' whole sets are compared in one task, which returns a forest of the links
+   between roots.  So no tile returns more than a multiple of its members.
 
 Pairs inside one component are not looked at again, and no link that would join two
 components is missed, so the components are those of all links.
@@ -33,7 +35,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -43,6 +45,12 @@ from .words import NOT_SPACE, Words, mixed
 SHINGLE, PERCENT = 5, 80
 GROUPS = 64
 TILE = 512
+#: Pairs a member that a tile returns; beyond them it is compared on whole sets.
+DENSE = 4
+#: Shingles that one node brings to all its groups together, but for those of each group.
+LISTED = 1 << 16
+#: Shingles of whole sets that one tile compares, about; one with more is cut into cells.
+SHINGLES = 1 << 20
 #: Rows of tiles that one call of the searcher holds, about.
 GROUP_ROWS = 4096
 #: Documents (about) from which frequent shingles are learnt, and how many are kept; they
@@ -259,57 +267,116 @@ def _candidates(points: np.ndarray, left: np.ndarray, right: np.ndarray, percent
 
 
 def _shared(lists: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """How many listed shingles each pair of two sides has in common."""
-    own = np.concatenate([lists[i] for i in (*left, *right)])
-    _, columns = np.unique(own, return_inverse=True)
-    ends = np.cumsum([0, *(len(lists[i]) for i in (*left, *right))])
+    """How many listed shingles each pair of different rows of two sides has in common."""
+    same = np.array_equal(left, right)
+    rows = left if same else np.concatenate([left, right])
+    _, columns, times = np.unique(np.concatenate([lists[i] for i in rows]), return_inverse=True, return_counts=True)
+    often = times > 1  # others are shared by no two rows
+    ends, at = np.cumsum([0, *(len(lists[i]) for i in rows)]), np.flatnonzero(often[columns])
+    of, columns = np.searchsorted(ends, at, "right") - 1, (np.cumsum(often) - 1)[columns[at]]
     out = np.zeros((len(left), len(right)), np.float32)
-    for low in range(0, int(columns.max(initial=-1)) + 1, SLICE):
-        part = np.zeros((len(ends) - 1, SLICE), np.float32)
+    for low in range(0, int(often.sum()), SLICE):
+        part = np.zeros((len(rows), SLICE), np.float32)
         inside = (columns >= low) & (columns < low + SLICE)
-        part[(np.searchsorted(ends, np.flatnonzero(inside), "right") - 1), columns[inside] - low] = 1
-        out += part[: len(left)] @ part[len(left) :].T
+        part[of[inside], columns[inside] - low] = 1
+        out += part[: len(left)] @ (part if same else part[len(left) :]).T
     return out.astype(np.int64)
 
 
+def _lists_of(table: pa.Table) -> list[np.ndarray]:
+    tokens = table.column("tokens").combine_chunks()
+    held, ends = tokens.flatten().to_numpy(), np.cumsum([0, *pc.list_value_length(tokens).to_pylist()])
+    return [held[a:b] for a, b in zip(ends, ends[1:])]
+
+
 def _tile_searcher(percent: int):
-    """Each call holds whole tiles of many groups; a pair is returned once for a group, with the
-    number of shingles that both list there."""
+    """Each call holds whole tiles of many groups and returns (u, v, tile_id): pairs whose bound
+    allows the Jaccard, or one row without a pair for a tile that has too many of them."""
 
     def run(table):
         tile = np.array(table.column("tile_id").to_numpy())
         names, roots, sides, sizes, all_open = (np.array(table.column(c).to_numpy()) for c in ("node", "root", "side", "n", "n_open"))
         flat = table.column("point").combine_chunks().flatten().to_numpy()
         points = flat.reshape(len(names), -1).astype(np.int64) if len(names) else np.zeros((0, 1), np.int64)
-        tokens = table.column("tokens").combine_chunks()
-        held, ends = tokens.flatten().to_numpy(), np.cumsum([0, *pc.list_value_length(tokens).to_pylist()])
-        lists = [held[a:b] for a, b in zip(ends, ends[1:])]
+        lists = _lists_of(table)
         rest = -(-percent * sizes // 100) - 1
-        elsewhere = all_open - np.diff(ends)
+        unlisted = all_open - np.fromiter(map(len, lists), np.int64, len(lists))
         order = np.argsort(tile, kind="stable")
         cuts = np.flatnonzero(np.diff(tile[order])) + 1
-        out_u, out_v, out_met = [], [], []
+        found, dense = [], []
         for rows in np.split(order, cuts):
             left, right = rows[sides[rows] != 1], rows[sides[rows] != 0]
             if not len(left) or not len(right) or (roots[rows] == roots[rows[0]]).all():
                 continue
             shared, at = _shared(lists, left, right), {int(j): k for k, j in enumerate(right)}
+            own, n_own = [], 0
             for k, (i, hit) in enumerate(_candidates(points, left, right, percent)):
                 met = shared[k, [at[int(j)] for j in hit]]
-                most = met + np.minimum(elsewhere[hit], elsewhere[i]) + np.maximum(rest[hit], rest[i])
+                # where both list this group only, the rest of either; else that of the one that does
+                less, more = np.minimum(unlisted[hit], unlisted[i]), np.maximum(unlisted[hit], unlisted[i])
+                most = met + np.where(less > 0, less, more) + np.maximum(rest[hit], rest[i])
                 keep = (met > 0) & (roots[hit] != roots[i]) & ((sides[hit] != 2) | (names[hit] > names[i]))
                 keep &= (100 + percent) * most >= percent * (sizes[hit] + sizes[i])
-                hit, met = hit[keep], met[keep]
+                hit = hit[keep]
                 if len(hit):
-                    out_u.append(np.minimum(names[i], names[hit]))
-                    out_v.append(np.maximum(names[i], names[hit]))
-                    out_met.append(met)
-        none = [np.zeros(0, np.int64)]
-        return pa.table({name: pa.array(np.concatenate(out or none)) for name, out in (("u", out_u), ("v", out_v), ("met", out_met))})
+                    own.append(np.stack([np.minimum(names[i], names[hit]), np.maximum(names[i], names[hit]), np.full(len(hit), tile[i])]))
+                    n_own += len(hit)
+                if n_own > DENSE * len(rows):
+                    break
+            if n_own > DENSE * len(rows):
+                dense.append(tile[rows[0]])
+            else:
+                found += own
+        u, v, of = np.concatenate([np.zeros((3, 0), np.int64), *found], axis=1)
+        none = pa.nulls(len(dense), pa.int64())
+        return pa.table({"u": pa.concat_arrays([pa.array(u), none]), "v": pa.concat_arrays([pa.array(v), none]), "tile_id": np.concatenate([of, np.array(dense, np.int64)])})
+
+    return run
+
+
+def _tile_verifier(percent: int):
+    """Links between the roots of one tile, by its members' whole sets: a forest."""
+
+    def run(table):
+        roots, sides, lists = np.array(table.column("root").to_numpy()), np.array(table.column("side").to_numpy()), _lists_of(table)
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        left, right = np.flatnonzero(sides != 1), np.flatnonzero(sides != 0)
+        both = _shared(lists, left, right)
+        i, j = np.nonzero((100 + percent) * both >= percent * (sizes[left][:, None] + sizes[right][None, :]))
+        a, b = roots[left[i]], roots[right[j]]
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)])[:, a != b], axis=1)
+        over: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while x in over:
+                over[x] = x = over.get(over[x], over[x])
+            return x
+
+        out = []
+        for a, b in pairs.T.tolist():
+            x, y = top(a), top(b)
+            if x != y:
+                over[y] = x
+                out.append((a, b))
+        return pa.table({"u": pa.array([a for a, _ in out], pa.int64()), "v": pa.array([b for _, b in out], pa.int64())})
 
     return run
 
 
+def _spots(side: Column) -> Column:
+    """Where the node of a square cut into ``tiles`` x ``tiles`` stands: in its row (a left side, 0),
+    its column (a right one, 1) or, of a square over the diagonal (2), in what lies over it."""
+    at = F.col("tile")
+    return F.transform(
+        F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1),
+        lambda k: F.struct(
+            F.when(side == 2, F.least(k, at)).when(side == 0, at).otherwise(k).alias("i"),
+            F.when(side == 2, F.greatest(k, at)).when(side == 0, k).otherwise(at).alias("j"),
+            F.when(side != 2, side).when(k == at, 2).when(k > at, 0).otherwise(1).alias("side"),
+        ),
+    )
+
+
 def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     """Pairs (u, v, most: shingles that both prefixes share at most) whose summed coordinate
     minima, and whose prefixes and rests, allow the Jaccard."""
@@ -391,40 +458,41 @@ def _linked(rows: DataFrame, size: int, percent: int, bits: int) -> DataFrame:
     open_groups = open_groups.where("a != b").select("u", F.ceil(F.col("m") / TILE).cast("long").alias("tiles"))
     listed = members.join(others.join(open_groups, "u"), ["u", "node"]).groupBy("u", "node", "root", "tiles").agg(F.collect_list("token").alias("tokens"))
     listed = staged(listed, "listed")  # a list is no longer than its node's prefix
-    n_open = listed.groupBy("node").agg(F.sum(F.size("tokens")).alias("n_open"))
-    described = points.select("node", "n", "point").join(n_open, "node")
-    # a node stands in each tile of its row and column, as side 0, 1, or 2 on the diagonal
-    spots = F.transform(
-        F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1),
-        lambda k: F.struct(
-            F.least(k, F.col("tile")).alias("i"),
-            F.greatest(k, F.col("tile")).alias("j"),
-            F.when(k == F.col("tile"), 2).when(k > F.col("tile"), 0).otherwise(1).alias("side"),
-        ),
-    )
-    laid = listed.join(described, "node").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles"))).withColumn("spot", F.explode(spots))
-    laid = laid.select(F.xxhash64("u", "spot.i", "spot.j").alias("tile_id"), "spot.side", "node", "root", "n", "n_open", "point", "tokens")
+    # a node lists everything in each of its groups, where that is little
+    whole = listed.groupBy("node").agg(F.count(F.lit(1)).alias("n_groups"), F.sum(F.size("tokens")).alias("n_open"), F.flatten(F.collect_list("tokens")).alias("all"))
+    whole = whole.withColumn("all", F.when(F.col("n_groups") * F.col("n_open") <= LISTED, F.col("all")))
+    described = points.select("node", "n", "point").join(whole, "node")
+    laid = listed.join(described, "node").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles"))).withColumn("spot", F.explode(_spots(F.lit(2))))
+    laid = laid.select(F.xxhash64("u", "spot.i", "spot.j").alias("tile_id"), "spot.side", "node", "root", "n", "n_open", "point", F.coalesce("all", "tokens").alias("tokens"))
     laid = staged(laid, "tiles")
     calls = laid.count() // GROUP_ROWS + 1
-    found = laid.withColumn("work", F.pmod("tile_id", F.lit(calls))).groupBy("work").applyInArrow(_tile_searcher(percent), "u long, v long, met long")
-    # nodes meet in one block for each shingle that both prefixes hold; beyond the prefix that ends
-    # first at most its own rest can be shared as well
-    met = found.groupBy("u", "v").agg(F.sum("met").alias("met"))
-    size_of = lambda side: points.select(F.col("node").alias(side), F.col("n").alias(f"n{side}"))
-    rest = lambda n: F.ceil(F.col(n) * percent / 100) - 1
-    most = F.col("met") + F.greatest(rest("nu"), rest("nv"))
-    pairs = met.join(size_of("u"), "u").join(size_of("v"), "v").where((100 + percent) * most >= percent * (F.col("nu") + F.col("nv"))).select("u", "v")
-    pairs = staged(pairs, "tree-pairs")
+    found = laid.withColumn("work", F.pmod("tile_id", F.lit(calls))).groupBy("work").applyInArrow(_tile_searcher(percent), "u long, v long, tile_id long")
+    found = staged(found, "found")
     release_shuffles(spark)
-    final = roots
+    pairs, dense = found.where("v is not null").select("u", "v").distinct(), found.where("v is null").select("tile_id")
+    final, more = roots, []
     if not pairs.isEmpty():
-        more = staged(_verified(pairs, _sets_for(pairs, nodes, clashes, rows, size, bits), percent), "tree-links")
-        final = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more))
+        pairs = staged(pairs, "tree-pairs")
+        more.append(staged(_verified(pairs, _sets_for(pairs, nodes, clashes, rows, size, bits), percent), "tree-links"))
+    if not dense.isEmpty():
+        inside = laid.join(dense, "tile_id", "left_semi").select("tile_id", "side", "node", "root", "n")
+        cells = inside.groupBy("tile_id").agg(F.ceil(F.sum("n") / SHINGLES).cast("long").alias("tiles"))
+        inside = inside.join(cells, "tile_id").withColumn("tile", F.pmod(F.xxhash64("node", F.lit(1)), F.col("tiles"))).withColumn("spot", F.explode(_spots(F.col("side"))))
+        inside = staged(inside.select(F.xxhash64("tile_id", "spot.i", "spot.j").alias("tile_id"), "spot.side", "node", "root"), "dense-tiles")
+        sets = _sets_for(inside.select(F.col("node").alias("u"), F.col("node").alias("v")).distinct(), nodes, clashes, rows, size, bits)
+        known = sets.dropDuplicates(["node"])  # equal rows of one id are read each
+        more.append(staged(inside.join(known, "node").groupBy("tile_id").applyInArrow(_tile_verifier(percent), "u long, v long"), "dense-links"))
+    release_shuffles(spark)
+    if more:
+        links = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
+        for some in more:
+            links = links.union(some)
+        final = components(links)
         release_shuffles(spark)
     least = nodes.join(final, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     component = least.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of_node = staged(least.select("node", "root").join(component, "root"), "components")
-    for used in (points, members, shares, pivots, others, listed, laid):
+    for used in (points, members, shares, pivots, others, listed, laid, found):
         drop_staged(used)
     linked = (F.col("n") > 0) & F.col("doc_id").isNotNull()
     out = _noded(slim, clashes).join(of_node, "node", "left")

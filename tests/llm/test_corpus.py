@@ -4,6 +4,7 @@ import hashlib
 import re
 import time
 import tracemalloc
+import uuid
 import zlib
 from collections import Counter, defaultdict
 from types import SimpleNamespace
@@ -349,6 +350,59 @@ def test_ngram_join_chains_and_hidden_links(spark):
     assert got == set(brute_components(rows))
 
 
+def counted(monkeypatch, folder, name):
+    """The rows that the tasks' functions of this name make, added up by the returned function."""
+    plain = getattr(ngram_join, name)
+
+    def wrapped(percent):
+        run, at = plain(percent), str(folder)
+
+        def noted(table):
+            out = run(table)
+            with open(f"{at}/{name}{uuid.uuid4().hex}", "w") as f:
+                f.write(str(out.num_rows))
+            return out
+
+        return noted
+
+    monkeypatch.setattr(ngram_join, name, wrapped)
+    return lambda: [int(f.read_text()) for f in folder.glob(f"{name}*")]
+
+
+def test_ngram_join_returns_few_pairs_of_texts_with_common_passages(spark, monkeypatch, tmp_path):
+    """Texts that share some passages but are not alike: every two meet in some group."""
+    rng = np.random.default_rng(4)
+    passages = [phrase(500 + k, 12) for k in range(12)]
+    rows = [(k, " ".join([passages[i] for i in sorted(rng.choice(12, 5, replace=False))] + [f"own{k}x{j}" for j in range(150)])) for k in range(300)]
+    rows += [(300 + k, rows[k][1] + " end") for k in range(0, 300, 10)]
+    made = counted(monkeypatch, tmp_path, "_tile_searcher")
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.join(df).collect()}
+    assert got == set(brute_components(rows))
+    assert sum(made()) <= 2 * len(rows), made()
+
+
+@pytest.mark.parametrize("shingles, listed", [(1 << 20, 1 << 16), (3000, 0)])
+def test_ngram_join_compares_dense_tiles_in_place(spark, monkeypatch, tmp_path, shingles, listed):
+    """Variants of one text around the similarity: nearly all pairs pass every bound."""
+    rng = np.random.default_rng(8)
+    words = phrase(13, 150).split()
+    rows = []
+    for k in range(120):
+        own = list(words)
+        for at in rng.choice(150, rng.integers(2, 7), replace=False):
+            own[at] = f"new{k}x{at}"
+        rows.append((k, " ".join(own)))
+    monkeypatch.setattr(ngram_join, "SHINGLES", shingles)
+    monkeypatch.setattr(ngram_join, "LISTED", listed)
+    made, linked = counted(monkeypatch, tmp_path, "_tile_searcher"), counted(monkeypatch, tmp_path, "_tile_verifier")
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.join(df).collect()}
+    want = set(brute_components(rows))
+    assert got == want and 1 < len({c for _, _, c in want}) < 110
+    assert linked() and sum(made()) <= 10 * len(rows) and max(linked()) < 120, (made(), linked())
+
+
 def test_rtree_loses_no_point():
     rng = np.random.default_rng(2)
     points = rng.poisson(3, (400, 64))
