@@ -403,6 +403,17 @@ def test_ngram_join_compares_dense_tiles_in_place(spark, monkeypatch, tmp_path,
     assert linked() and sum(made()) <= 10 * len(rows) and max(linked()) < 120, (made(), linked())
 
 
+def test_tiles_return_no_more_than_a_multiple_of_their_members():
+    """200 nodes of one tile that all pass the bounds: no pair for each two of them."""
+    n, own = 200, np.arange(40, dtype=np.int64) << 40
+    rows = {"tile_id": [7] * n, "node": list(range(n)), "root": list(range(n)), "side": [2] * n, "n": [41] * n, "n_open": [41] * n}
+    rows |= {"point": [[41, 0]] * n, "tokens": [[*own.tolist(), k + 1] for k in range(n)]}
+    table = pa.table(rows)
+    assert ngram_join._tile_searcher(80)(table).num_rows <= 4 * n
+    links = ngram_join._tile_verifier(80)(table)
+    assert links.num_rows == n - 1  # a tree over all of them, as all are alike
+
+
 def test_rtree_loses_no_point():
     rng = np.random.default_rng(2)
     points = rng.poisson(3, (400, 64))
