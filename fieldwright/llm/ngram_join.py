@@ -7,8 +7,8 @@ coordinate minima bounds the overlap, and for a box of points the minima against
 corner do, so an R-tree over points prunes whole subtrees of a search.
 
 To deal the work out, nodes meet in blocks: two sets with Jaccard t share a shingle among
-the first n - ceil(t n) + 1 of each in any one order (frequent shingles are ordered last),
-so every link lies inside the block of some shingle.  The blocks with one least node are
+the first n - ceil(t n) + 1 of each in any one order (shingles of rare words are ordered first,
+frequent shingles last), so every link lies inside the block of some shingle.  The blocks with one least node are
 one group, where a node lists the shingles by which it belongs there.  Groups can be huge
 (near copies), hence two passes, exact together:
 
@@ -53,9 +53,15 @@ LISTED = 1 << 16
 SHINGLES = 1 << 20
 #: Rows of tiles that one call of the searcher holds, about.
 GROUP_ROWS = 4096
-#: Documents (about) from which frequent shingles are learnt, and how many are kept; they
-#: only order shingles and change no result.
-SAMPLE, FREQUENT = 2000, 65_536
+#: Documents (about) from which frequent shingles are learnt, at least and as a share of all, and how
+#: many are kept; they only order shingles and change no result.  A passage in a fixed share of the
+#: documents makes groups that grow with them, and tiles with the square, unless it is learnt: so
+#: the sample grows too.
+SAMPLE, SAMPLED, FREQUENT = 2000, 16, 65_536
+#: Slots of the table of word frequencies learnt from the same documents; it only orders shingles,
+#: too.  Unlike texts share shingles of common words, the more of them the more texts there are, so
+#: a prefix of rare words keeps their number in blocks from growing faster than the texts.
+WORD_SLOTS = 1 << 18
 #: Columns of one product when listed shingles are counted.
 SLICE = 2048
 #: Size of the bit table that may be broadcast (2 MB), and an eighth of it the most ids it stands for.
@@ -66,10 +72,31 @@ _SALT = np.uint64(0x5851F42D4C957F2D)
 
 def shingle_sets(values: pa.Array, size: int = SHINGLE) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text of a slice."""
+    return _sets_of(Words(values, NOT_SPACE), size)
+
+
+def _word_slots(words: Words) -> np.ndarray:
+    return (words.hashes >> np.uint64(64 - WORD_SLOTS.bit_length() + 1)).astype(np.int64)
+
+
+def _weighed_sets(values: pa.Array, size: int, weights: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """``shingle_sets``, and for each shingle the summed weights of its words."""
     words = Words(values, NOT_SPACE)
+    sums = np.concatenate([np.zeros(1, np.int64), np.cumsum(weights[_word_slots(words)], dtype=np.int64)])
+    scores = []
+    sets = _sets_of(words, size, sums[size:] - sums[:-size] if len(sums) > size else sums[:0], scores)
+    return sets, scores
+
+
+def _sets_of(words: Words, size: int, score: np.ndarray | None = None, scores: list[np.ndarray] | None = None) -> list[np.ndarray]:
     grams, first = words.grams(size), words.first.tolist()
     out = []
     for lo, hi in zip(first, first[1:]):
+        if hi - lo >= size and score is not None:
+            tokens, at = np.unique(grams[lo : hi - size + 1], return_index=True)
+            out.append(tokens)
+            scores.append(score[lo + at])
+            continue
         if hi - lo >= size:
             out.append(np.unique(grams[lo : hi - size + 1]))
         elif hi > lo:
@@ -79,6 +106,8 @@ def shingle_sets(values: pa.Array, size: int = SHINGLE) -> list[np.ndarray]:
             out.append(whole)
         else:
             out.append(np.zeros(0, np.uint64))
+        if score is not None:
+            scores.append(np.zeros(len(out[-1]), np.int64))
     return out
 
 
@@ -96,13 +125,18 @@ def class_of(tokens: np.ndarray) -> tuple[int, int]:
     return first, second
 
 
-def _prefix(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
+def _prefix(tokens: np.ndarray, frequent: np.ndarray, percent: int, score: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """The first of a set's shingles: rare words first, then frequent shingles by their ``levels``."""
     n = len(tokens)
     keep = n - -(-percent * n // 100) + 1
     at = np.searchsorted(frequent, tokens)
-    late = frequent[np.minimum(at, len(frequent) - 1)] == tokens if len(frequent) else np.zeros(n, bool)
-    # an order of hashes other than their size, so that prefixes do not crowd into the first groups
-    order = np.lexsort((mixed(tokens ^ _SALT), late))
+    at = np.minimum(at, len(frequent) - 1)
+    late = frequent[at] == tokens if len(frequent) else np.zeros(n, bool)
+    if late.any():
+        score = np.where(late, levels[at], score)
+    # last an order of hashes other than their size, so that prefixes do not crowd into the first groups
+    place = (late.astype(np.uint64) << np.uint64(63)) | (np.minimum(score, 2047).astype(np.uint64) << np.uint64(52)) | (mixed(tokens ^ _SALT) >> np.uint64(12))
+    order = np.argsort(place, kind="stable")
     return tokens[order[:keep]]
 
 
@@ -119,15 +153,15 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
     return pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(np.concatenate([np.zeros(0, values[0].dtype), *values]))) if values else pa.array([], pa.large_list(pa.int64()))
 
 
-def _sketcher(size: int, percent: int, frequent):
+def _sketcher(size: int, percent: int, frequent, weights):
     """Prefix and point are given with the first of a task's equal sets only."""
 
     def run(batches):
-        often, met = frequent.value, set()
+        (often, levels), heavy, met = frequent.value, weights.value, set()
         for batch in batches:
             ids, tags = batch.column("doc_id"), batch.column("tag")
             for at, values in steps(batch.column("text")):
-                sets = shingle_sets(values, size)
+                sets, scores = _weighed_sets(values, size, heavy)
                 held, c1, c2 = ids.slice(at, len(values)), *_names(sets)
                 first = []
                 for s, name, known in zip(sets, zip(c1.to_numpy(), c2.to_numpy()), held.is_valid().to_pylist()):
@@ -135,7 +169,7 @@ def _sketcher(size: int, percent: int, frequent):
                     if first[-1]:
                         met.add(name)
                 none = np.zeros(0, np.int64)
-                prefixes = _lists([_prefix(s, often, percent).view(np.int64) if own else none for s, own in zip(sets, first)])
+                prefixes = _lists([_prefix(s, often, percent, score, levels).view(np.int64) if own else none for s, score, own in zip(sets, scores, first)])
                 points = _lists([point_of(s) if own else none.astype("<i4") for s, own in zip(sets, first)])
                 yield pa.RecordBatch.from_arrays(
                     [held, tags.slice(at, len(values)), pa.array([len(s) for s in sets], pa.int64()), c1, c2, prefixes.cast(pa.list_(pa.int64())), points.cast(pa.list_(pa.int32()))],
@@ -154,6 +188,29 @@ def _token_lister(size: int):
     return run
 
 
+def _word_counter():
+    """How many words of the texts fall into each slot, for slots that have some."""
+
+    def run(batches):
+        found = np.zeros(WORD_SLOTS, np.int64)
+        for batch in batches:
+            for _, values in steps(batch.column("text")):
+                found += np.bincount(_word_slots(Words(values, NOT_SPACE)), minlength=WORD_SLOTS)
+        slots = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(found[slots])], names=["slot", "n"])
+
+    return run
+
+
+def _word_weights(texts: DataFrame) -> np.ndarray:
+    """By slot, four times the binary logarithm of how often its words are in the texts."""
+    counted = texts.mapInArrow(trimmed(_word_counter()), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    got = counted.toArrow()  # at most WORD_SLOTS rows of two numbers
+    weights = np.zeros(WORD_SLOTS, np.uint8)
+    weights[got.column("slot").to_numpy()] = np.rint(4 * np.log2(1 + got.column("n").to_numpy())).astype(np.uint8)
+    return weights
+
+
 def _set_lister(size: int, wanted):
     """Sets of the documents whose id is in a bit table (of all, without one)."""
 
@@ -379,15 +436,19 @@ def _spots(side: Column) -> Column:
 
 def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     """Pairs (u, v, most: shingles that both prefixes share at most) whose summed coordinate
-    minima, and whose prefixes and rests, allow the Jaccard."""
-    side = lambda name: points.select(*[F.col(c).alias(f"{c}{name}" if c != "node" else name) for c in ("node", "n", "point", "filed")])
+    minima, and whose prefixes and rests, allow the Jaccard.  Only pairs that the numbers allow meet
+    the points, as these are long."""
+    side = lambda name, *held: points.select(*[F.col(c).alias(f"{c}{name}" if c != "node" else name) for c in ("node", *held)])
     bound = F.aggregate(F.zip_with("pointu", "pointv", lambda x, y: F.least(x, y)), F.lit(0), lambda acc, x: acc + x)
     rest = lambda n: F.ceil(F.col(n) * percent / 100) - 1
     # shared in the group, and at most what the one with less elsewhere has there
     met = F.least("ku", "kv") + F.least(F.col("filedu") - F.col("ku"), F.col("filedv") - F.col("kv"))
-    most = F.least(bound, met + F.greatest(rest("nu"), rest("nv")))
-    both = pairs.join(side("u"), "u").join(side("v"), "v")
-    return both.where((100 + percent) * most >= percent * (F.col("nu") + F.col("nv"))).select("u", "v")
+    allowed = lambda most: (100 + percent) * most >= percent * (F.col("nu") + F.col("nv"))
+    some = pairs.join(side("u", "n", "filed"), "u").join(side("v", "n", "filed"), "v")
+    some = some.where(allowed(F.least("nu", "nv", met + F.greatest(rest("nu"), rest("nv"))))).select("u", "v", "nu", "nv").distinct()
+    some = staged(some, "bounded")
+    both = some.join(side("u", "point"), "u").join(side("v", "point"), "v")
+    return both.where(allowed(bound)).select("u", "v")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -405,13 +466,18 @@ def _linked(rows: DataFrame, size: int, percent: int, bits: int) -> DataFrame:
     spark = rows.sparkSession
     ship(spark)
     total = rows.count()
-    share = min(1_000_000, int(1_000_000 * SAMPLE / max(total, 1)) + 1)
+    share = min(1_000_000, max(int(1_000_000 * SAMPLE / max(total, 1)) + 1, 1_000_000 // SAMPLED))
     some = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)
     often = some.select("text").mapInArrow(trimmed(_token_lister(size)), "token long").groupBy("token").count().where("count >= 5")
-    often = [r[0] for r in often.orderBy(F.desc("count"), "token").limit(FREQUENT).collect()]
-    frequent = spark.sparkContext.broadcast(np.sort(np.array(often, np.int64).view(np.uint64)))
-    sketches = staged(rows.mapInArrow(trimmed(_sketcher(size, percent, frequent)), _SKETCH), "sketches")
+    often = often.orderBy(F.desc("count"), "token").limit(FREQUENT).toArrow()
+    tokens = often.column("token").to_numpy().view(np.uint64)
+    order = np.argsort(tokens)
+    levels = np.rint(16 * np.log2(often.column("count").to_numpy()[order])).astype(np.int64)
+    frequent = spark.sparkContext.broadcast((tokens[order], levels))
+    weights = spark.sparkContext.broadcast(_word_weights(some.select("text")))
+    sketches = staged(rows.mapInArrow(trimmed(_sketcher(size, percent, frequent, weights)), _SKETCH), "sketches")
     frequent.destroy()
+    weights.destroy()
 
     named = sketches.where("n > 0 and doc_id is not null")
     clashes = named.groupBy("c1").agg(F.min("c2").alias("kept"), F.max("c2").alias("last")).where("kept != last").select("c1", "kept")

@@ -414,6 +414,28 @@ def test_tiles_return_no_more_than_a_multiple_of_their_members():
     assert links.num_rows == n - 1  # a tree over all of them, as all are alike
 
 
+def test_a_passage_of_many_unlike_texts_makes_no_groups(spark, monkeypatch):
+    """A fixed sample misses a passage in a share of all texts; its groups, and their tiles with the square, grew with them."""
+    monkeypatch.setattr(ngram_join, "SAMPLE", 1)
+    monkeypatch.setattr(ngram_join, "SAMPLED", 2, raising=False)
+    monkeypatch.setattr(ngram_join, "TILE", 64)
+    kept, rows = ngram_join.staged, {}
+
+    def counted(df, name):
+        out = kept(df, name)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(ngram_join, "staged", counted)
+    passage = " ".join(f"p{k}" for k in range(20))
+    texts = [passage + " " + " ".join(f"w{d}x{k}" for k in range(60)) for d in range(300)]
+    texts += [t + " end" for t in texts[:10]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngram_join.join(df).collect()}
+    assert got == {d: d if d < 300 else d - 300 for d in range(310)}
+    assert rows["tiles"] <= 310 and rows["shares"] <= 620  # 1540 rows of tiles before
+
+
 def test_rtree_loses_no_point():
     rng = np.random.default_rng(2)
     points = rng.poisson(3, (400, 64))
